@@ -22,22 +22,31 @@ def tokenize(text: Column, pattern: str = DEFAULT_TOKENIZER) -> Column:
     ).otherwise(F.split(stripped, pattern))
 
 
+def _grams_of_length(text: Column, lo: int, hi: int) -> Column:
+    """At every character position the next ``lo..hi`` characters (greedy), by a
+    zero-width lookahead: one linear regex pass. (``substring(text, i, n)`` per
+    position is quadratic, since UTF-8 strings are walked from the start.)"""
+    quant = f"{{{lo}}}" if lo == hi else f"{{{lo},{hi}}}"
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{quant}))"), F.lit(1))
+
+
 def ngrams(text: Column, n: int = DEFAULT_NGRAM) -> Column:
     """The gram starting at every character position: ``substring(text, i, n)``
     for i = 1..length, shorter at the end. Empty array for an empty string."""
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, n))
-    )
+    return _grams_of_length(text, 1, n)
 
 
 def rule_grams(text: Column, n: int = DEFAULT_NGRAM) -> Column:
     """Grams offered as containment rules: full-length grams starting at
     positions 1..length-n (the last full gram is not offered); a string of at
     most ``n`` characters is offered whole."""
-    length = F.length(text)
-    return F.when(length <= n, F.array(text)).otherwise(
-        F.transform(F.sequence(F.lit(1), length - F.lit(n)), lambda i: F.substring(text, i, n))
-    )
+    full = _grams_of_length(text, n, n)
+    return F.when(F.length(text) <= n, F.array(text)).otherwise(F.slice(full, 1, F.size(full) - 1))
+
+
+def pieces(text: Column, width: int = DEFAULT_NGRAM) -> Column:
+    """Every substring of 1..width characters (with repeats), ``width`` linear passes."""
+    return F.concat(*[_grams_of_length(text, L, L) for L in range(1, width + 1)])
 
 
 def tokenize_sql(text: str, pattern: str = DEFAULT_TOKENIZER) -> str:

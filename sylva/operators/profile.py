@@ -48,7 +48,7 @@ def _moments_from(values: dict[str, Column], group_cols: list[str]) -> tuple[lis
         mean = F.try_divide(F.col(f"_{i}_s1"), F.col(f"_{i}_n").cast("double"))
         ex2 = F.try_divide(F.col(f"_{i}_s2"), F.col(f"_{i}_n").cast("double"))
         structs.append(F.struct(
-            F.lit(name).alias("column"),
+            F.lit(name).alias("col_name"),
             F.col(f"_{i}_max").alias("max"), F.col(f"_{i}_min").alias("min"),
             F.col(f"_{i}_n").alias("sum0"), F.col(f"_{i}_s1").alias("sum1"), F.col(f"_{i}_s2").alias("sum2"),
             mean.alias("mean"), F.sqrt(F.abs(ex2 - mean * mean)).alias("stddev"),
@@ -77,8 +77,8 @@ def moments(df: DataFrame, columns: list[str] | None = None, group_cols: list[st
 
 def _unpivot_values(df: DataFrame, columns: list[str], group_cols: list[str], keep_nulls: bool) -> DataFrame:
     """(group..., column, value-as-string) — one row per cell."""
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    out = df.select(*group_cols, F.explode(arr).alias("_c")).select(*group_cols, "_c.column", "_c.value")
+    arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    out = df.select(*group_cols, F.explode(arr).alias("_c")).select(*group_cols, "_c.col_name", "_c.value")
     return out if keep_nulls else out.filter(F.col("value").isNotNull())
 
 
@@ -94,19 +94,19 @@ def common_values(df: DataFrame, columns: list[str] | None = None, group_cols: l
     """A4: the k most common values per column (NULL counts as a value)."""
     group_cols = list(group_cols or [])
     cols = columns_of_kind(df, ("int", "str"), columns)
-    counts = _unpivot_values(df, cols, group_cols, keep_nulls=True).groupBy(*group_cols, "column", "value").agg(
+    counts = _unpivot_values(df, cols, group_cols, keep_nulls=True).groupBy(*group_cols, "col_name", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    return top_k(counts, group_cols + ["column"], k)
+    return top_k(counts, group_cols + ["col_name"], k)
 
 
 def word_counts(df: DataFrame, columns: list[str], group_cols: list[str] | None = None,
                 tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     group_cols = list(group_cols or [])
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns])
-    cells = df.select(*group_cols, F.explode(arr).alias("_c")).select(*group_cols, "_c.column", "_c.text")
+    arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("text")) for c in columns])
+    cells = df.select(*group_cols, F.explode(arr).alias("_c")).select(*group_cols, "_c.col_name", "_c.text")
     words = cells.filter(F.col("text").isNotNull()).select(
-        *group_cols, "column", F.explode(tokenize(F.col("text"), tokenizer)).alias("value"))
-    return words.groupBy(*group_cols, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+        *group_cols, "col_name", F.explode(tokenize(F.col("text"), tokenizer)).alias("value"))
+    return words.groupBy(*group_cols, "col_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def common_words(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
@@ -114,16 +114,16 @@ def common_words(df: DataFrame, columns: list[str] | None = None, group_cols: li
     """A5: the k most common words per string column."""
     group_cols = list(group_cols or [])
     cols = columns_of_kind(df, ("str",), columns)
-    return top_k(word_counts(df, cols, group_cols, tokenizer), group_cols + ["column"], k)
+    return top_k(word_counts(df, cols, group_cols, tokenizer), group_cols + ["col_name"], k)
 
 
 def value_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None) -> DataFrame:
     """Negative entropy of the (non-NULL) value distribution of each column."""
     group_cols = list(group_cols or [])
     cols = columns if columns is not None else columns_of_kind(df, ("int",))
-    counts = _unpivot_values(df, cols, group_cols, keep_nulls=False).groupBy(*group_cols, "column", "value").agg(
+    counts = _unpivot_values(df, cols, group_cols, keep_nulls=False).groupBy(*group_cols, "col_name", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    return entropy_from_counts(counts, group_cols + ["column"], total_name="n_values")
+    return entropy_from_counts(counts, group_cols + ["col_name"], total_name="n_values")
 
 
 def word_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
@@ -131,7 +131,7 @@ def word_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: li
     """Negative entropy of the word distribution of each string column."""
     group_cols = list(group_cols or [])
     cols = columns_of_kind(df, ("str",), columns)
-    return entropy_from_counts(word_counts(df, cols, group_cols, tokenizer), group_cols + ["column"],
+    return entropy_from_counts(word_counts(df, cols, group_cols, tokenizer), group_cols + ["col_name"],
                                total_name="n_words")
 
 
@@ -151,11 +151,11 @@ def gram_counts(df: DataFrame, columns: list[str], group_cols: list[str] | None
     parts = []
     for c in columns:
         parts.append(df.filter(F.col(c).isNotNull()).select(
-            *group_cols, F.lit(c).alias("column"), F.explode(ngrams(F.col(c), n)).alias("value")))
+            *group_cols, F.lit(c).alias("col_name"), F.explode(ngrams(F.col(c), n)).alias("value")))
     grams = parts[0]
     for p in parts[1:]:
         grams = grams.unionByName(p)
-    return grams.groupBy(*group_cols, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return grams.groupBy(*group_cols, "col_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngram_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
@@ -168,12 +168,12 @@ def ngram_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: l
     if n <= 0:
         raise ValueError("n-gram length must be positive")
     src = spread(df.select(*group_cols, *cols))
-    ent = entropy_from_counts(gram_counts(src, cols, group_cols, n), group_cols + ["column"], total_name="n_grams")
+    ent = entropy_from_counts(gram_counts(src, cols, group_cols, n), group_cols + ["col_name"], total_name="n_grams")
     if not per_row:
         return ent
-    rows = moments(df, cols, group_cols, of_length=True).select(*group_cols, "column", F.col("sum0").alias("n_rows"))
-    return ent.join(rows, group_cols + ["column"], "right").select(
-        *group_cols, "column", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), "n_rows",
+    rows = moments(df, cols, group_cols, of_length=True).select(*group_cols, "col_name", F.col("sum0").alias("n_rows"))
+    return ent.join(rows, group_cols + ["col_name"], "right").select(
+        *group_cols, "col_name", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), "n_rows",
         F.coalesce("entropy", F.lit(0.0)).alias("entropy"),
         F.coalesce(F.try_divide(F.col("entropy"), F.col("n_rows").cast("double")), F.lit(0.0)).alias("entropy_per_row"))
 
@@ -184,7 +184,7 @@ def string_entropy(df: DataFrame, columns: list[str] | None = None, group_cols:
     entropy per row and the word entropy, or their sum when either is 0."""
     group_cols = list(group_cols or [])
     cols = columns_of_kind(df, ("str",), columns)
-    keys = group_cols + ["column"]
+    keys = group_cols + ["col_name"]
     g = ngram_entropy(df, cols, group_cols, n, per_row=True).select(*keys, F.col("entropy_per_row").alias("ngram"))
     w = word_entropy(df, cols, group_cols, tokenizer).select(*keys, F.col("entropy").alias("word"))
     j = g.join(w, keys, "full").select(*keys, F.coalesce("ngram", F.lit(0.0)).alias("ngram"),
@@ -209,7 +209,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, group_cols: list[st
     def long(frame: DataFrame, metrics: list[str], prefix: str = "") -> DataFrame:
         arr = F.array(*[F.struct(F.lit(prefix + m).alias("metric"), F.col(m).cast("double").alias("value"))
                         for m in metrics])
-        return frame.select(*group_cols, "column", F.explode(arr).alias("_m")).select(*group_cols, "column", "_m.*")
+        return frame.select(*group_cols, "col_name", F.explode(arr).alias("_m")).select(*group_cols, "col_name", "_m.*")
 
     parts = []
     if nums:

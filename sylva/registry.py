@@ -151,3 +151,188 @@ def _a17t(spark, sf):
 def _m1(spark, sf):
     return st_line(spark, sf).withColumn("is_test", sampling.test_bucket("row_key")).groupBy("is_test").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y"))
+
+
+# ---------------------------------------------------------------- A / T1: profiles
+from .functions.entropy import entropy_sql, xlog2x_sql  # noqa: E402
+from .functions.text import ngrams_sql, tokenize_sql  # noqa: E402
+from .operators import profile  # noqa: E402
+
+
+def _moments_sql(table: str, cols: list[str], of_length: bool = False, group: list[str] = ()) -> str:
+    g = ", ".join(group)
+    parts = []
+    for c in cols:
+        x = f"CAST(length({c}) AS DOUBLE)" if of_length else f"CAST({c} AS DOUBLE)"
+        n = f"count({c})"
+        mean = f"(sum({x}) / CAST({n} AS DOUBLE))"
+        parts.append(
+            f"SELECT {g + ', ' if g else ''}'{c}' AS col_name, max({x}) AS max, min({x}) AS min, {n} AS sum0, "
+            f"sum({x}) AS sum1, sum({x} * {x}) AS sum2, {mean} AS mean, "
+            f"sqrt(abs(sum({x} * {x}) / CAST({n} AS DOUBLE) - {mean} * {mean})) AS stddev FROM {table}"
+            + (f" GROUP BY {g}" if g else ""))
+    return " UNION ALL ".join(parts)
+
+
+def _unpivot_sql(table: str, cols: list[str], group: list[str] = ()) -> str:
+    g = "".join(f"{x}, " for x in group)
+    return " UNION ALL ".join(f"SELECT {g}'{c}' AS col_name, CAST({c} AS VARCHAR) AS value FROM {table}" for c in cols)
+
+
+def _entropy_of_counts_sql(counts: str, total: str, group: list[str] = ()) -> str:
+    g = "".join(f"{x}, " for x in group)
+    return (f"SELECT {g}col_name, CAST(sum(n) AS BIGINT) AS {total}, "
+            f"{entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} AS entropy "
+            f"FROM ({counts}) GROUP BY {g}col_name")
+
+
+def _value_entropy_sql(table: str, cols: list[str], group: list[str] = ()) -> str:
+    g = "".join(f"{x}, " for x in group)
+    counts = (f"SELECT {g}col_name, value, count(*) AS n FROM ({_unpivot_sql(table, cols, group)}) "
+              f"WHERE value IS NOT NULL GROUP BY ALL")
+    return _entropy_of_counts_sql(counts, "n_values", group)
+
+
+def _word_counts_sql(table: str, cols: list[str], group: list[str] = ()) -> str:
+    g = "".join(f"{x}, " for x in group)
+    words = " UNION ALL ".join(
+        f"SELECT {g}'{c}' AS col_name, unnest({tokenize_sql(c)}) AS value FROM {table} WHERE {c} IS NOT NULL"
+        for c in cols)
+    return f"SELECT {g}col_name, value, count(*) AS n FROM ({words}) GROUP BY ALL"
+
+
+def _gram_counts_sql(table: str, cols: list[str], group: list[str] = (), n: int = 6) -> str:
+    g = "".join(f"{x}, " for x in group)
+    grams = " UNION ALL ".join(
+        f"SELECT {g}'{c}' AS col_name, unnest({ngrams_sql(c, n)}) AS value FROM {table} WHERE {c} IS NOT NULL"
+        for c in cols)
+    return f"SELECT {g}col_name, value, count(*) AS n FROM ({grams}) GROUP BY ALL"
+
+
+def _top_k_sql(counts: str, k: int = 10, group: list[str] = ()) -> str:
+    part = ", ".join([*group, "col_name"])
+    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY n DESC, value ASC NULLS FIRST) "
+            f"AS rank FROM ({counts})) WHERE rank <= {k}")
+
+
+def _read(spark, sf, name):
+    return parquet.read_table(spark, sf, name)
+
+
+@query("a2_moments_double", _moments_sql("orders", ["o_totalprice"]) + " UNION ALL " + _moments_sql("customer", ["c_acctbal"]))
+def _a2d(spark, sf):
+    return profile.moments(_read(spark, sf, "orders"), ["o_totalprice"]).unionByName(
+        profile.moments(_read(spark, sf, "customer"), ["c_acctbal"]))
+
+
+@query("a2_moments_int", _moments_sql("part", ["p_size", "p_partkey"]) + " UNION ALL " + _moments_sql("lineitem", ["l_linenumber"]))
+def _a2i(spark, sf):
+    return profile.moments(_read(spark, sf, "part"), ["p_size", "p_partkey"]).unionByName(
+        profile.moments(_read(spark, sf, "lineitem"), ["l_linenumber"]))
+
+
+@query("a2_moments_by_class", with_staged(_moments_sql("st_line", ["quantity", "discount_pct"], group=["y"]), "st_line"))
+def _a2g(spark, sf):
+    return profile.moments(st_line(spark, sf), ["quantity", "discount_pct"], group_cols=["y"])
+
+
+@query("a3_length_moments", _moments_sql("documents", ["text"], of_length=True) + " UNION ALL "
+       + _moments_sql("part", ["p_name"], of_length=True))
+def _a3(spark, sf):
+    return profile.moments(_read(spark, sf, "documents"), ["text"], of_length=True).unionByName(
+        profile.moments(_read(spark, sf, "part"), ["p_name"], of_length=True))
+
+
+@query("a4_common_values", _top_k_sql(f"SELECT col_name, value, count(*) AS n FROM ({_unpivot_sql('part', ['p_size', 'p_brand', 'p_type'])}) GROUP BY ALL"))
+def _a4(spark, sf):
+    return profile.common_values(_read(spark, sf, "part"), ["p_size", "p_brand", "p_type"])
+
+
+@query("a4_common_values_lang", _top_k_sql(f"SELECT col_name, value, count(*) AS n FROM ({_unpivot_sql('documents', ['lang', 'source'])}) GROUP BY ALL"))
+def _a4l(spark, sf):
+    return profile.common_values(_read(spark, sf, "documents"), ["lang", "source"])
+
+
+@query("a5_common_words", _top_k_sql(_word_counts_sql("documents", ["text"])) + " UNION ALL "
+       + _top_k_sql(_word_counts_sql("part", ["p_name"])))
+def _a5(spark, sf):
+    return profile.common_words(_read(spark, sf, "documents"), ["text"]).unionByName(
+        profile.common_words(_read(spark, sf, "part"), ["p_name"]))
+
+
+@query("a6_value_entropy", _value_entropy_sql("part", ["p_size"]) + " UNION ALL " + _value_entropy_sql("lineitem", ["l_linenumber"]))
+def _a6(spark, sf):
+    return profile.value_entropy(_read(spark, sf, "part"), ["p_size"]).unionByName(
+        profile.value_entropy(_read(spark, sf, "lineitem"), ["l_linenumber"]))
+
+
+@query("a7_class_entropy_per_leaf", with_staged(
+    _value_entropy_sql(f"(SELECT *, {duck(saved.LINE_A)} AS cluster_id FROM st_line AS T)", ["y"], ["cluster_id"]),
+    "st_line"))
+def _a7(spark, sf):
+    return profile.value_entropy(label(st_line(spark, sf), saved.LINE_A), ["y"], group_cols=["cluster_id"])
+
+
+@query("a8_word_entropy", _entropy_of_counts_sql(_word_counts_sql("documents", ["text"]), "n_words") + " UNION ALL "
+       + _entropy_of_counts_sql(_word_counts_sql("part", ["p_name"]), "n_words"))
+def _a8(spark, sf):
+    return profile.word_entropy(_read(spark, sf, "documents"), ["text"]).unionByName(
+        profile.word_entropy(_read(spark, sf, "part"), ["p_name"]))
+
+
+@query("a9_ngram_entropy", _entropy_of_counts_sql(_gram_counts_sql("documents", ["text"]), "n_grams") + " UNION ALL "
+       + _entropy_of_counts_sql(_gram_counts_sql("part", ["p_name"]), "n_grams"))
+def _a9(spark, sf):
+    return profile.ngram_entropy(_read(spark, sf, "documents"), ["text"]).unionByName(
+        profile.ngram_entropy(_read(spark, sf, "part"), ["p_name"]))
+
+
+def _string_entropy_sql(table: str, cols: list[str], group: list[str]) -> str:
+    g = "".join(f"{x}, " for x in group)
+    on = " AND ".join(f"a.{x} IS NOT DISTINCT FROM b.{x}" for x in [*group, "col_name"])
+    gram = _entropy_of_counts_sql(_gram_counts_sql(table, cols, group), "n_grams", group)
+    rows = " UNION ALL ".join(f"SELECT {g}'{c}' AS col_name, count({c}) AS n_rows FROM {table} GROUP BY ALL" for c in cols)
+    word = _entropy_of_counts_sql(_word_counts_sql(table, cols, group), "n_words", group)
+    sel = ", ".join(f"coalesce(a.{x}, b.{x}) AS {x}" for x in [*group, "col_name"])
+    ng = (f"SELECT r.*, coalesce(e.entropy / CAST(r.n_rows AS DOUBLE), 0.0) AS ngram FROM ({rows}) r "
+          f"LEFT JOIN ({gram}) e ON " + " AND ".join(f"r.{x} IS NOT DISTINCT FROM e.{x}" for x in [*group, "col_name"]))
+    return (f"SELECT {sel}, coalesce(a.ngram, 0.0) AS ngram, coalesce(b.entropy, 0.0) AS word, "
+            f"CASE WHEN coalesce(a.ngram, 0.0) = 0 OR coalesce(b.entropy, 0.0) = 0 THEN coalesce(a.ngram, 0.0) + coalesce(b.entropy, 0.0) "
+            f"ELSE (coalesce(a.ngram, 0.0) + coalesce(b.entropy, 0.0)) / 2 END AS entropy "
+            f"FROM ({ng}) a FULL JOIN ({word}) b ON {on}")
+
+
+@query("a10_string_entropy", with_staged(_string_entropy_sql("st_docs", ["text", "lang"], ["y"]), "st_docs"))
+def _a10(spark, sf):
+    return profile.string_entropy(st_docs(spark, sf), ["text", "lang"], group_cols=["y"])
+
+
+def _profile_sql(table: str, ints: list[str], nums: list[str], strs: list[str]) -> str:
+    def long(src: str, metrics: list[str], prefix: str = "") -> str:
+        return " UNION ALL ".join(f"SELECT col_name, '{prefix}{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({src})"
+                                  for m in metrics)
+    parts = []
+    if nums:
+        parts.append(long(_moments_sql(table, nums), profile.MOMENTS))
+    if ints:
+        parts.append(long(_value_entropy_sql(table, ints), ["entropy"]))
+    if strs:
+        parts.append(long(_moments_sql(table, strs, of_length=True), profile.MOMENTS, "length."))
+        parts.append(long(_entropy_of_counts_sql(_gram_counts_sql(table, strs), "n_grams").replace(
+            "AS entropy", "AS char_entropy"), ["char_entropy"]))
+        parts.append(long(_entropy_of_counts_sql(_word_counts_sql(table, strs), "n_words").replace(
+            "AS entropy", "AS word_entropy"), ["word_entropy"]))
+    return " UNION ALL ".join(parts)
+
+
+@query("t1_profile_line", with_staged(_profile_sql(
+    "st_line", ["quantity", "linenumber", "discount_pct", "tax_pct", "y"],
+    ["quantity", "linenumber", "discount_pct", "tax_pct", "y"], ["linestatus"]), "st_line"))
+def _t1l(spark, sf):
+    return profile.profile(st_line(spark, sf).drop("row_key"))
+
+
+@query("t1_profile_docs", with_staged(_profile_sql("st_docs", ["n_chars", "y"], ["n_chars", "y"], ["text", "lang"]),
+                                      "st_docs"))
+def _t1d(spark, sf):
+    return profile.profile(st_docs(spark, sf).select("n_chars", "text", "lang", "y"))

@@ -108,9 +108,11 @@ def rule_columns(df: DataFrame, blacklist: list[str], exclude: list[str] = ()) -
 
 def candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: list[str], node_col: str = "node_id",
                rule_samples: int = 5, seed: int = 0, ngram: int = DEFAULT_NGRAM,
-               tokenizer: str | None = DEFAULT_TOKENIZER, sample: DataFrame | None = None) -> DataFrame:
-    """T2 + T3 for every node of ``df`` (rows carry their ``node_col``)."""
-    positions = {c: i for i, c in enumerate(df.columns)}
+               tokenizer: str | None = DEFAULT_TOKENIZER, sample: DataFrame | None = None,
+               positions: dict[str, int] | None = None) -> DataFrame:
+    """T2 + T3 for every node of ``df`` (rows carry their ``node_col``).
+    ``positions`` (column -> schema position) orders ties; default ``df``'s order."""
+    positions = positions or {c: i for i, c in enumerate(df.columns)}
     if sample is None:
         sample = sample_per_group(df.select(node_col, key, *int_cols, *str_cols), [node_col], key, rule_samples, seed)
     parts = []
@@ -129,7 +131,7 @@ def candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: list[str]
 
 def collect_candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: list[str], node_col: str = "node_id",
                        rule_samples: int = 5, seed: int = 0, ngram: int = DEFAULT_NGRAM,
-                       tokenizer: str | None = DEFAULT_TOKENIZER) -> list[dict]:
+                       tokenizer: str | None = DEFAULT_TOKENIZER, positions: dict[str, int] | None = None) -> list[dict]:
     """:func:`candidates`, collected. The per-node sample (at most
     ``rule_samples`` rows per node) is materialised once and read by every branch
     of the candidate plan, instead of re-running the sampling window per branch.
@@ -138,6 +140,6 @@ def collect_candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: l
                               seed).persist()
     try:
         return [r.asDict() for r in candidates(df, key, int_cols, str_cols, node_col, rule_samples, seed, ngram,
-                                               tokenizer, sample=sample).collect()]
+                                               tokenizer, sample=sample, positions=positions).collect()]
     finally:
         sample.unpersist()

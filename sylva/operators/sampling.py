@@ -30,18 +30,28 @@ def split_sql(key: str, seed: int = 0, test_fraction: float = 0.1, test: bool =
     return f"({row_hash_sql(key, seed)} % 1000) {op} {int(round(test_fraction * 1000))}"
 
 
-def sample_per_group(df: DataFrame, group_cols: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
+def sample_per_group(df: DataFrame, group_cols: list[str], key: str, k: int, seed: int = 0,
+                     tiebreak: list[str] | None = None) -> DataFrame:
     """M2 / M3 / M4: the ``k`` rows with the lowest hash in each group.
 
+    Rows are ordered by (hash, key, ``tiebreak`` columns — default all other
+    columns), a total order even when the key repeats, so the sample is the same
+    in every run and engine.
+
     ``row_number() <= k`` is planned with a partial ``WindowGroupLimit`` before the
     shuffle, so each map task ships at most k rows per group however large or
     skewed the group is.
     """
-    w = Window.partitionBy(*group_cols).orderBy(row_hash(F.col(key), seed), F.col(key))
+    if tiebreak is None:
+        tiebreak = [c for c in df.columns if c != key and c not in group_cols]
+    w = Window.partitionBy(*group_cols).orderBy(row_hash(F.col(key), seed), F.col(key),
+                                                *[F.col(c).asc_nulls_first() for c in tiebreak])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def sample_per_group_sql(table: str, group_cols: list[str], key: str, k: int, seed: int = 0) -> str:
+def sample_per_group_sql(table: str, group_cols: list[str], key: str, k: int, seed: int = 0,
+                         tiebreak: list[str] = ()) -> str:
     part = ", ".join(group_cols) if group_cols else "NULL"
+    tb = "".join(f", {c} ASC NULLS FIRST" for c in tiebreak)
     return (f"SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY {part} "
-            f"ORDER BY {row_hash_sql(key, seed)}, {key}) AS _rn FROM {table}) WHERE _rn <= {k}")
+            f"ORDER BY {row_hash_sql(key, seed)}, {key}{tb}) AS _rn FROM {table}) WHERE _rn <= {k}")

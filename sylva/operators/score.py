@@ -119,8 +119,10 @@ def score_rules(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols:
 
 def best_rules(report: DataFrame, require_two_branches: bool = True) -> DataFrame:
     """K3: per node the rule with the highest fitness; ties go to the lower rule
-    id (column position, value, term). One row per node: the winning rule and
-    its two branch sizes."""
+    id (column position, value, term). Fitness is compared at 6 decimals, so two
+    rules whose sums differ only by floating-point summation order (e.g. mirror
+    splits) tie the same way in every run, partitioning and engine. One row per
+    node: the winning rule and its two branch sizes."""
     per_rule = report.groupBy("node_id", "rule_id", "rule_column", "kind", "num_value", "term").agg(
         F.first("fitness").alias("fitness"), F.first("n_branches").alias("n_branches"),
         F.max(F.when(F.col("branch") == 0, F.col("rows"))).alias("rows_true"),
@@ -129,5 +131,5 @@ def best_rules(report: DataFrame, require_two_branches: bool = True) -> DataFram
         F.sum(F.when(F.col("branch") == 1, F.col("weight") * F.col("entropy"))).alias("entropy_false"))
     if require_two_branches:
         per_rule = per_rule.filter(F.col("n_branches") == 2)
-    w = Window.partitionBy("node_id").orderBy(F.col("fitness").desc(), F.col("rule_id"))
+    w = Window.partitionBy("node_id").orderBy(F.round("fitness", 6).desc(), F.col("rule_id"))
     return per_rule.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

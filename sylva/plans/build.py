@@ -92,6 +92,7 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
     int_cols, str_cols = rule_columns(df, blacklist, exclude=[key])
     class_cols = [c for c in weights if c in targets or c in columns_of_kind(df, ("int",))]
     need = list(dict.fromkeys([key, *int_cols, *str_cols, *weights]))
+    positions = {c: i for i, c in enumerate(df.columns)}
     data = df.select(*need)
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -113,7 +114,7 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
                 break
             labelled = data.withColumn("node_id", tree.to_column()).filter(F.col("node_id").isin(open_nodes))
             cands = collect_candidates(labelled, key, int_cols, str_cols, rule_samples=p.rule_samples,
-                                       seed=p.seed, ngram=p.ngram, tokenizer=p.tokenizer)
+                                       seed=p.seed, ngram=p.ngram, tokenizer=p.tokenizer, positions=positions)
             info["candidates"] = len(cands)
             if not cands:
                 break

@@ -336,3 +336,92 @@ def _t1l(spark, sf):
                                       "st_docs"))
 def _t1d(spark, sf):
     return profile.profile(st_docs(spark, sf).select("n_chars", "text", "lang", "y"))
+
+
+# ---------------------------------------------------------------- T2-T8: candidates, scores, build
+from . import oracles  # noqa: E402
+from .operators.rules import candidates, collect_candidates  # noqa: E402
+from .operators.score import RULE_SCHEMA, best_rules, number_rules, score_rules  # noqa: E402
+from .plans.build import BuildParams, build_tree  # noqa: E402
+
+LINE_INTS = [("quantity", 1), ("linenumber", 2), ("discount_pct", 3), ("tax_pct", 4)]
+LINE_STRS = [("linestatus", 5)]
+DOCS_INTS = [("n_chars", 1)]
+DOCS_STRS = [("text", 2), ("lang", 3)]
+EVENT_INTS = [("value_int", 1), ("hour", 2), ("user_id", 3)]
+
+
+def _names(cols):
+    return [c for c, _ in cols]
+
+
+def _lab_sql(tree, table):
+    return f"(SELECT *, {duck(tree)} AS node_id FROM {table} AS T)"
+
+
+@query("t2_int_candidates", with_staged(
+    f"SELECT * FROM ({oracles.cands_sql(_lab_sql(saved.LINE_A, 'st_line'), 'row_key', LINE_INTS, [])})", "st_line"))
+def _t2(spark, sf):
+    lab = label(st_line(spark, sf), saved.LINE_A, "node_id")
+    return candidates(lab, "row_key", _names(LINE_INTS), [])
+
+
+@query("t3_text_candidates", with_staged(
+    f"SELECT * FROM ({oracles.cands_sql(_lab_sql(saved.DOCS_A, 'st_docs'), 'row_key', [], DOCS_STRS)})", "st_docs"))
+def _t3(spark, sf):
+    lab = label(st_docs(spark, sf), saved.DOCS_A, "node_id")
+    return candidates(lab, "row_key", [], _names(DOCS_STRS))
+
+
+def _line_report(spark, sf):
+    lab = label(st_line(spark, sf), saved.LINE_A, "node_id")
+    ints, strs = _names(LINE_INTS), _names(LINE_STRS)
+    cands = collect_candidates(lab, "row_key", ints, strs)
+    rules = spark.createDataFrame(number_rules(cands, ints, strs), RULE_SCHEMA)
+    return score_rules(lab, rules, ints, strs, {"y": 1.0}, ["y"])
+
+
+_LINE_RULES_SQL = oracles.rules_sql(oracles.cands_sql("lab", "row_key", LINE_INTS, LINE_STRS))
+_LINE_REPORT_SQL = oracles.report_sql("lab", f"({_LINE_RULES_SQL})", LINE_INTS, LINE_STRS, "y")
+
+
+@query("t5_candidate_report", with_staged(
+    f", lab AS {_lab_sql(saved.LINE_A, 'st_line')}\nSELECT * FROM ({_LINE_REPORT_SQL})", "st_line").replace(
+    "\n)\n, lab", "\n), lab", 1))
+def _t5(spark, sf):
+    return _line_report(spark, sf)
+
+
+@query("k3_best_rule", with_staged(
+    f", lab AS {_lab_sql(saved.LINE_A, 'st_line')}\nSELECT * FROM ({oracles.best_sql(_LINE_REPORT_SQL)})",
+    "st_line").replace("\n)\n, lab", "\n), lab", 1))
+def _k3(spark, sf):
+    return best_rules(_line_report(spark, sf))
+
+
+def _build_sql(table, ints, strs, **kw):
+    return with_staged(f"SELECT * FROM ({oracles.build_sql(table, 'row_key', ints, strs, 'y', **kw)})", table)
+
+
+@query("t7_apply_split", _build_sql("st_line", LINE_INTS, LINE_STRS, max_depth=1, output="rows"))
+def _t7(spark, sf):
+    df = st_line(spark, sf)
+    res = build_tree(df, "row_key", ["y"], params=BuildParams(max_depth=1))
+    return label(df, res.tree, "node_id").select("row_key", "node_id")
+
+
+@query("t8_build_tree_line", _build_sql("st_line", LINE_INTS, LINE_STRS, max_depth=4))
+def _t8l(spark, sf):
+    return build_tree(st_line(spark, sf), "row_key", ["y"], params=BuildParams(max_depth=4)).node_table(spark)
+
+
+@query("t8_build_tree_docs", _build_sql("st_docs", DOCS_INTS, DOCS_STRS, max_depth=3, min_node=20))
+def _t8d(spark, sf):
+    return build_tree(st_docs(spark, sf), "row_key", ["y"], blacklist=["toxic"],
+                      params=BuildParams(max_depth=3, min_node_size=20)).node_table(spark)
+
+
+@query("t8_build_tree_event", _build_sql("st_event", EVENT_INTS, [], max_depth=4, min_node=500))
+def _t8e(spark, sf):
+    return build_tree(st_event(spark, sf), "row_key", ["y"],
+                      params=BuildParams(max_depth=4, min_node_size=500)).node_table(spark)

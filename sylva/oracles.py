@@ -111,5 +111,5 @@ def build_sql(staged: str, key: str, int_cols, str_cols, target: str, max_depth:
             f"s.rule_column, s.kind AS rule_kind, s.num_value AS rule_value, s.term AS rule_term "
             f"FROM ({all_nodes}) n LEFT JOIN ({splits}) s ON n.node_id = s.node_id")
     if output == "rows":
-        body = f"SELECT {key}, node_id FROM lab{max_depth}"
+        body = f"SELECT * FROM lab{max_depth}"
     return "WITH " + ",\n".join(ctes) + "\n" + body

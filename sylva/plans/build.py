@@ -156,3 +156,16 @@ def _node_stats(rows) -> dict[str, tuple[int, float]]:
         cur[0] = max(cur[0], r["rows"])
         cur[1] += r["weight"] * r["entropy"]
     return {k: (v[0], v[1]) for k, v in out.items()}
+
+
+def node_stats(df: DataFrame, tree: Tree, weights: dict[str, float], class_cols: list[str],
+               params: BuildParams | None = None) -> DataFrame:
+    """T6 as a report: per leaf of ``tree`` its rows, weighted entropy and
+    whether the stop test makes it final."""
+    p = params or BuildParams()
+    per_col = branch_stats(df.withColumn("node_id", tree.to_column()), ["node_id"], weights, class_cols,
+                           p.ngram, p.tokenizer or DEFAULT_TOKENIZER)
+    agg = per_col.groupBy("node_id").agg(F.max("rows").alias("rows"),
+                                         F.sum(F.col("weight") * F.col("entropy")).alias("weighted_entropy"))
+    return agg.withColumn("stop", (F.col("rows") < p.min_node_size) | (
+        (F.col("rows") < p.purity_limit) & (F.col("weighted_entropy") == 0.0)))

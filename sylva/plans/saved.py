@@ -34,3 +34,8 @@ EVENT_A = Tree.from_splits({
     "0": Rule("hour", LT, 12.0),
     "1": Rule("user_id", LT, 75.0),
 })
+EVENT_B = Tree.from_splits({
+    "": Rule("hour", LT, 12.0),
+    "0": Rule("value_int", LT, 100.0),
+    "1": Rule("user_id", LT, 50.0),
+})

@@ -403,7 +403,7 @@ def _build_sql(table, ints, strs, **kw):
     return with_staged(f"SELECT * FROM ({oracles.build_sql(table, 'row_key', ints, strs, 'y', **kw)})", table)
 
 
-@query("t7_apply_split", _build_sql("st_line", LINE_INTS, LINE_STRS, max_depth=1, output="rows"))
+@query("t7_apply_split", with_staged(f"SELECT row_key, node_id FROM ({oracles.build_sql('st_line', 'row_key', LINE_INTS, LINE_STRS, 'y', max_depth=1, output='rows')})", "st_line"))
 def _t7(spark, sf):
     df = st_line(spark, sf)
     res = build_tree(df, "row_key", ["y"], params=BuildParams(max_depth=1))
@@ -425,3 +425,138 @@ def _t8d(spark, sf):
 def _t8e(spark, sf):
     return build_tree(st_event(spark, sf), "row_key", ["y"],
                       params=BuildParams(max_depth=4, min_node_size=500)).node_table(spark)
+
+
+# ---------------------------------------------------------------- T6, T9, T10
+import json  # noqa: E402
+
+from .plans.build import node_stats  # noqa: E402
+
+
+@query("t6_stop_test", with_staged(f"""
+SELECT node_id, CAST(sum(n) AS BIGINT) AS rows,
+  1.0 * ({entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')}) AS weighted_entropy,
+  (sum(n) < 1000 OR (sum(n) < 10000 AND ({entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')}) = 0)) AS stop
+FROM (SELECT node_id, y, count(*) AS n FROM {_lab_sql(saved.LINE_A, 'st_line')} GROUP BY ALL) GROUP BY node_id""", "st_line"))
+def _t6(spark, sf):
+    return node_stats(st_line(spark, sf), saved.LINE_A, {"y": 1.0}, ["y"])
+
+
+@query("t9_tree_structure")
+def _t9(spark, sf):
+    res = build_tree(st_event(spark, sf), "row_key", ["y"], params=BuildParams(max_depth=3, min_node_size=500))
+    return spark.createDataFrame([(json.dumps(res.tree.structure()), len(res.tree.leaves()))],
+                                 "structure string, n_leaves int")
+
+
+_T10_ROWS = oracles.build_sql("st_line", "row_key", LINE_INTS, LINE_STRS, "y", max_depth=3, output="rows")
+
+
+@query("t10_validate_pivot", with_staged(f"""
+SELECT node_id AS cluster_id, {', '.join(f'NULLIF(count(*) FILTER (WHERE y = {c}), 0) AS y_{c}' for c in (0, 1, 2))}
+FROM ({_T10_ROWS}) r GROUP BY node_id""", "st_line"))
+def _t10p(spark, sf):
+    df = st_line(spark, sf)
+    tree = build_tree(df, "row_key", ["y"], params=BuildParams(max_depth=3)).tree
+    return validate.validate(df, df, tree, "y")["pivot"]
+
+
+@query("t10_validate_accuracy")
+def _t10a(spark, sf):
+    df = st_line(spark, sf)
+    train, test = sampling.split_train_test(df, "row_key")
+    tree = build_tree(train, "row_key", ["y"], params=BuildParams(max_depth=3)).tree
+    return validate.validate(df, test, tree, "y")["accuracy"]
+
+
+# ---------------------------------------------------------------- S7, A12, A13, T11, A18
+from .operators import predict as pred  # noqa: E402
+from .plans.tree import add_labels  # noqa: E402
+
+
+@query("s7_add_labels", with_staged(
+    f"SELECT row_key, {duck(saved.LINE_A)} AS label_a, {duck(saved.LINE_B)} AS label_b FROM st_line AS T", "st_line"))
+def _s7(spark, sf):
+    return add_labels(st_line(spark, sf), {"label_a": saved.LINE_A, "label_b": saved.LINE_B.to_sql(alias=None)}).select(
+        "row_key", "label_a", "label_b")
+
+
+def _matrix_sql(label_name: str, classes, target="y", source="lab"):
+    cols = ", ".join(f"CAST(NULLIF(count(*) FILTER (WHERE {target} = {c!r}), 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) "
+                     f"AS {target}_{c}" for c in classes)
+    return f"SELECT {label_name}, {cols} FROM {source} GROUP BY {label_name}"
+
+
+def _predict_sql(table, trees: dict, classes, target="y", fit_where="true", where="true"):
+    labs = ", ".join(f"{duck(t)} AS {n}" for n, t in trees.items())
+    names = list(trees)
+    mats = ", ".join(f"m_{n} AS ({_matrix_sql(n, classes, target, f'(SELECT * FROM lab WHERE {fit_where})')})"
+                     for n in names)
+    joins = " ".join(f"JOIN m_{n} USING ({n})" for n in names)
+    scores = ", ".join(" * ".join(f"m_{n}.{target}_{c}" for n in names) + f" AS s_{j}" for j, c in enumerate(classes))
+    mag = " + ".join(f"coalesce(s_{j}, 0.0)" for j in range(len(classes)))
+    normed = ", ".join(f"s_{j} / nullif({mag}, 0.0) AS {target}_{c}" for j, c in enumerate(classes))
+    mx = "greatest(" + ", ".join(f"coalesce({target}_{c}, 0.0)" for c in classes) + ")"
+    case = "CASE " + " ".join(f"WHEN {target}_{c} = max THEN {c!r}" for c in classes) + " END"
+    return with_staged(f"""
+, lab AS (SELECT *, {labs} FROM {table} AS T), {mats},
+p AS (SELECT lab.{target}, {scores} FROM (SELECT * FROM lab WHERE {where}) lab {joins}),
+n AS (SELECT {target}, {normed} FROM p),
+x AS (SELECT *, {mx} AS max FROM n)
+SELECT *, {case} AS predict FROM x""", table).replace("\n)\n, lab", "\n), lab", 1)
+
+
+def _accuracy_of(sql):
+    return (f"SELECT CAST(sum(CASE WHEN y = predict THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(predict) AS DOUBLE) AS accuracy, "
+            f"CAST(sum(CASE WHEN y = predict THEN 1 ELSE 0 END) AS BIGINT) AS hits, "
+            f"CAST(count(predict) - sum(CASE WHEN y = predict THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM ({sql})")
+
+
+@query("a12_class_matrix", with_staged(
+    f", lab AS (SELECT *, {duck(saved.LINE_A)} AS label_a FROM st_line AS T)\n{_matrix_sql('label_a', [0, 1, 2])}",
+    "st_line").replace("\n)\n, lab", "\n), lab", 1))
+def _a12(spark, sf):
+    lab = add_labels(st_line(spark, sf), {"label_a": saved.LINE_A})
+    return pred.predictive_matrix(lab, "label_a", "y", [0, 1, 2])
+
+
+@query("a12_class_matrix_str", with_staged(
+    f", lab AS (SELECT *, {duck(saved.EVENT_A)} AS label_a FROM st_event AS T)\n"
+    f"{_matrix_sql('label_a', ['click', 'error', 'purchase', 'signup', 'view'])}", "st_event").replace(
+    "\n)\n, lab", "\n), lab", 1))
+def _a12s(spark, sf):
+    lab = add_labels(st_event(spark, sf), {"label_a": saved.EVENT_A})
+    return pred.predictive_matrix(lab, "label_a", "y")
+
+
+@query("a13_distinct_classes", "SELECT DISTINCT event_type AS y FROM events WHERE event_type IS NOT NULL")
+def _a13(spark, sf):
+    return spark.createDataFrame([(c,) for c in validate.distinct_classes(st_event(spark, sf), "y")], "y string")
+
+
+_LINE_FOREST = {"label_a": saved.LINE_A, "label_b": saved.LINE_B}
+_EVENT_FOREST = {"label_a": saved.EVENT_A, "label_b": saved.EVENT_B}
+_EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("t11_predict", _predict_sql("st_line", _LINE_FOREST, [0, 1, 2]))
+def _t11(spark, sf):
+    return pred.predict(st_line(spark, sf), _LINE_FOREST, "y", [0, 1, 2])
+
+
+@query("t11_predict_str", _predict_sql("st_event", _EVENT_FOREST, _EVENT_CLASSES))
+def _t11s(spark, sf):
+    return pred.predict(st_event(spark, sf), _EVENT_FOREST, "y", _EVENT_CLASSES)
+
+
+@query("a18_predict_accuracy", _accuracy_of(_predict_sql("st_line", _LINE_FOREST, [0, 1, 2])))
+def _a18(spark, sf):
+    return pred.accuracy(pred.predict(st_line(spark, sf), _LINE_FOREST, "y", [0, 1, 2]), "y")
+
+
+@query("a18_predict_accuracy_heldout", _accuracy_of(_predict_sql(
+    "st_event", _EVENT_FOREST, _EVENT_CLASSES, fit_where=sampling.split_sql("row_key", test=False),
+    where=sampling.split_sql("row_key"))))
+def _a18h(spark, sf):
+    train, test = sampling.split_train_test(st_event(spark, sf), "row_key")
+    return pred.accuracy(pred.predict(test, _EVENT_FOREST, "y", _EVENT_CLASSES, fit=train), "y")

@@ -560,3 +560,59 @@ def _a18(spark, sf):
 def _a18h(spark, sf):
     train, test = sampling.split_train_test(st_event(spark, sf), "row_key")
     return pred.accuracy(pred.predict(test, _EVENT_FOREST, "y", _EVENT_CLASSES, fit=train), "y")
+
+
+# ---------------------------------------------------------------- S2-S4, S9, streaming
+import uuid  # noqa: E402
+
+from .session import scratch_path  # noqa: E402
+from .sources import covtype  # noqa: E402
+from .sources.export import export_csv  # noqa: E402
+from .sources.staged import stage_line  # noqa: E402
+from .streaming import label_counts_stream  # noqa: E402
+
+
+def _covtype_like(li):
+    """A cover-type shaped table derived from lineitem: ten measurements, one hot
+    wilderness flag, one hot soil flag, a class."""
+    meas = [((F.col("l_orderkey") + F.lit(i) * F.col("l_partkey")) % 1000).cast("int").alias(c)
+            for i, c in enumerate(covtype.MEASUREMENTS)]
+    wild = [((F.col("l_linenumber") % 4 + 1) == i).cast("int").alias(c) for i, c in enumerate(covtype.WILDERNESS, 1)]
+    soil = [((F.col("l_partkey") % 40 + 1) == i).cast("int").alias(c) for i, c in enumerate(covtype.SOIL, 1)]
+    cls = (F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)).cast("int")
+    return li.select(*meas, *wild, *soil, cls.alias(covtype.CLASS))
+
+
+_SOIL_LIST = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in covtype.SOIL_TYPES) + "]"
+
+
+@query("s2_s4_onehot_ingest", f"""
+SELECT count(*) AS count, CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS INTEGER) AS Cover_Type,
+       {_SOIL_LIST}[CAST(l_partkey % 40 + 1 AS INTEGER)] AS Soil_Description
+FROM lineitem GROUP BY ALL""")
+def _s2(spark, sf):
+    base = scratch_path(spark, f"covtype-{uuid.uuid4().hex}")
+    _covtype_like(parquet.read_table(spark, sf, "lineitem")).write.option("compression", "gzip").csv(f"{base}/csv")
+    table = covtype.ingest(spark, f"{base}/csv", f"{base}/parquet")        # S2 + S3 + S4
+    table.createOrReplaceTempView("covtype")
+    return spark.sql("SELECT COUNT(*) AS count, Cover_Type, Soil_Description FROM covtype "
+                     "GROUP BY Cover_Type, Soil_Description")                 # S11
+
+
+@query("s9_export_pivot", ORACLES["a11_cluster_pivot"])
+def _s9(spark, sf):
+    pivot = validate.cluster_pivot(label(st_line(spark, sf), saved.LINE_A), "cluster_id", "y")
+    path = export_csv(pivot, scratch_path(spark, f"pivot-{uuid.uuid4().hex}"), single_file=True)
+    return spark.read.schema(pivot.schema).option("header", True).option("nullValue", "").csv(path)
+
+
+@query("st_stream_label_counts", with_staged(
+    f"SELECT {duck(saved.LINE_A)} AS cluster_id, y, count(*) AS n FROM st_line AS T GROUP BY ALL", "st_line"))
+def _stream(spark, sf):
+    schema = parquet.read_table(spark, sf, "lineitem").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    name = f"line_counts_{uuid.uuid4().hex[:8]}"
+    q = label_counts_stream(stage_line(stream), saved.LINE_A, "y", name, scratch_path(spark, f"stream-{name}"))
+    q.awaitTermination()
+    return spark.table(name)

@@ -19,7 +19,11 @@ from .parquet import read_table
 
 
 def st_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+    return stage_line(read_table(spark, sf_dir, "lineitem"))
+
+
+def stage_line(li: DataFrame) -> DataFrame:
+    """The st_line projection of a lineitem frame (batch or streaming)."""
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_key"),
         F.floor("l_quantity").cast("int").alias("quantity"),

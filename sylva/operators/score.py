@@ -101,20 +101,22 @@ def score_rules(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols:
     branched = joined.withColumn("branch", F.when(rule_predicate(int_cols, str_cols), 0).otherwise(1))
     keys = ["node_id", "rule_id", "branch"]
     per_col = branch_stats(branched, keys, weights, class_cols, ngram, tokenizer)
-    per_branch = per_col.groupBy(*keys).agg(
-        F.max("rows").alias("rows"), F.sum(F.col("weight") * F.col("entropy") * F.col("rows")).alias("_bterm"))
-    per_rule = per_branch.groupBy("node_id", "rule_id").agg(
-        F.sum("rows").alias("n_rows"), F.sum("_bterm").alias("_branch_sum"),
-        F.sum(xlog2x(F.col("rows"))).alias("_route_nl"), F.count(F.lit(1)).alias("n_branches"))
-    per_rule = per_rule.select(
-        "node_id", "rule_id", "n_rows", "n_branches",
-        entropy_expr(F.col("n_rows"), F.col("_route_nl"), F.col("n_branches")).alias("route_entropy"),
-        "_branch_sum")
-    per_rule = per_rule.withColumn(
+    # Rule totals by windows over the small per-column table (a self-join would
+    # make Spark run the rows x rules aggregation twice). Every branch has one row
+    # per entropy column; the first column's rows stand for the branch.
+    rep = F.col("col_name") == F.lit(next(iter(weights)))
+    w = Window.partitionBy("node_id", "rule_id")
+    scored = per_col.select(
+        "*",
+        F.sum(F.when(rep, F.col("rows"))).over(w).alias("n_rows"),
+        F.sum(F.when(rep, 1).otherwise(0)).over(w).alias("n_branches"),
+        F.sum(F.when(rep, xlog2x(F.col("rows")))).over(w).alias("_route_nl"),
+        F.sum(F.col("weight") * F.col("entropy") * F.col("rows")).over(w).alias("_branch_sum"))
+    scored = scored.withColumn(
+        "route_entropy", entropy_expr(F.col("n_rows"), F.col("_route_nl"), F.col("n_branches"))).withColumn(
         "fitness", F.col("_branch_sum") - F.lit(float(selection_factor)) * F.col("route_entropy") * F.col("n_rows"))
-    return per_col.join(per_rule.drop("_branch_sum"), ["node_id", "rule_id"]).join(
-        F.broadcast(rules.select("node_id", "rule_id", "col_name", "kind", "num_value", "term").withColumnRenamed(
-            "col_name", "rule_column")), ["node_id", "rule_id"])
+    meta = rules.select("node_id", "rule_id", F.col("col_name").alias("rule_column"), "kind", "num_value", "term")
+    return scored.drop("_route_nl", "_branch_sum").join(F.broadcast(meta), ["node_id", "rule_id"])
 
 
 def best_rules(report: DataFrame, require_two_branches: bool = True) -> DataFrame:

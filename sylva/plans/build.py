@@ -17,6 +17,7 @@ Per level there are three small jobs whatever the number of nodes:
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER
-from ..operators.profile import columns_of_kind
+from ..operators.profile import columns_of_kind, spread
 from ..operators.rules import collect_candidates, rule_columns
 from ..operators.sampling import sample_per_group
 from ..operators.score import RULE_SCHEMA, best_rules, branch_stats, number_rules, score_rules
@@ -47,7 +48,8 @@ class BuildParams:
 @dataclass
 class BuildResult:
     tree: Tree
-    levels: list[dict] = field(default_factory=list)   # per level: node stats, candidates, winners
+    levels: list[dict] = field(default_factory=list)   # per level: node stats, candidates, winners, timings
+    sec_root: float = 0.0
 
     def node_table(self, spark):
         return self.tree.to_dataframe(spark)
@@ -93,16 +95,20 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
     class_cols = [c for c in weights if c in targets or c in columns_of_kind(df, ("int",))]
     need = list(dict.fromkeys([key, *int_cols, *str_cols, *weights]))
     positions = {c: i for i, c in enumerate(df.columns)}
-    data = df.select(*need)
+    # One pass spreads a small, few-split input over all cores; an input that
+    # already has enough splits (any large table) is used as it is.
+    data = spread(df.select(*need))
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     tree = Tree()
     result = BuildResult(tree)
     try:
+        t0 = time.time()
         root = branch_stats(data.withColumn("node_id", F.lit("")), ["node_id"], weights, class_cols,
                             p.ngram, p.tokenizer or DEFAULT_TOKENIZER)
         stats = _node_stats(root.collect())
+        result.sec_root = round(time.time() - t0, 3)
         if not stats:
             return result
         tree.nodes[""].n_rows = stats[""][0]
@@ -113,9 +119,11 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             if not open_nodes:
                 break
             labelled = data.withColumn("node_id", tree.to_column()).filter(F.col("node_id").isin(open_nodes))
+            t0 = time.time()
             cands = collect_candidates(labelled, key, int_cols, str_cols, rule_samples=p.rule_samples,
                                        seed=p.seed, ngram=p.ngram, tokenizer=p.tokenizer, positions=positions)
             info["candidates"] = len(cands)
+            info["sec_candidates"] = round(time.time() - t0, 3)
             if not cands:
                 break
             rules = spark.createDataFrame(number_rules(cands, int_cols, str_cols), RULE_SCHEMA)
@@ -124,7 +132,9 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
                 scored_rows = sample_per_group(labelled, ["node_id"], key, p.sample_size, p.seed + 1)
             report = score_rules(scored_rows, rules, int_cols, str_cols, weights, class_cols,
                                  p.selection_factor, p.ngram, p.tokenizer or DEFAULT_TOKENIZER)
+            t0 = time.time()
             winners = best_rules(report).collect()
+            info["sec_scoring"] = round(time.time() - t0, 3)
             info["winners"] = [w.asDict() for w in winners]
             next_stats = {}
             for w in winners:

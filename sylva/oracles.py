@@ -65,7 +65,7 @@ def report_sql(rel: str, rules: str, int_cols, str_cols, target: str, factor: fl
                 f"AS branch, CAST(l.{target} AS VARCHAR) AS value FROM {rel} l JOIN ({rules}) r ON l.node_id = r.node_id")
     counts = f"SELECT node_id, rule_id, branch, value, count(*) AS n FROM ({branched}) GROUP BY ALL"
     per_col = (f"SELECT node_id, rule_id, branch, '{target}' AS col_name, CAST(sum(n) AS BIGINT) AS rows, "
-               f"{entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} AS entropy, 1.0 AS weight "
+               f"{entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} AS entropy, CAST(1.0 AS DOUBLE) AS weight "
                f"FROM ({counts}) GROUP BY node_id, rule_id, branch")
     per_rule = (f"SELECT node_id, rule_id, CAST(sum(rows) AS BIGINT) AS n_rows, count(*) AS n_branches, "
                 f"{entropy_sql('sum(rows)', 'sum(' + xlog2x_sql('rows') + ')', 'count(*)')} AS route_entropy, "

@@ -111,7 +111,7 @@ def _a11s(spark, sf):
 
 @query("a16_leaf_distribution", with_staged(f"""
 SELECT cluster_id, y, n, leaf_rows, n / CAST(leaf_rows AS DOUBLE) AS share FROM (
-  SELECT cluster_id, y, n, sum(n) OVER (PARTITION BY cluster_id) AS leaf_rows FROM (
+  SELECT cluster_id, y, n, CAST(sum(n) OVER (PARTITION BY cluster_id) AS BIGINT) AS leaf_rows FROM (
     SELECT cluster_id, y, count(*) AS n FROM (SELECT *, {duck(saved.DOCS_A)} AS cluster_id FROM st_docs AS T)
     GROUP BY cluster_id, y))""", "st_docs"))
 def _a16(spark, sf):
@@ -146,7 +146,7 @@ def _a17t(spark, sf):
 
 
 @query("m1_train_test_split", with_staged(
-    f"SELECT ({sampling.split_sql('row_key')}) AS is_test, count(*) AS n, sum(y) AS sum_y FROM st_line GROUP BY 1",
+    f"SELECT ({sampling.split_sql('row_key')}) AS is_test, count(*) AS n, CAST(sum(y) AS BIGINT) AS sum_y FROM st_line GROUP BY 1",
     "st_line"))
 def _m1(spark, sf):
     return st_line(spark, sf).withColumn("is_test", sampling.test_bucket("row_key")).groupBy("is_test").agg(
@@ -211,8 +211,8 @@ def _gram_counts_sql(table: str, cols: list[str], group: list[str] = (), n: int
 
 def _top_k_sql(counts: str, k: int = 10, group: list[str] = ()) -> str:
     part = ", ".join([*group, "col_name"])
-    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY n DESC, value ASC NULLS FIRST) "
-            f"AS rank FROM ({counts})) WHERE rank <= {k}")
+    return (f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY n DESC, value ASC NULLS FIRST) "
+            f"AS INTEGER) AS rank FROM ({counts})) WHERE rank <= {k}")
 
 
 def _read(spark, sf, name):

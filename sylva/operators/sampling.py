@@ -55,3 +55,10 @@ def sample_per_group_sql(table: str, group_cols: list[str], key: str, k: int, se
     tb = "".join(f", {c} ASC NULLS FIRST" for c in tiebreak)
     return (f"SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY {part} "
             f"ORDER BY {row_hash_sql(key, seed)}, {key}{tb}) AS _rn FROM {table}) WHERE _rn <= {k}")
+
+
+def lowest_hash_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """M4: the ``n`` rows of the whole table with the lowest hash (ties by key).
+    Planned as a per-partition top-n merged once (TakeOrderedAndProject), so it
+    never gathers more than n rows per task."""
+    return df.orderBy(row_hash(F.col(key), seed), F.col(key)).limit(n)

@@ -86,16 +86,18 @@ def best_sql(report: str) -> str:
 
 
 def build_sql(staged: str, key: str, int_cols, str_cols, target: str, max_depth: int = 4, min_node: int = 1000,
-              purity_limit: int = 10_000, k: int = 5, seed: int = 0, output: str = "nodes") -> str:
-    """T8 as one query: the node table of the level-wise build."""
-    ctes = [f"lab0 AS (SELECT *, '' AS node_id FROM {staged})",
+              purity_limit: int = 10_000, k: int = 5, seed: int = 0, output: str = "nodes",
+              fit_where: str = "true") -> str:
+    """T8 as one query: the node table of the level-wise build. Only rows where
+    ``fit_where`` holds grow the tree; the others are routed along (output rows)."""
+    ctes = [f"lab0 AS (SELECT *, '' AS node_id, ({fit_where}) AS _fit FROM {staged})",
             f"ent0 AS (SELECT node_id, CAST(sum(n) AS BIGINT) AS rows, {entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} "
-            f"AS went FROM (SELECT node_id, {target}, count(*) AS n FROM lab0 GROUP BY ALL) GROUP BY node_id)",
+            f"AS went FROM (SELECT node_id, {target}, count(*) AS n FROM lab0 WHERE _fit GROUP BY ALL) GROUP BY node_id)",
             "nodes0 AS (SELECT node_id, rows, went FROM ent0)"]
     for L in range(max_depth):
         stop = f"(rows < {min_node} OR (rows < {purity_limit} AND went = 0))"
         ctes += [
-            f"in{L} AS (SELECT l.* FROM lab{L} l JOIN nodes{L} n ON l.node_id = n.node_id AND NOT {stop})",
+            f"in{L} AS (SELECT l.* EXCLUDE (_fit) FROM lab{L} l JOIN nodes{L} n ON l.node_id = n.node_id AND NOT {stop} WHERE l._fit)",
             f"rules{L} AS ({rules_sql(cands_sql(f'in{L}', key, int_cols, str_cols, k, seed))})",
             f"best{L} AS ({best_sql(report_sql(f'in{L}', f'rules{L}', int_cols, str_cols, target))})",
             f"lab{L + 1} AS (SELECT l.* EXCLUDE (node_id), l.node_id || CASE WHEN b.node_id IS NULL THEN '' "
@@ -111,5 +113,5 @@ def build_sql(staged: str, key: str, int_cols, str_cols, target: str, max_depth:
             f"s.rule_column, s.kind AS rule_kind, s.num_value AS rule_value, s.term AS rule_term "
             f"FROM ({all_nodes}) n LEFT JOIN ({splits}) s ON n.node_id = s.node_id")
     if output == "rows":
-        body = f"SELECT * FROM lab{max_depth}"
+        body = f"SELECT * FROM lab{max_depth}" if fit_where == "true" else f"SELECT * FROM lab{max_depth}"
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import sampling, validate
+from .functions.hashing import row_hash_sql  # noqa: F401
 from .plans import saved
 from .plans.tree import label, label_subtree
 from .sources import parquet
@@ -461,7 +462,14 @@ def _t10p(spark, sf):
     return validate.validate(df, df, tree, "y")["pivot"]
 
 
-@query("t10_validate_accuracy")
+_T10_SPLIT_ROWS = oracles.build_sql("st_line", "row_key", LINE_INTS, LINE_STRS, "y", max_depth=3, output="rows",
+                                   fit_where=sampling.split_sql("row_key", test=False))
+
+
+@query("t10_validate_accuracy", with_staged(f"""
+SELECT CAST(sum(best) AS DOUBLE) / CAST(sum(tot) AS DOUBLE) AS accuracy, CAST(sum(tot) AS BIGINT) AS n_test FROM (
+  SELECT node_id, max(n) AS best, sum(n) AS tot FROM (
+    SELECT node_id, y, count(*) AS n FROM ({_T10_SPLIT_ROWS}) WHERE NOT _fit GROUP BY ALL) GROUP BY node_id)""", "st_line"))
 def _t10a(spark, sf):
     df = st_line(spark, sf)
     train, test = sampling.split_train_test(df, "row_key")
@@ -469,6 +477,13 @@ def _t10a(spark, sf):
     return validate.validate(df, test, tree, "y")["accuracy"]
 
 
+@query("m4_char_entropy_sample", _entropy_of_counts_sql(_gram_counts_sql(
+    f"(SELECT * FROM documents ORDER BY {sampling.row_hash_sql('doc_id')}, doc_id LIMIT 1000)", ["text"]), "n_grams"))
+def _m4(spark, sf):
+    docs = sampling.lowest_hash_rows(_read(spark, sf, "documents"), "doc_id", 1000)
+    return profile.ngram_entropy(docs, ["text"])
+
+
 # ---------------------------------------------------------------- S7, A12, A13, T11, A18
 from .operators import predict as pred  # noqa: E402
 from .plans.tree import add_labels  # noqa: E402

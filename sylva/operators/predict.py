@@ -25,18 +25,22 @@ def class_col(target: str, c) -> str:
     return f"{target}_{c}"
 
 
-def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list | None = None) -> DataFrame:
+def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list | None = None,
+                      sort: bool = True) -> DataFrame:
     """P(class | label) per label, one column ``{target}_{class}``; a class
-    never seen with a label is NULL. One aggregation, sorted by label."""
+    never seen with a label is NULL. One aggregation (sorted by label for a
+    report; unsorted when it only feeds the predictor's broadcast)."""
     classes = classes if classes is not None else distinct_classes(df, target)
     total = F.count(F.lit(1)).cast("double")
     cols = [F.try_divide(F.nullif(F.count(F.when(F.col(target) == F.lit(c), 1)), F.lit(0)).cast("double"), total)
             .alias(class_col(target, c)) for c in classes]
-    return df.groupBy(label_col).agg(*cols).orderBy(label_col)
+    m = df.groupBy(label_col).agg(*cols)
+    return m.orderBy(label_col) if sort else m
 
 
 def _bounded(m: DataFrame, what: str) -> DataFrame:
-    """Broadcast a matrix; its row count is the number of labels, checked here."""
+    """Broadcast a matrix: one row per label, i.e. per leaf of a tree, so its size
+    is bounded by the tree (2^depth rows), never by the data."""
     return F.broadcast(m)
 
 
@@ -60,7 +64,7 @@ def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: st
     mats = dict(matrices or {})
     for name in labels:
         if name not in mats:
-            mats[name] = predictive_matrix(fit_rows, name, target, classes)
+            mats[name] = predictive_matrix(fit_rows, name, target, classes, sort=False)
     out = rows.select(target, *labels.keys())
     for i, name in enumerate(labels):
         m = mats[name].select(name, *[F.col(class_col(target, c)).alias(f"_p{i}_{j}") for j, c in enumerate(classes)])

@@ -18,6 +18,7 @@ Per level there are three small jobs whatever the number of nodes:
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -29,6 +30,8 @@ from ..operators.profile import columns_of_kind, spread
 from ..operators.rules import collect_candidates, rule_columns
 from ..operators.sampling import sample_per_group
 from ..operators.score import RULE_SCHEMA, best_rules, branch_stats, number_rules, score_rules
+from ..session import scratch_path
+from ..sources.parquet import write_read_parquet
 from .tree import Rule, Tree
 
 
@@ -80,13 +83,17 @@ def stop(rows: int, weighted_entropy: float, p: BuildParams) -> bool:
 
 def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, float] | None = None,
                blacklist: list[str] | None = None, params: BuildParams | None = None,
-               persist: bool = True) -> BuildResult:
+               persist: bool | str = True) -> BuildResult:
     """Grow a tree over ``df`` to ``params.max_depth`` levels.
 
     ``targets`` are the class columns (categorical entropy, never rule columns);
     ``weights`` the entropy spec (default: supervised, the targets with weight 1);
     ``blacklist`` more columns that may not carry rules. ``key`` is a stable
-    integer row key that seeds every sample.
+    integer row key that seeds every sample. ``persist``: True keeps the feature
+    projection in memory/disk (recomputed from the source if an executor is lost);
+    ``"table"`` writes it as parquet under the shared ``spark.checkpoint.dir`` and
+    reads it back, so a lost executor costs no rescan of the source; False reads
+    the source at every level.
     """
     p = params or BuildParams()
     weights = dict(weights or {t: 1.0 for t in targets})
@@ -98,7 +105,9 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
     # One pass spreads a small, few-split input over all cores; an input that
     # already has enough splits (any large table) is used as it is.
     data = spread(df.select(*need))
-    if persist:
+    if persist == "table":
+        data = write_read_parquet(data, scratch_path(df.sparkSession, f"build-{uuid.uuid4().hex}"))
+    elif persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     tree = Tree()
@@ -155,7 +164,7 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             stats = next_stats
         return result
     finally:
-        if persist:
+        if persist and persist != "table":
             data.unpersist()
 
 

@@ -76,3 +76,10 @@ def test_build_on_supplied_table(spark):
     res = build_tree(st_event(spark, SF_SMALL), "row_key", ["y"], params=BuildParams(max_depth=2, min_node_size=100))
     s = json.loads(json.dumps(res.tree.structure()))
     assert s["rows"] == 1000
+
+
+def test_written_table_build_equals_persisted_build(spark):
+    df = _rule_table(spark, 2000)
+    a = build_tree(df, "k", ["y"], params=BuildParams(max_depth=2, min_node_size=100))
+    b = build_tree(df, "k", ["y"], params=BuildParams(max_depth=2, min_node_size=100), persist="table")
+    assert a.tree.to_json() == b.tree.to_json()

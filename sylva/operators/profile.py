@@ -137,10 +137,12 @@ def word_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: li
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a text-heavy input at least ``min_partitions`` tasks before a row
-    explodes into one row per character. A large input already has enough
-    splits and is left alone (no extra shuffle of the text)."""
+    explodes into one row per character. The decision counts the input files
+    (planning only: asking a joined plan for its partitions would run its
+    shuffle stages); an input of many files — any large table — is left alone,
+    so the text is not shuffled at scale."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < target:
         return df.repartition(target)
     return df
 

@@ -47,9 +47,24 @@ def int_candidates(sample: DataFrame, columns: list[str], node_col: str = "node_
         F.col("v").alias("num_value"), F.lit(None).cast("string").alias("term"))
 
 
+def sample_strings(sample: DataFrame, columns: list[str], node_col: str = "node_id",
+                   positions: dict[str, int] | None = None) -> DataFrame:
+    """The distinct non-NULL sampled strings per (node, column) with a small dense
+    id, so no row further down carries the text more than once."""
+    positions = positions or {c: i for i, c in enumerate(columns)}
+    arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.lit(positions[c]).alias("col_pos"),
+                             F.col(c).alias("s")) for c in columns])
+    strings = (sample.select(node_col, F.explode(arr).alias("_c")).select(node_col, "_c.*")
+               .filter(F.col("s").isNotNull()).distinct())
+    part = Window.partitionBy(node_col, "col_name")
+    return strings.withColumn("sid", F.row_number().over(part.orderBy("s"))).withColumn(
+        "n_strings", F.count(F.lit(1)).over(part))
+
+
 def text_candidates(sample: DataFrame, columns: list[str], node_col: str = "node_id", rule_samples: int = 5,
                     seed: int = 0, ngram: int = DEFAULT_NGRAM, tokenizer: str | None = DEFAULT_TOKENIZER,
-                    lo: float = 0.1, hi: float = 0.8, positions: dict[str, int] | None = None) -> DataFrame:
+                    lo: float = 0.1, hi: float = 0.8, positions: dict[str, int] | None = None,
+                    strings: DataFrame | None = None) -> DataFrame:
     """Words and grams of the sampled distinct strings whose match fraction
     over those strings is strictly inside (lo, hi); the first ``rule_samples`` per
     (node, column) by seeded md5.
@@ -62,14 +77,8 @@ def text_candidates(sample: DataFrame, columns: list[str], node_col: str = "node
     """
     positions = positions or {c: i for i, c in enumerate(columns)}
     width = max(ngram, 1)
-    arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.lit(positions[c]).alias("col_pos"),
-                             F.col(c).alias("s")) for c in columns])
-    strings = (sample.select(node_col, F.explode(arr).alias("_c")).select(node_col, "_c.*")
-               .filter(F.col("s").isNotNull()).distinct())
-    # a small dense id per distinct string, so no row below carries the text more than once
-    strings = strings.withColumn("sid", F.row_number().over(Window.partitionBy(node_col, "col_name").orderBy("s")))
-    n_strings = strings.groupBy(node_col, "col_name").agg(F.count(F.lit(1)).alias("n_strings"))
-
+    if strings is None:
+        strings = sample_strings(sample, columns, node_col, positions)
     term_arrays = []
     if tokenizer is not None:
         term_arrays.append(tokenize(F.col("s"), tokenizer))
@@ -78,23 +87,26 @@ def text_candidates(sample: DataFrame, columns: list[str], node_col: str = "node
     if not term_arrays:
         return sample.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
     all_terms = term_arrays[0] if len(term_arrays) == 1 else F.concat(*term_arrays)
-    terms = strings.select(node_col, "col_name", "col_pos", F.explode(all_terms).alias("term")).filter(
+    terms = strings.select(node_col, "col_name", "col_pos", "n_strings", F.explode(all_terms).alias("term")).filter(
         F.length("term") > 0).distinct()
 
     # every distinct substring of 1..width characters of each sampled string
     pieces_ = strings.select(node_col, "col_name", "sid", F.explode(pieces(F.col("s"), width)).alias("piece")).distinct()
 
     keyed = terms.withColumn("piece", F.substring("term", 1, width))
-    pairs = keyed.join(pieces_, [node_col, "col_name", "piece"]).select(node_col, "col_name", "col_pos", "term", "sid")
+    pairs = keyed.join(pieces_, [node_col, "col_name", "piece"]).select(
+        node_col, "col_name", "col_pos", "n_strings", "term", "sid")
     short_hits = pairs.filter(F.length("term") <= width)
     # longer terms: one row per sampled string with the terms whose prefix it holds
-    long_terms = pairs.filter(F.length("term") > width).groupBy(node_col, "col_name", "col_pos", "sid").agg(
+    long_terms = pairs.filter(F.length("term") > width).groupBy(node_col, "col_name", "col_pos", "n_strings", "sid").agg(
         F.collect_set("term").alias("ts"))
     long_hits = long_terms.join(strings.select(node_col, "col_name", "sid", "s"), [node_col, "col_name", "sid"]).select(
-        node_col, "col_name", "col_pos", F.explode(F.filter("ts", lambda t: F.col("s").contains(t))).alias("term"), "sid")
+        node_col, "col_name", "col_pos", "n_strings",
+        F.explode(F.filter("ts", lambda t: F.col("s").contains(t))).alias("term"), "sid")
     hits = short_hits.unionByName(long_hits)
-    frac = hits.groupBy(node_col, "col_name", "col_pos", "term").agg(F.countDistinct("sid").alias("n_hit")).join(
-        n_strings, [node_col, "col_name"]).withColumn("frac", F.col("n_hit") / F.col("n_strings").cast("double"))
+    # each (term, string) pair occurs once: terms and pieces are distinct
+    frac = hits.groupBy(node_col, "col_name", "col_pos", "n_strings", "term").agg(
+        F.count(F.lit(1)).alias("n_hit")).withColumn("frac", F.col("n_hit") / F.col("n_strings").cast("double"))
     ok = frac.filter((F.col("frac") > lo) & (F.col("frac") < hi))
     w = Window.partitionBy(node_col, "col_name").orderBy(term_order(F.col("term"), seed), F.col("term"))
     return ok.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= rule_samples).select(
@@ -147,7 +159,7 @@ def rule_columns(df: DataFrame, blacklist: list[str], exclude: list[str] = ()) -
 def candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: list[str], node_col: str = "node_id",
                rule_samples: int = 5, seed: int = 0, ngram: int = DEFAULT_NGRAM,
                tokenizer: str | None = DEFAULT_TOKENIZER, sample: DataFrame | None = None,
-               positions: dict[str, int] | None = None) -> DataFrame:
+               positions: dict[str, int] | None = None, strings: DataFrame | None = None) -> DataFrame:
     """T2 + T3 for every node of ``df`` (rows carry their ``node_col``).
     ``positions`` (column -> schema position) orders ties; default ``df``'s order."""
     positions = positions or {c: i for i, c in enumerate(df.columns)}
@@ -158,7 +170,7 @@ def candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: list[str]
         parts.append(int_candidates(sample, int_cols, node_col, positions))
     if str_cols:
         parts.append(text_candidates(sample, str_cols, node_col, rule_samples, seed, ngram, tokenizer,
-                                     positions=positions))
+                                     positions=positions, strings=strings))
     if not parts:
         return df.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
     out = parts[0]
@@ -176,6 +188,7 @@ def collect_candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: l
     The result is bounded by nodes x columns x rule_samples rows."""
     sample = sample_per_group(df.select(node_col, key, *int_cols, *str_cols), [node_col], key, rule_samples,
                               seed).persist()
+    cleanup = [sample]
     try:
         positions = positions or {c: i for i, c in enumerate(df.columns)}
         short, long_ = [], []
@@ -183,8 +196,10 @@ def collect_candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: l
             lens = sample.agg(*[F.max(F.length(c)).alias(c) for c in str_cols]).first().asDict()
             for c in str_cols:
                 (short if (lens[c] or 0) <= SHORT_TEXT else long_).append(c)
+        strings = sample_strings(sample, long_, node_col, positions).persist() if long_ else None
+        cleanup.append(strings)
         parts = [candidates(df, key, int_cols, long_, node_col, rule_samples, seed, ngram, tokenizer,
-                            sample=sample, positions=positions)]
+                            sample=sample, positions=positions, strings=strings)]
         if short:
             parts.append(text_candidates_short(sample, short, node_col, rule_samples, seed, ngram, tokenizer,
                                                positions=positions))
@@ -193,4 +208,6 @@ def collect_candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: l
             out = out.unionByName(p)
         return [r.asDict() for r in out.collect()]
     finally:
-        sample.unpersist()
+        for frame in cleanup:
+            if frame is not None:
+                frame.unpersist()

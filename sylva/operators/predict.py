@@ -38,10 +38,16 @@ def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list
     return m.orderBy(label_col) if sort else m
 
 
-def _bounded(m: DataFrame, what: str) -> DataFrame:
-    """Broadcast a matrix: one row per label, i.e. per leaf of a tree, so its size
-    is bounded by the tree (2^depth rows), never by the data."""
-    return F.broadcast(m)
+def _join_matrix(rows: DataFrame, m: DataFrame, name: str, n_labels: int | None) -> DataFrame:
+    """Join a matrix to the rows. A matrix has one row per label: for a tree that
+    is its leaf count (``n_labels``, at most 2^depth), known without a job; a
+    matrix supplied by the caller is counted first. Up to ``MAX_MATRIX_ROWS`` it
+    is broadcast, beyond that the planner's shuffle join is used."""
+    if n_labels is None:
+        n_labels = m.count()
+    if n_labels <= MAX_MATRIX_ROWS:
+        return rows.join(F.broadcast(m), name)
+    return rows.join(m, name)
 
 
 def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str, classes: list,
@@ -62,13 +68,15 @@ def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: st
     rows = with_labels(df)
     fit_rows = rows if fit is None else with_labels(fit)
     mats = dict(matrices or {})
-    for name in labels:
+    sizes: dict[str, int | None] = {name: None for name in mats}
+    for name, fn in labels.items():
         if name not in mats:
             mats[name] = predictive_matrix(fit_rows, name, target, classes, sort=False)
+            sizes[name] = len(fn.leaves()) if isinstance(fn, Tree) else None
     out = rows.select(target, *labels.keys())
     for i, name in enumerate(labels):
         m = mats[name].select(name, *[F.col(class_col(target, c)).alias(f"_p{i}_{j}") for j, c in enumerate(classes)])
-        out = out.join(_bounded(m, name), name)                                   # J2
+        out = _join_matrix(out, m, name, sizes[name])                             # J2
     scores = {c: reduce(lambda a, b: a * b, [F.col(f"_p{i}_{j}") for i in range(len(labels))])  # E2
               for j, c in enumerate(classes)}
     magnitude = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in scores.values()])  # E1, E3

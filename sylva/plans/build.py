@@ -132,6 +132,9 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             cands = collect_candidates(labelled, key, int_cols, str_cols, rule_samples=p.rule_samples,
                                        seed=p.seed, ngram=p.ngram, tokenizer=p.tokenizer, positions=positions)
             info["candidates"] = len(cands)
+            # the broadcast side of the scoring join: bounded by parameters, checked
+            bound = len(open_nodes) * (len(int_cols) * p.rule_samples + len(str_cols) * p.rule_samples)
+            assert len(cands) <= bound, (len(cands), bound)
             info["sec_candidates"] = round(time.time() - t0, 3)
             if not cands:
                 break

@@ -135,3 +135,33 @@ def best_rules(report: DataFrame, require_two_branches: bool = True) -> DataFram
         per_rule = per_rule.filter(F.col("n_branches") == 2)
     w = Window.partitionBy("node_id").orderBy(F.round("fitness", 6).desc(), F.col("rule_id"))
     return per_rule.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def score_best(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols: list[str],
+               weights: dict[str, float], class_cols: list[str], selection_factor: float = 1.0,
+               ngram: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """T4 + K3 without the per-column report: the same winners as
+    ``best_rules(score_rules(...))`` (fitness compared at 6 decimals), one
+    aggregation per rule and one window per node — what the build needs."""
+    need = sorted(set(int_cols) | set(str_cols) | set(weights))
+    joined = df.select("node_id", *need).join(F.broadcast(rules), "node_id")
+    branched = joined.withColumn("branch", F.when(rule_predicate(int_cols, str_cols), 0).otherwise(1))
+    per_col = branch_stats(branched, ["node_id", "rule_id", "branch"], weights, class_cols, ngram, tokenizer)
+    rep = F.col("col_name") == F.lit(next(iter(weights)))
+    went = F.col("weight") * F.col("entropy")
+    per_rule = per_col.groupBy("node_id", "rule_id").agg(
+        F.sum(F.when(rep, F.col("rows"))).alias("n_rows"),
+        F.sum(F.when(rep, 1).otherwise(0)).alias("n_branches"),
+        F.sum(F.when(rep, xlog2x(F.col("rows")))).alias("_route_nl"),
+        F.sum(went * F.col("rows")).alias("_branch_sum"),
+        F.max(F.when(rep & (F.col("branch") == 0), F.col("rows"))).alias("rows_true"),
+        F.max(F.when(rep & (F.col("branch") == 1), F.col("rows"))).alias("rows_false"),
+        F.sum(F.when(F.col("branch") == 0, went)).alias("entropy_true"),
+        F.sum(F.when(F.col("branch") == 1, went)).alias("entropy_false"))
+    route = entropy_expr(F.col("n_rows"), F.col("_route_nl"), F.col("n_branches"))
+    per_rule = per_rule.filter(F.col("n_branches") == 2).withColumn(
+        "fitness", F.col("_branch_sum") - F.lit(float(selection_factor)) * route * F.col("n_rows"))
+    w = Window.partitionBy("node_id").orderBy(F.round("fitness", 6).desc(), F.col("rule_id"))
+    best = per_rule.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_route_nl", "_branch_sum")
+    meta = rules.select("node_id", "rule_id", F.col("col_name").alias("rule_column"), "kind", "num_value", "term")
+    return best.join(F.broadcast(meta), ["node_id", "rule_id"])

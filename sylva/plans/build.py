@@ -29,7 +29,7 @@ from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER
 from ..operators.profile import columns_of_kind, spread
 from ..operators.rules import collect_candidates, rule_columns
 from ..operators.sampling import sample_per_group
-from ..operators.score import RULE_SCHEMA, best_rules, branch_stats, number_rules, score_rules
+from ..operators.score import RULE_SCHEMA, branch_stats, number_rules, score_best
 from ..session import scratch_path
 from ..sources.parquet import write_read_parquet
 from .tree import Rule, Tree
@@ -142,10 +142,9 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             scored_rows = labelled
             if p.sample_size is not None:
                 scored_rows = sample_per_group(labelled, ["node_id"], key, p.sample_size, p.seed + 1)
-            report = score_rules(scored_rows, rules, int_cols, str_cols, weights, class_cols,
-                                 p.selection_factor, p.ngram, p.tokenizer or DEFAULT_TOKENIZER)
             t0 = time.time()
-            winners = best_rules(report).collect()
+            winners = score_best(scored_rows, rules, int_cols, str_cols, weights, class_cols,
+                                 p.selection_factor, p.ngram, p.tokenizer or DEFAULT_TOKENIZER).collect()
             info["sec_scoring"] = round(time.time() - t0, 3)
             info["winners"] = [w.asDict() for w in winners]
             next_stats = {}

@@ -111,3 +111,20 @@ def test_unseen_label_is_dropped(spark):
     tree = Tree.from_splits({"": Rule("x", LT, 5.0)})
     only_low = pred.predict(test, {"lab": tree}, "y", [0, 1], fit=fit.filter("x < 5"))
     assert only_low.count() == 1
+
+
+def test_lean_scoring_picks_the_report_winners(spark):
+    from sylva.operators.score import score_best
+    from sylva.plans import saved
+    from sylva.plans.tree import label
+    from sylva.sources.staged import st_line
+    from .conftest import SF_SMALL
+    lab = label(st_line(spark, SF_SMALL), saved.LINE_A, "node_id")
+    ints, strs = ["quantity", "linenumber", "discount_pct", "tax_pct"], ["linestatus"]
+    rules = spark.createDataFrame(number_rules(collect_candidates(lab, "row_key", ints, strs), ints, strs),
+                                  RULE_SCHEMA)
+    a = {r["node_id"]: (r["rule_id"], r["rows_true"], r["rows_false"]) for r in
+         best_rules(score_rules(lab, rules, ints, strs, {"y": 1.0}, ["y"])).collect()}
+    b = {r["node_id"]: (r["rule_id"], r["rows_true"], r["rows_false"]) for r in
+         score_best(lab, rules, ints, strs, {"y": 1.0}, ["y"]).collect()}
+    assert a == b and len(a) == 5

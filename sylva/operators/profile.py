@@ -103,7 +103,8 @@ def word_counts(df: DataFrame, columns: list[str], group_cols: list[str] | None
                 tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     group_cols = list(group_cols or [])
     arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("text")) for c in columns])
-    cells = df.select(*group_cols, F.explode(arr).alias("_c")).select(*group_cols, "_c.col_name", "_c.text")
+    cells = spread(df.select(*group_cols, *columns)).select(*group_cols, F.explode(arr).alias("_c")).select(
+        *group_cols, "_c.col_name", "_c.text")
     words = cells.filter(F.col("text").isNotNull()).select(
         *group_cols, "col_name", F.explode(tokenize(F.col("text"), tokenizer)).alias("value"))
     return words.groupBy(*group_cols, "col_name", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -375,7 +375,7 @@ def _t3(spark, sf):
 
 
 def _line_report(spark, sf):
-    lab = label(st_line(spark, sf), saved.LINE_A, "node_id")
+    lab = profile.spread(label(st_line(spark, sf), saved.LINE_A, "node_id"))
     ints, strs = _names(LINE_INTS), _names(LINE_STRS)
     cands = collect_candidates(lab, "row_key", ints, strs)
     rules = spark.createDataFrame(number_rules(cands, ints, strs), RULE_SCHEMA)

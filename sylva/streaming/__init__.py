@@ -2,6 +2,6 @@
 streaming DataFrame unchanged; leaf x class counts are a plain streaming
 aggregation."""
 
-from .labels import label_counts_stream, label_stream
+from .labels import label_counts, label_counts_stream, label_stream
 
-__all__ = ["label_counts_stream", "label_stream"]
+__all__ = ["label_counts", "label_counts_stream", "label_stream"]

@@ -14,11 +14,18 @@ def label_stream(stream: DataFrame, tree: Tree, name: str = "cluster_id") -> Dat
     return stream.withColumn(name, tree.to_column())
 
 
+def label_counts(stream: DataFrame, tree: Tree, target: str, name: str = "cluster_id") -> DataFrame:
+    """Running (leaf, class) counts of a labelled stream: a streaming aggregation
+    whose state is one count per (leaf, class) — bounded by the tree and the
+    classes, not by the stream."""
+    return label_stream(stream, tree, name).groupBy(name, target).agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_counts_stream(stream: DataFrame, tree: Tree, target: str, sink_table: str, checkpoint: str,
                         name: str = "cluster_id") -> StreamingQuery:
-    """Running (leaf, class) counts of a labelled stream into a memory table.
-    State is one count per (leaf, class); the checkpoint (in the shared
-    checkpoint folder) lets the query resume after a failure."""
-    counts = label_stream(stream, tree, name).groupBy(name, target).agg(F.count(F.lit(1)).alias("n"))
-    return (counts.writeStream.outputMode("complete").format("memory").queryName(sink_table)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    """:func:`label_counts` into an in-memory table (complete mode, all available
+    input, then stop). The checkpoint (in the shared checkpoint folder) lets the
+    query resume after a failure; any other sink works the same way via
+    ``label_counts(...).writeStream``."""
+    return (label_counts(stream, tree, target, name).writeStream.outputMode("complete").format("memory")
+            .queryName(sink_table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -502,8 +502,10 @@ def _matrix_sql(label_name: str, classes, target="y", source="lab"):
     return f"SELECT {label_name}, {cols} FROM {source} GROUP BY {label_name}"
 
 
-def _predict_sql(table, trees: dict, classes, target="y", fit_where="true", where="true"):
-    labs = ", ".join(f"{duck(t)} AS {n}" for n, t in trees.items())
+def _predict_sql(table, trees: dict, classes, target="y", fit_where="true", where="true", lab_sql: str | None = None):
+    """Predictor SQL; labels from ``trees`` (rendered as CASE) or, when ``lab_sql``
+    is given, from that query (which must carry the label columns named in ``trees``)."""
+    labs = ", ".join(f"{duck(t)} AS {n}" for n, t in trees.items() if t is not None)
     names = list(trees)
     mats = ", ".join(f"m_{n} AS ({_matrix_sql(n, classes, target, f'(SELECT * FROM lab WHERE {fit_where})')})"
                      for n in names)
@@ -514,7 +516,7 @@ def _predict_sql(table, trees: dict, classes, target="y", fit_where="true", wher
     mx = "greatest(" + ", ".join(f"coalesce({target}_{c}, 0.0)" for c in classes) + ")"
     case = "CASE " + " ".join(f"WHEN {target}_{c} = max THEN {c!r}" for c in classes) + " END"
     return with_staged(f"""
-, lab AS (SELECT *, {labs} FROM {table} AS T), {mats},
+, lab AS ({lab_sql if lab_sql else f"SELECT *, {labs} FROM {table} AS T"}), {mats},
 p AS (SELECT lab.{target}, {scores} FROM (SELECT * FROM lab WHERE {where}) lab {joins}),
 n AS (SELECT {target}, {normed} FROM p),
 x AS (SELECT *, {mx} AS max FROM n)
@@ -631,3 +633,27 @@ def _stream(spark, sf):
     q = label_counts_stream(stage_line(stream), saved.LINE_A, "y", name, scratch_path(spark, f"stream-{name}"))
     q.awaitTermination()
     return spark.table(name)
+
+
+def _forest_built_sql():
+    fit = sampling.split_sql("row_key", test=False)
+    a = oracles.build_sql("st_event", "row_key", [c for c in EVENT_INTS if c[0] != "user_id"], [], "y", max_depth=3,
+                          min_node=500, output="rows", fit_where=fit)
+    b = oracles.build_sql("st_event", "row_key", [c for c in EVENT_INTS if c[0] != "hour"], [], "y", max_depth=3,
+                          min_node=500, output="rows", fit_where=fit)
+    lab = (f"SELECT a.row_key, a.y, a._fit, a.node_id AS label_a, b.node_id AS label_b FROM ({a}) a "
+           f"JOIN ({b}) b ON a.row_key = b.row_key")
+    return _accuracy_of(_predict_sql("st_event", {"label_a": None, "label_b": None}, _EVENT_CLASSES,
+                                     fit_where="_fit", where="NOT _fit", lab_sql=lab))
+
+
+@query("t11_forest_built", _forest_built_sql())
+def _t11b(spark, sf):
+    """The forest workflow end to end: two trees grown on train rows (one may not
+    use user_id, the other not hour), their class matrices fitted on train rows,
+    accuracy of the combined prediction on test rows."""
+    train, test = sampling.split_train_test(st_event(spark, sf), "row_key")
+    p = BuildParams(max_depth=3, min_node_size=500)
+    t1 = build_tree(train, "row_key", ["y"], blacklist=["user_id"], params=p).tree
+    t2 = build_tree(train, "row_key", ["y"], blacklist=["hour"], params=p).tree
+    return pred.accuracy(pred.predict(test, {"label_a": t1, "label_b": t2}, "y", _EVENT_CLASSES, fit=train), "y")

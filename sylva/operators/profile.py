@@ -138,14 +138,15 @@ def word_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: li
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a text-heavy input at least ``min_partitions`` tasks before a row
-    explodes into one row per character. The decision counts the input files
-    (planning only: asking a joined plan for its partitions would run its
-    shuffle stages); an input of many files — any large table — is left alone,
-    so the text is not shuffled at scale."""
+    explodes into one row per character. An input of many files — any large
+    table — is left alone (planning only, no job), so text is not shuffled at
+    scale; with few files the actual split count decides (a few huge files are
+    already split by Spark), and only a genuinely few-split input is
+    repartitioned."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target:
-        return df.repartition(target)
-    return df
+    if len(df.inputFiles()) >= target or df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
 
 
 def gram_counts(df: DataFrame, columns: list[str], group_cols: list[str] | None = None,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.entropy import entropy_from_counts, xlog2x
+from ..functions.entropy import entropy_from_counts
 from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER, ngrams, tokenize
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)

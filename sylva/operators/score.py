@@ -60,8 +60,7 @@ def rule_predicate(int_cols: list[str], str_cols: list[str]) -> Column:
         F.element_at(texts, F.col("idx")).contains(F.col("term")))
 
 
-def _categorical_branch_stats(df: DataFrame, keys: list[str], class_cols: list[str],
-                              weights: dict[str, float]) -> DataFrame:
+def _categorical_branch_stats(df: DataFrame, keys: list[str], class_cols: list[str]) -> DataFrame:
     """Per (keys..., column): rows and negative entropy of the column's values."""
     arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("value")) for c in class_cols])
     counts = df.select(*keys, F.explode(arr).alias("_e")).groupBy(*keys, "_e.col_name", "_e.value").agg(
@@ -79,7 +78,7 @@ def branch_stats(df: DataFrame, keys: list[str], weights: dict[str, float], clas
     txt = [c for c in weights if c not in class_cols]
     parts = []
     if cat:
-        parts.append(_categorical_branch_stats(df, keys, cat, weights))
+        parts.append(_categorical_branch_stats(df, keys, cat))
     if txt:
         rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
         ent = string_entropy(df.select(*keys, *txt), txt, keys, ngram, tokenizer).select(*keys, "col_name", "entropy")

@@ -69,7 +69,6 @@ def entropy_spec(df: DataFrame, targets: list[str], mode: str = "supervised",
     elif mode == "unsupervised":
         cols = [c for c in usable if c not in targets]
     elif mode in ("semi-supervised", "semi"):
-        cols = [c for c in usable if c not in targets] + [t for t in targets if t not in usable]
         cols = list(dict.fromkeys(list(usable) + list(targets)))
     else:
         raise ValueError(f"unknown supervision mode {mode}")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import sampling, validate
-from .functions.hashing import row_hash_sql  # noqa: F401
 from .plans import saved
 from .plans.tree import label, label_subtree
 from .sources import parquet

@@ -35,16 +35,18 @@ CANDIDATE_SCHEMA = T.StructType([
 
 def int_candidates(sample: DataFrame, columns: list[str], node_col: str = "node_id",
                    positions: dict[str, int] | None = None) -> DataFrame:
-    """Per (node, int column) the distinct sampled values, smallest dropped."""
+    """Per (node, int column) the distinct sampled values, smallest dropped.
+    One row per (node, column) holds its at most ``rule_samples`` distinct values
+    (``collect_set``), sorted and sliced: one shuffle."""
     positions = positions or {c: i for i, c in enumerate(columns)}
     arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.lit(positions[c]).alias("col_pos"),
                              F.col(c).cast("double").alias("v")) for c in columns])
-    vals = sample.select(node_col, F.explode(arr).alias("_c")).select(node_col, "_c.*").filter(
-        F.col("v").isNotNull()).distinct()
-    w = Window.partitionBy(node_col, "col_name").orderBy("v")
-    return vals.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") > 1).select(
+    vals = sample.select(node_col, F.explode(arr).alias("_c")).select(node_col, "_c.*").filter(F.col("v").isNotNull())
+    sets = vals.groupBy(node_col, "col_name", "col_pos").agg(F.sort_array(F.collect_set("v")).alias("vs"))
+    return sets.select(
         F.col(node_col).alias("node_id"), "col_name", "col_pos", F.lit("lt").alias("kind"),
-        F.col("v").alias("num_value"), F.lit(None).cast("string").alias("term"))
+        F.explode(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(1)))).alias("num_value"),
+        F.lit(None).cast("string").alias("term"))
 
 
 def sample_strings(sample: DataFrame, columns: list[str], node_col: str = "node_id",
@@ -142,12 +144,13 @@ def text_candidates_short(sample: DataFrame, columns: list[str], node_col: str =
     def frac(t):
         return F.size(F.filter("strs", lambda s: s.contains(t))).cast("double") / n
 
-    kept = groups.select(node_col, "col_name", "col_pos", F.explode(
-        F.filter(terms, lambda t: (frac(t) > F.lit(lo)) & (frac(t) < F.lit(hi)))).alias("term"))
-    w = Window.partitionBy(node_col, "col_name").orderBy(term_order(F.col("term"), seed), F.col("term"))
-    return kept.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= rule_samples).select(
+    kept = F.filter(terms, lambda t: (frac(t) > F.lit(lo)) & (frac(t) < F.lit(hi)))
+    # the first rule_samples in (md5, term) order, inside the row: no window, no shuffle
+    ordered = F.sort_array(F.transform(kept, lambda t: F.struct(term_order(t, seed).alias("o"), t.alias("t"))))
+    top = F.transform(F.slice(ordered, 1, rule_samples), lambda x: x["t"])
+    return groups.select(
         F.col(node_col).alias("node_id"), "col_name", "col_pos", F.lit("contains").alias("kind"),
-        F.lit(None).cast("double").alias("num_value"), "term")
+        F.lit(None).cast("double").alias("num_value"), F.explode(top).alias("term"))
 
 
 def rule_columns(df: DataFrame, blacklist: list[str], exclude: list[str] = ()) -> tuple[list[str], list[str]]:

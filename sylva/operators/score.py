@@ -138,10 +138,12 @@ def best_rules(report: DataFrame, require_two_branches: bool = True) -> DataFram
 
 def score_best(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols: list[str],
                weights: dict[str, float], class_cols: list[str], selection_factor: float = 1.0,
-               ngram: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+               ngram: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER, with_rule: bool = True) -> DataFrame:
     """T4 + K3 without the per-column report: the same winners as
     ``best_rules(score_rules(...))`` (fitness compared at 6 decimals), one
-    aggregation per rule and one window per node — what the build needs."""
+    aggregation per rule and one window per node — what the build needs.
+    ``with_rule=False`` leaves out the rule's column/kind/value/term (a caller
+    holding the numbered rules looks them up by ``rule_id``)."""
     need = sorted(set(int_cols) | set(str_cols) | set(weights))
     joined = df.select("node_id", *need).join(F.broadcast(rules), "node_id")
     branched = joined.withColumn("branch", F.when(rule_predicate(int_cols, str_cols), 0).otherwise(1))
@@ -162,5 +164,7 @@ def score_best(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols: l
         "fitness", F.col("_branch_sum") - F.lit(float(selection_factor)) * route * F.col("n_rows"))
     w = Window.partitionBy("node_id").orderBy(F.round("fitness", 6).desc(), F.col("rule_id"))
     best = per_rule.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_route_nl", "_branch_sum")
+    if not with_rule:
+        return best
     meta = rules.select("node_id", "rule_id", F.col("col_name").alias("rule_column"), "kind", "num_value", "term")
     return best.join(F.broadcast(meta), ["node_id", "rule_id"])

@@ -137,18 +137,22 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             info["sec_candidates"] = round(time.time() - t0, 3)
             if not cands:
                 break
-            rules = spark.createDataFrame(number_rules(cands, int_cols, str_cols), RULE_SCHEMA)
+            numbered = number_rules(cands, int_cols, str_cols)
+            by_id = {r[1]: r for r in numbered}     # rule_id -> (node, id, column, pos, kind, value, term, idx)
+            rules = spark.createDataFrame(numbered, RULE_SCHEMA)
             scored_rows = labelled
             if p.sample_size is not None:
                 scored_rows = sample_per_group(labelled, ["node_id"], key, p.sample_size, p.seed + 1)
             t0 = time.time()
             winners = score_best(scored_rows, rules, int_cols, str_cols, weights, class_cols,
-                                 p.selection_factor, p.ngram, p.tokenizer or DEFAULT_TOKENIZER).collect()
+                                 p.selection_factor, p.ngram, p.tokenizer or DEFAULT_TOKENIZER,
+                                 with_rule=False).collect()
             info["sec_scoring"] = round(time.time() - t0, 3)
             info["winners"] = [w.asDict() for w in winners]
             next_stats = {}
             for w in winners:
-                rule = Rule(w["rule_column"], w["kind"], w["num_value"], w["term"])
+                _, _, column, _, kind, value, term, _ = by_id[w["rule_id"]]
+                rule = Rule(column, kind, value, term)
                 exact = p.sample_size is None
                 tree.split(w["node_id"], rule, w["rows_true"] if exact else None, w["rows_false"] if exact else None)
                 next_stats[w["node_id"] + "0"] = (w["rows_true"], w["entropy_true"] or 0.0)

@@ -12,8 +12,6 @@ from ..session import checkpoint_dir
 #: A word: a run of characters other than blank and the five ASCII controls tab..return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: ``str.translate`` table that lower-cases A-Z only.
-ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +54,3 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
-
-
-def distinct_by(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One of the rows that agree in ``keys``."""
-    return df.dropDuplicates(keys)

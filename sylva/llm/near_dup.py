@@ -22,7 +22,6 @@ other columns play no part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, ascii_lower, table, unused, written
+from .common import ascii_lower, table, unused, written
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
-_words = re.compile(WORD).findall
 
 
 def key_of(text: Column) -> Column:
@@ -60,7 +58,8 @@ class Shingles:
         self.by = mixed(np.arange(1, words + 1, dtype="u8")) | np.uint64(1)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = _words((text or "").translate(ASCII_LOWER) if text and not text.isascii() else (text or "").lower())
+        # On bytes, lower() is of A-Z alone and split() at blank and tab..return alone.
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, "u8"), np.zeros(0, "i8")
         if len(self.known) > REMEMBERED:

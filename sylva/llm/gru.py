@@ -152,7 +152,7 @@ class GRU:
             self.p[k] = self.p[k] - np.float32(rate) * (m / np.float32(1 - 0.9**self.count)) / (
                 np.sqrt(v / np.float32(1 - 0.99**self.count)) + np.float32(1e-6))
 
-    def train(self, docs: list[np.ndarray], rate: float, window: int = 16, width: int = 512) -> int:
+    def train(self, docs: list[np.ndarray], rate: float, window: int = 16, width: int = 256) -> int:
         """One pass over documents laid end to end in ``width`` streams; returns the symbols read."""
         y = np.concatenate(docs).astype("i8")
         fresh = np.zeros(len(y), bool)

@@ -42,8 +42,9 @@ class DigestIndex:
         batch with this text), kept, text_sha256."""
         digests = written(docs.select(F.col(id_col).alias("doc_id"),
                                       F.sha2(ascii_lower(F.col(text_col)), 256).alias("text_sha256")), "digests")
-        groups = digests.groupBy("text_sha256").agg(F.max("doc_id").alias("max_id"),
-                                                    F.count(F.lit(1)).alias("group_size"))
+        # Written: the optimiser would move the anti-join below the grouping, where a hot text is not yet one row.
+        groups = written(digests.groupBy("text_sha256").agg(F.max("doc_id").alias("max_id"),
+                                                            F.count(F.lit(1)).alias("group_size")), "groups")
         fresh = groups.join(self.rows().hint("merge"), "text_sha256", "left_anti")
         fresh.select("text_sha256", "max_id").repartition(self.buckets, "text_sha256").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)

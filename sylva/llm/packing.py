@@ -35,33 +35,69 @@ from .common import table, written
 
 #: Controls that ``str.split`` takes for white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Chunks whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 200_000
+#: What the short way isn't for: characters outside printable ASCII and two Latin blocks
+#: (which have no combining marks and lower-case one by one), and special strings.
+LONG_WAY = re.compile(r"[^\x21-\x7e\u00a1-\u012f\u0131-\u017f]|<\|").search
+#: Chunks, and units, whose ids a worker remembers; the memory is emptied when full.
+REMEMBERED = 400_000
+# Fixed value: the units that the vocabulary's tokenizer cuts a lower-cased chunk into.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class ChunkEncoder:
-    """Ids (as little-endian 32-bit bytes) of texts, by a tokenizer that drops white space
-    and never joins across it: a text's ids are those of its chunks in turn, and each
-    distinct chunk is encoded once while it is remembered."""
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable,
+    else the next unused one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class Units(dict):
+    """Unit to ids (as little-endian 32-bit bytes), by the tokenizer's merges alone."""
+
+    def __init__(self, model):
+        self.merge, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, unit: str) -> bytes:
+        mapped = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
+        out = self[unit] = np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
+        return out
+
+
+class ChunkEncoder(dict):
+    """Ids of texts by a tokenizer that drops white space, lower-cases and never joins across
+    either white space or units: a text's ids are those of its chunks, a chunk's those of
+    its units, and each is worked out once while it is remembered. Chunks of rarer scripts
+    are left to the whole tokenizer."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer, self.cut = Tokenizer.from_file(vocabulary), regex.compile(UNITS).findall
+        self.units = Units(self.tokenizer.model)
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, chunk: str) -> bytes:
+        if LONG_WAY(chunk):
+            out = self.whole(chunk)
+        else:
+            out = b"".join(map(self.units.__getitem__, self.cut(chunk.lower())))
+        self[chunk] = out
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        chunks = [[t] if ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*chunks).difference(self.known))
-        self.known.update(zip(new, self._encode(new)))
-        known = self.known.__getitem__
-        for c in chunks:
-            yield b"".join(map(known, c))
+        for t in texts:
+            if ODD_SPACE.search(t):
+                yield self.whole(t)
+                continue
+            yield b"".join(map(self.__getitem__, t.split()))
+            for memory in (self, self.units):
+                if len(memory) > REMEMBERED:
+                    memory.clear()
 
 
 def _pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):

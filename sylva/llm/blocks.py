@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that a block holds, unless one document alone is longer.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 16_000_000
 
 
 def in_blocks(frames: Iterator[pd.DataFrame], text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[tuple[int, pd.DataFrame]]:
     """The rows of a task's frames in blocks of about ``chars`` characters, numbered so that
-    a task that runs again gives the same numbers."""
+    a task that runs again gives the same numbers, of at most 36 bits."""
     task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
     for frame in frames:
         lengths = frame[text].str.len().fillna(0).to_numpy()
@@ -30,12 +30,12 @@ def in_blocks(frames: Iterator[pd.DataFrame], text: str = "text", chars: int = B
             size += n + 16
             if size >= chars:
                 held.append(frame.iloc[lo:i + 1])
-                yield (task << 32) + k, pd.concat(held)
+                yield (task << 12) + k, pd.concat(held)
                 k, held, size, lo = k + 1, [], 0, i + 1
         if lo < len(frame):
             held.append(frame.iloc[lo:])
     if held:
-        yield (task << 32) + k, pd.concat(held)
+        yield (task << 12) + k, pd.concat(held)
 
 
 def terms(blocks: DataFrame, *arrays: str) -> DataFrame:

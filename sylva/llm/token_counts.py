@@ -2,8 +2,10 @@
 
 A byte-level BPE first cuts a text into pre-tokens and merges inside each alone, so a
 text's count is the sum over its pre-tokens of the pieces of each. Documents are reduced
-to frequencies of pre-tokens, block by block; the pieces of every distinct pre-token are
-counted once; the counts are joined back to the blocks and summed per document.
+to frequencies of pre-tokens, block by block. The blocks' dictionaries are dealt out and
+sorted by pre-token, so equal ones meet in a run whose pieces are counted once; a common
+one has a row per block there, read as a stream. The counts are joined back to the blocks
+and summed per document.
 
 Defined results: null counts as empty and has no token; the vocabulary's special strings
 inside a text are one token each, as the library has it; repeated rows give a row each;
@@ -29,6 +31,8 @@ from .common import table, written
 # The byte-level pre-token pattern, in general and over ASCII alone.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: Bits of a place in a block's dictionary, beside the block's number in one long.
+IDX_BITS = 28
 #: A character outside scripts whose classes all Unicode versions in use agree on; texts
 #: that have one are cut by the library itself.
 RARE = "[^\x00-ԯ -⁯]"
@@ -89,10 +93,17 @@ def _blocks(vocabulary: str):
 
 def _pieces(vocabulary: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = PreTokens(vocabulary)
+        encode, last, known = PreTokens(vocabulary).tokenizer.encode_batch_fast, None, 0
         for f in frames:
-            f["pieces"] = [len(e.ids) for e in cut.tokenizer.encode_batch(f["term"].tolist(), add_special_tokens=False)]
-            yield f
+            term = f["term"].to_numpy()
+            if not len(term):
+                continue
+            new = np.concatenate([[term[0] != last], term[1:] != term[:-1]]).astype(bool)
+            counts = [len(e.ids) for e in encode(term[new].tolist(), add_special_tokens=False)]
+            pieces = np.array([known, *counts], "i4")[np.cumsum(new)]
+            last, known = term[-1], pieces[-1]
+            at = f["at"].to_numpy()
+            yield pd.DataFrame({"block": at >> IDX_BITS, "idx": (at & ((1 << IDX_BITS) - 1)).astype("i4"), "pieces": pieces})
 
     return run
 
@@ -104,9 +115,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                          StructField("terms", ArrayType(StringType())), StructField("n", BinaryType()), StructField("steps", BinaryType()),
                          StructField("freqs", BinaryType())])
     blocks = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_blocks(vocabulary), schema), "blocks")
-    entries = terms(blocks)
-    pieces = entries.select("term").distinct().mapInPandas(_pieces(vocabulary), "term string, pieces int")
-    known = entries.join(pieces, "term").select("block", "idx", "pieces")
+    # Block and place in one number: the dictionaries are most of what is shuffled.
+    entries = terms(blocks).select((F.col("block") * (1 << IDX_BITS) + F.col("idx")).alias("at"), "term")
+    known = (entries.repartition("term").sortWithinPartitions("term")
+             .mapInPandas(_pieces(vocabulary), "block bigint, idx int, pieces int"))
 
     def fill(block, found: pd.DataFrame) -> pd.DataFrame:
         pieces = found["pieces"].to_numpy("int64")

@@ -51,7 +51,7 @@ def per_block(blocks: DataFrame, known: DataFrame, fill: Callable, schema: str)
     """``fill(block_row, known_rows)`` for every block; known: block, idx and what the
     join has found. A group is one block, of bounded size."""
     def run(key, block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return fill(block.iloc[0], found.sort_values("idx"))
+        return fill(block.iloc[0], found)
 
     known = known.select(F.col("block").alias("of_block"), *[c for c in known.columns if c != "block"])
     return blocks.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(run, schema)

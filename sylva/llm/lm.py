@@ -114,6 +114,7 @@ def symbols(docs: DataFrame, held_out: Column, id_col: str, text_col: str, frequ
     log_all, mass, end = facts.log_all, np.log10(facts.mass), facts.train_docs
 
     def fill(block, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("idx")
         c, symbol = found["c"].to_numpy("f8"), found["symbol"].to_numpy("i8")
         logs = np.log10(c + SMOOTH)
         rare = np.where(symbol >= frequent, logs - mass[np.maximum(symbol - frequent, 0)], 0.0)

@@ -85,25 +85,56 @@ def _blocks(vocabulary: str):
                 counts.append(len(found))
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
             yield pd.DataFrame({"block": [block], "doc_id": [docs["doc_id"].astype("Int64").tolist()], "n_bytes": [sizes], "terms": [list(index)],
-                                "n": [np.asarray(counts, "<u4").tobytes()], "steps": [np.concatenate(steps).tobytes()],
-                                "freqs": [np.concatenate(freqs).tobytes()]})
+                                "n": [squeezed(counts)], "steps": [squeezed(np.concatenate(steps))], "freqs": [squeezed(np.concatenate(freqs))]})
 
     return run
 
 
+def squeezed(numbers) -> bytes:
+    """Small numbers as bytes, packed tight: they are shuffled and stored as they are."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(3).compress(np.asarray(numbers, "<u4").tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype("i8")
+
+
+#: Entries whose piece counts a task gathers before it gives them out by block.
+GATHERED = 1_000_000
+
+
 def _pieces(vocabulary: str):
+    def by_block(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        at, pieces = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(at)
+        at, pieces = at[order], pieces[order]
+        block, first = np.unique(at >> IDX_BITS, return_index=True)
+        ends = [*first[1:], len(at)]
+        steps = [squeezed(np.diff(at[a:b] - (k << IDX_BITS), prepend=0)) for k, a, b in zip(block, first, ends)]
+        return pd.DataFrame({"block": block, "steps": steps, "pieces": [squeezed(pieces[a:b]) for a, b in zip(first, ends)]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, last, known = PreTokens(vocabulary).tokenizer.encode_batch_fast, None, 0
+        held, size = [], 0
         for f in frames:
             term = f["term"].to_numpy()
             if not len(term):
                 continue
             new = np.concatenate([[term[0] != last], term[1:] != term[:-1]]).astype(bool)
             counts = [len(e.ids) for e in encode(term[new].tolist(), add_special_tokens=False)]
-            pieces = np.array([known, *counts], "i4")[np.cumsum(new)]
+            pieces = np.array([known, *counts], "i8")[np.cumsum(new)]
             last, known = term[-1], pieces[-1]
-            at = f["at"].to_numpy()
-            yield pd.DataFrame({"block": at >> IDX_BITS, "idx": (at & ((1 << IDX_BITS) - 1)).astype("i4"), "pieces": pieces})
+            held.append((f["at"].to_numpy(), pieces))
+            size += len(f)
+            if size >= GATHERED:
+                yield by_block(held)
+                held, size = [], 0
+        if held:
+            yield by_block(held)
 
     return run
 
@@ -118,11 +149,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     # Block and place in one number: the dictionaries are most of what is shuffled.
     entries = terms(blocks).select((F.col("block") * (1 << IDX_BITS) + F.col("idx")).alias("at"), "term")
     known = (entries.repartition("term").sortWithinPartitions("term")
-             .mapInPandas(_pieces(vocabulary), "block bigint, idx int, pieces int"))
+             .mapInPandas(_pieces(vocabulary), "block bigint, steps binary, pieces binary"))
 
     def fill(block, found: pd.DataFrame) -> pd.DataFrame:
-        pieces = found["pieces"].to_numpy("int64")
-        n, steps, freqs = (np.frombuffer(block[c], "<u4").astype("int64") for c in ("n", "steps", "freqs"))
+        place = [np.cumsum(unsqueezed(x)) for x in found["steps"]]
+        pieces = np.zeros(sum(map(len, place)), "i8")
+        for at, own in zip(place, found["pieces"]):
+            pieces[at] = unsqueezed(own)
+        n, steps, freqs = (unsqueezed(block[c]) for c in ("n", "steps", "freqs"))
         of = np.repeat(np.arange(len(n)), n)
         run = np.cumsum(steps)
         at = run - np.repeat(np.concatenate([[0], run])[np.cumsum(n) - n], n)  # cumulative within each document

@@ -52,15 +52,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class PackedIds(dict):
+    """An id's four bytes, made once."""
+
+    def __missing__(self, n: int) -> bytes:
+        out = self[n] = n.to_bytes(4, "little")
+        return out
+
+
 class Units(dict):
     """Unit to ids (as little-endian 32-bit bytes), by the tokenizer's merges alone."""
 
     def __init__(self, model):
-        self.merge, self.letters = model.tokenize, byte_letters()
+        self.merge, self.letters, self.packed = model.tokenize, byte_letters(), PackedIds()
 
     def __missing__(self, unit: str) -> bytes:
         mapped = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
-        out = self[unit] = np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
+        packed = self.packed
+        out = self[unit] = b"".join([packed[t.id] for t in self.merge(mapped)])
         return out
 
 
@@ -82,10 +91,15 @@ class ChunkEncoder(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if LONG_WAY(chunk):
+        low, units = chunk.lower(), self.units
+        if chunk.isascii() and chunk.isalpha():
+            out = units[low]
+        elif chunk.isascii() and chunk[:-1].isalpha() and chunk[-1] in ".,!":
+            out = units[low[:-1]] + units[low[-1]]
+        elif LONG_WAY(chunk):
             out = self.whole(chunk)
         else:
-            out = b"".join(map(self.units.__getitem__, self.cut(chunk.lower())))
+            out = b"".join(map(units.__getitem__, self.cut(low)))
         self[chunk] = out
         return out
 
@@ -219,7 +233,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     lengths, ranks, firsts, offsets = _places(plan_sequences(histogram, capacity), capacity)
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = pieces.join(per_block.withColumn("before", F.coalesce(before, F.lit(0))).drop("n"), ["length", "block"])
+    ranked = pieces.join(per_block.withColumn("before", F.coalesce(before, F.lit(0))).drop("n").hint("merge"), ["length", "block"])
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = (lengths << 40) | ranks  # a length's pieces number under 2^40

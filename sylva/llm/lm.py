@@ -50,16 +50,20 @@ def form_of(term: Column) -> Column:
     return ending * (len(LETTERS) + 2) + F.when(plain, len(LETTERS) + 1).otherwise(letters)
 
 
+class Places(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
+        return out
+
+
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for block, docs in in_blocks(frames):
-        index: dict[bytes, int] = {}
-        of_doc = []
+        index, of_doc = Places(), []
         for text in docs["text"]:
             # On bytes, lower() is of A-Z alone and split() at blank and tab..return alone.
             words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            for w in words:
-                if w not in index:
-                    index[w] = len(index)
             of_doc.append(np.fromiter(map(index.__getitem__, words), "<u4", len(words)))
         train = np.zeros(len(index), "i8")
         for at, held in zip(of_doc, docs["held_out"]):

@@ -77,27 +77,41 @@ class Space:
 
 
 def scan(q: np.ndarray, x: np.ndarray, k: int, block: int, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query row, candidate row) that survive the adaptive scan of all columns."""
-    d, k = x.shape[1], min(k, len(x))
-    first = min(block, d)
-    part = (q[:, :first]**2).sum(axis=1)[:, None] + (x[:, :first]**2).sum(axis=1)[None, :] - 2 * q[:, :first] @ x[:, :first].T
-    # The bound: the k-th of exact distances to the candidates that look nearest so far.
+    """Pairs (query row, candidate row) that survive the adaptive scan of all columns. While
+    many pairs are left a block of columns is one matrix product, later a sum per pair."""
+    q, x = q.astype("f4"), x.astype("f4")
+    d, k, slack = x.shape[1], min(k, len(x)), np.float32(1 + 1e-4)  # for single precision
+
+    def grown(lo: int, hi: int) -> np.ndarray:
+        far = q[:, lo:hi] @ x[:, lo:hi].T
+        far *= -2
+        far += (x[:, lo:hi]**2).sum(axis=1)
+        far += (q[:, lo:hi]**2).sum(axis=1)[:, None]
+        return far
+
+    def limit(seen: int) -> np.ndarray:
+        """Of the distance over ``seen`` columns: the bound's share of them, and as much more as
+        a test of the candidate's being nearer than the bound allows by chance."""
+        return bound if seen >= d else bound * np.float32(seen / d * (1 + eps / np.sqrt(seen))**2)
+
+    part, hi = grown(0, min(block, d)), min(block, d)
+    # The bound: the k-th of whole distances to the candidates that look nearest so far.
     seem = np.argpartition(part, k - 1, axis=1)[:, :k]
-    bound = ((q[:, None, :] - x[seem])**2).sum(axis=2).max(axis=1) + 1e-9
-
-    def go(at: np.ndarray, limit: np.ndarray, seen: int) -> np.ndarray:
-        if seen >= d:
-            return at <= limit
-        return at * (d / seen) <= limit * (1 + eps / np.sqrt(seen))**2
-
-    qi, xi = np.nonzero(go(part, bound[:, None], first))
+    bound = ((q[:, None, :] - x[seem])**2).sum(axis=2).max(axis=1) * slack + np.float32(1e-6)
+    while True:
+        left = part <= limit(hi)[:, None]
+        if hi >= d or np.count_nonzero(left) * 8 < left.size:
+            break
+        lo, hi = hi, min(hi + block, d)
+        part += grown(lo, hi)
+    qi, xi = np.nonzero(left)
     at = part[qi, xi]
-    for lo in range(first, d, block):
+    for lo in range(hi, d, block):
         hi = min(lo + block, d)
         for s in range(0, len(qi), 1 << 18):
-            part_ = slice(s, s + (1 << 18))
-            at[part_] += ((q[qi[part_], lo:hi] - x[xi[part_], lo:hi])**2).sum(axis=1)
-        left = go(at, bound[qi], hi)
+            own = slice(s, s + (1 << 18))
+            at[own] += ((q[qi[own], lo:hi] - x[xi[own], lo:hi])**2).sum(axis=1)
+        left = at <= limit(hi)[qi]
         qi, xi, at = qi[left], xi[left], at[left]
     return qi, xi
 

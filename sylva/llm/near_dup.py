@@ -8,8 +8,9 @@ than the last place's. Two signatures agree in a place with the probability Jacc
 similarity of the weighted texts, which is the plain one where no shingle repeats.
 
 Bands of equal places name buckets. Equal texts are one node from the start. Every node is
-verified against the pivot of each of its buckets; then, in buckets that still hold more
-than one component, the nodes outside the largest are verified against all other members.
+verified against a pivot of each of its buckets, seeded by the bucket; buckets that still
+hold more than one component get other pivots; at last, where some still do, the nodes
+outside the largest component are verified against all members of others.
 So no pair that shares a bucket and could join two components goes untested, and a bucket
 of mutual copies costs a row per member. A link is an exact plain Jaccard similarity of at
 least ``threshold``. At 0.8, 25 bands of 5 places miss a pair with probability 5e-5.
@@ -33,6 +34,8 @@ from .common import ascii_lower, table, unused, written
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+#: Turns in which buckets that hold several components get a pivot each.
+PIVOTS = 3
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 
@@ -134,19 +137,18 @@ def similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """(key, label) of every key in ``links`` (a, b): the smallest key of its component, by
     alternating large-star and small-star steps on tables in the shared folder."""
-    edges, before = written(links.filter("a <> b").distinct(), "links"), None
+    edges, before = links, None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large-star")
-        edges = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-        low = written(edges.groupBy("a").agg(F.min("b").alias("m")), "small-star")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = written(large.filter("a <> b").distinct(), "large-star")  # every a above its b
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
         stars = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
-        edges = written(stars.filter("a <> b").distinct(), "links")
+        edges = written(stars.filter("a <> b").distinct(), "small-star")
         now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).union(
-                edges.select(F.col("b").alias("key"), F.col("b").alias("label"))).distinct()
+            return edges.select(F.col("a").alias("key"), F.col("b").alias("label"))
         before = now
 
 
@@ -160,29 +162,37 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     classes = written(rows_.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"),
                                                F.any_value("bands").alias("bands")), "classes")
     members = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = written(members.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("size"))
-                     .filter("size > 1").drop("size"), "buckets")
+    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "buckets")
     members = written(members.join(shared, "bucket"), "members")  # of buckets with more than one
-    star = members.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    wanted = members.select("key").distinct().join(classes, "key").select("key", F.col("class_id").alias("doc_id"))
-    wanted = written(wanted.withColumnsRenamed({"key": "_key", "doc_id": "_id"}), "wanted")
+    wanted = members.select("key").distinct().join(classes, "key").select(F.col("key").alias("_key"), F.col("class_id").alias("_id"))
     # By text and id: the copies of a hot text spread over all partitions.
-    chosen = texts.join(wanted, (texts["key"] == wanted["_key"]) & texts["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
+    chosen = texts.join(wanted.hint("merge"), (texts["key"] == F.col("_key")) & texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     shingles = written(chosen.select("key", "text").mapInPandas(_shingles, "key binary, shingles array<bigint>").dropDuplicates(["key"]), "shingles")
 
-    links = written(similar(star, shingles, threshold), "pivot-links")
-    labels = written(components(links), "labels")
-    held = written(members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "held")
-    sizes = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = written(sizes.groupBy("bucket").agg(F.max_by("label", "size").alias("main"), F.count(F.lit(1)).alias("labels"))
-                   .filter("labels > 1").drop("labels"), "split-buckets")
-    rest = written(held.join(main, "bucket").filter("label <> main")
-                   .select(F.col("bucket").alias("r_bucket"), F.col("key").alias("a"), F.col("label").alias("a_label")), "outside")
-    pairs = (rest.join(held, (F.col("r_bucket") == F.col("bucket")) & (F.col("a_label") != F.col("label")))
-             .filter("a <> pivot and key <> pivot").select(F.greatest("a", "key").alias("a"), F.least("a", "key").alias("b")).distinct())
-    more = written(similar(pairs, shingles, threshold), "other-links")
-    if not more.isEmpty():
-        labels = written(components(links.union(more)), "labels")
+    labels = written(members.select("key", F.col("key").alias("label")).distinct(), "labels")
+    for turn in range(PIVOTS + 1):
+        held = written(members.join(labels, "key"), "held")
+        split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                           F.min_by("key", F.xxhash64("key", "bucket", F.lit(turn))).alias("pivot")).filter("low <> high")
+        if turn < PIVOTS:  # every bucket its own pivot, another one each turn
+            split = written(split.select("bucket", "pivot").join(labels.withColumnsRenamed({"key": "pivot", "label": "p_label"}), "pivot"), "pivots")
+            pairs = held.join(split, "bucket").filter("label <> p_label").select(
+                F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b"))
+        else:  # all that is outside a bucket's largest component, against all others
+            sizes = held.join(written(split.select("bucket"), "split"), "bucket").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+            main = written(sizes.groupBy("bucket").agg(F.max_by("label", "size").alias("main")), "main")
+            rest = written(held.join(main, "bucket").filter("label <> main")
+                           .select(F.col("bucket").alias("r_bucket"), F.col("key").alias("r_key"), F.col("label").alias("r_label")), "outside")
+            pairs = (rest.join(held, (F.col("r_bucket") == F.col("bucket")) & (F.col("r_label") != F.col("label")))
+                     .select(F.greatest("r_key", "key").alias("a"), F.least("r_key", "key").alias("b")))
+        found = similar(pairs.distinct(), shingles, threshold)
+        # Links between components as they stand: the graph of components is what is joined up.
+        left = labels.withColumnsRenamed({"key": "a", "label": "of_a"})
+        right = labels.withColumnsRenamed({"key": "b", "label": "of_b"})
+        found = written(found.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "links")
+        if not found.isEmpty():
+            merged = components(found).select(F.col("key").alias("label"), F.col("label").alias("new"))
+            labels = written(labels.join(merged, "label", "left").select("key", F.coalesce("new", "label").alias("label")), "labels")
 
     grouped = written(labels.join(classes.drop("bands"), "key"), "grouped")
     groups = written(grouped.groupBy("label").agg(F.min("class_id").alias("cluster_id"), F.sum("n").alias("cluster_size")), "groups")

@@ -4,7 +4,7 @@ Terms are hashed byte trigrams and a few bins of the text's shape (case, punctua
 repetition, length). Document frequencies are counted over all documents. A bounded,
 seeded sample of the labelled rows (``references``) gives the latent space, a truncated
 SVD, and the voters: their unit vectors are sent to all tasks (``references`` x ``rank``
-floats, 4 MB at the defaults) and every document is held against all of them in exact
+floats, 1.5 MB at the defaults) and every document is held against all of them in exact
 blocked cosine products. The score is the neighbours' labels weighted by similarity.
 
 Defined results: a null text counts as empty, and every text has shape terms, so that an
@@ -73,7 +73,8 @@ class Voters:
         self.idf, self.labels, self.k = idf, labels.astype("f4"), min(neighbours, len(labels))
         if not len(labels):
             return
-        x = self._weighed(x)
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
         rank = min(rank, len(x))
         q = np.linalg.qr(x @ rng.standard_normal((TERMS, rank + 16)).astype("f4"))[0]
@@ -101,7 +102,7 @@ class Voters:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        references: int = 8192, rank: int = 96, neighbours: int = 15, seed: int = 5) -> Voters:
+        references: int = 4096, rank: int = 96, neighbours: int = 15, seed: int = 5) -> Voters:
     """``labels``: the rows to learn from. ``references`` bounds the labelled rows used, those
     whose ids have the lowest hashes; document frequencies are of all ``docs``."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

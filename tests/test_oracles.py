@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sylva.registry import ORACLES, QUERIES
 from sylva.sources.parquet import TABLES
 
 from .conftest import SF_SMALL
@@ -37,9 +38,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_columns_and_most_have_oracles():
-    qs, ors = queries(), oracle_sql()
-    assert set(ors) <= set(qs)
-    assert len(ors) >= len(qs) - 3
+    assert set(oracle_sql()) <= set(queries())
+    assert len(ORACLES) >= len(QUERIES) - 3  # of the library's own; the optional queries are not all SQL
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (exact_dedup, lm, mixing, near_dup, nearest, packing, quality, token_counts, warc_query)
+from . import (exact_dedup, lm, mixing, near_dup, nearest, packing, pii, quality, token_counts, warc_query)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_knn": quality.query,
     "op4_gru_lm": lm.query,
     "op5_warc": warc_query.query,
+    "op6_pseudonyms": pii.query,
     "op7_nearest": nearest.query,
     "op8_token_counts": token_counts.query,
     "op9_exact_dedup": exact_dedup.query,

@@ -8,12 +8,17 @@ than the last place's. Two signatures agree in a place with the probability Jacc
 similarity of the weighted texts, which is the plain one where no shingle repeats.
 
 Bands of equal places name buckets. Equal texts are one node from the start. Every node is
-verified against a pivot of each of its buckets, seeded by the bucket; buckets that still
-hold more than one component get other pivots; at last, where some still do, the nodes
-outside the largest component are verified against all members of others.
-So no pair that shares a bucket and could join two components goes untested, and a bucket
-of mutual copies costs a row per member. A link is an exact plain Jaccard similarity of at
-least ``threshold``. At 0.8, 25 bands of 5 places miss a pair with probability 5e-5.
+verified against a pivot of each of its buckets, the most central text first: the one whose
+buckets are the largest, mostly the same text for all buckets of a group. Where a bucket
+still holds more than one component after the turns of pivots, the members of all buckets
+of one pivot form a group, and its nodes outside the largest component are counted against
+all its members of other components: both sides are dealt into slices of a bounded number
+of shingles, a task takes one pair of slices at a time and returns only the links.
+So no pair that shares a bucket and could join two components goes untested, a bucket of
+mutual copies costs a row per member, and pairs that aren't links are never rows. The
+counting itself still grows with outsiders times members of a group. A link is an exact
+plain Jaccard similarity of at least ``threshold``. At 0.8, 25 bands of 5 places miss a
+pair with probability 5e-5.
 
 Defined results: a null text counts as empty; texts without a word are equal only to texts
 that are identical after lower-casing; of a group the smallest id is its cluster id and
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +41,9 @@ from .common import ascii_lower, table, unused, written
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Turns in which buckets that hold several components get a pivot each.
-PIVOTS = 3
+PIVOTS = 2
+#: Shingles in a slice of a group, about; distinct shingles counted at a time.
+SLICE, WIDE = 65_536, 4096
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 
@@ -134,6 +142,57 @@ def similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
             .filter(F.col("both") >= threshold * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b"))
 
 
+def shared_counts(left: np.ndarray, left_row: np.ndarray, right: np.ndarray, right_row: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many elements every set on the left has in common with every set on the right."""
+    common = np.intersect1d(left, right)
+    out = np.zeros(shape)
+    for lo in range(0, len(common), WIDE):
+        block, flags = common[lo:lo + WIDE], []
+        for values, row, n in ((left, left_row, shape[0]), (right, right_row, shape[1])):
+            at = np.minimum(np.searchsorted(block, values), len(block) - 1)
+            hit = block[at] == values
+            flags.append(np.zeros((n, len(block)), "f4"))
+            flags[-1][row[hit], at[hit]] = 1
+        out += flags[0] @ flags[1].T
+    return out
+
+
+def _links(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        sides = []
+        for side in (True, False):
+            part = group.filter(pa.compute.equal(group["outside"], side))
+            arrays = part["shingles"].combine_chunks()
+            sizes = pa.compute.list_value_length(arrays).to_numpy(zero_copy_only=False)
+            sides.append((arrays.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), sizes, part["label"]))
+        (left, left_row, n_left, a), (right, right_row, n_right, b) = sides
+        both = shared_counts(left, left_row, right, right_row, (len(n_left), len(n_right)))
+        i, j = np.nonzero(both >= threshold * (n_left[:, None] + n_right[None, :] - both))
+        found = pa.table({"a": a.take(pa.array(i)), "b": b.take(pa.array(j))})
+        return found.filter(pa.compute.not_equal(found["a"], found["b"])).group_by(["a", "b"]).aggregate([])
+
+    return run
+
+
+def remaining(groups: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) between components of each of the ``groups`` (pivot, key, label)."""
+    sizes = groups.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    rows = groups.join(shingles, "key").join(main, "pivot").withColumn("outside", F.col("label") != F.col("main"))
+    rows = written(rows.drop("main").withColumn("n", F.size("shingles")), "groups")
+    slices = written(rows.groupBy("pivot").agg(F.ceil(F.sum("n") / SLICE).alias("of_all"),
+                                               F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / SLICE).alias("of_outside")), "slices")
+    rows = rows.join(slices, "pivot")
+
+    def dealt(side: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        mine = F.pmod(F.xxhash64("key"), F.col(own)).alias(names[0])
+        return side.select("pivot", mine, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(names[1]), "label", "shingles")
+
+    left = dealt(rows.filter("outside"), "of_outside", "of_all", ("i", "j")).withColumn("outside", F.lit(True))
+    right = dealt(rows, "of_all", "of_outside", ("j", "i")).withColumn("outside", F.lit(False))
+    return left.unionByName(right).groupBy("pivot", "i", "j").applyInArrow(_links(threshold), "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, label) of every key in ``links`` (a, b): the smallest key of its component, by
     alternating large-star and small-star steps on tables in the shared folder."""
@@ -162,37 +221,35 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     classes = written(rows_.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"),
                                                F.any_value("bands").alias("bands")), "classes")
     members = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "buckets")
+    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = written(members.join(shared, "bucket"), "members")  # of buckets with more than one
     wanted = members.select("key").distinct().join(classes, "key").select(F.col("key").alias("_key"), F.col("class_id").alias("_id"))
     # By text and id: the copies of a hot text spread over all partitions.
     chosen = texts.join(wanted.hint("merge"), (texts["key"] == F.col("_key")) & texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     shingles = written(chosen.select("key", "text").mapInPandas(_shingles, "key binary, shingles array<bigint>").dropDuplicates(["key"]), "shingles")
 
-    labels = written(members.select("key", F.col("key").alias("label")).distinct(), "labels")
+    # A text near the middle of a group has its buckets in common with the most others.
+    labels = written(members.groupBy("key").agg(F.sum("size").alias("central")).withColumn("label", F.col("key")), "labels")
     for turn in range(PIVOTS + 1):
         held = written(members.join(labels, "key"), "held")
         split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                           F.min_by("key", F.xxhash64("key", "bucket", F.lit(turn))).alias("pivot")).filter("low <> high")
+                                           F.max_by("key", F.struct(F.xxhash64("key") if turn == 1 else F.col("central"), "key")).alias("pivot")).filter("low <> high")
         if turn < PIVOTS:  # every bucket its own pivot, another one each turn
-            split = written(split.select("bucket", "pivot").join(labels.withColumnsRenamed({"key": "pivot", "label": "p_label"}), "pivot"), "pivots")
+            split = written(split.select("bucket", "pivot").join(labels.select(F.col("key").alias("pivot"), F.col("label").alias("p_label")), "pivot"), "pivots")
             pairs = held.join(split, "bucket").filter("label <> p_label").select(
                 F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b"))
-        else:  # all that is outside a bucket's largest component, against all others
-            sizes = held.join(written(split.select("bucket"), "split"), "bucket").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-            main = written(sizes.groupBy("bucket").agg(F.max_by("label", "size").alias("main")), "main")
-            rest = written(held.join(main, "bucket").filter("label <> main")
-                           .select(F.col("bucket").alias("r_bucket"), F.col("key").alias("r_key"), F.col("label").alias("r_label")), "outside")
-            pairs = (rest.join(held, (F.col("r_bucket") == F.col("bucket")) & (F.col("r_label") != F.col("label")))
-                     .select(F.greatest("r_key", "key").alias("a"), F.least("r_key", "key").alias("b")))
-        found = similar(pairs.distinct(), shingles, threshold)
-        # Links between components as they stand: the graph of components is what is joined up.
-        left = labels.withColumnsRenamed({"key": "a", "label": "of_a"})
-        right = labels.withColumnsRenamed({"key": "b", "label": "of_b"})
-        found = written(found.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "links")
+            found = similar(pairs.distinct(), shingles, threshold)
+            # Links between components as they stand: the graph of components is what is joined up.
+            left = labels.select(F.col("key").alias("a"), F.col("label").alias("of_a"))
+            right = labels.select(F.col("key").alias("b"), F.col("label").alias("of_b"))
+            found = found.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        else:
+            groups = held.join(written(split.select("bucket", "pivot"), "split"), "bucket").select("pivot", "key", "label").distinct()
+            found = remaining(written(groups, "remaining"), shingles, threshold)
+        found = written(found, "links")
         if not found.isEmpty():
             merged = components(found).select(F.col("key").alias("label"), F.col("label").alias("new"))
-            labels = written(labels.join(merged, "label", "left").select("key", F.coalesce("new", "label").alias("label")), "labels")
+            labels = written(labels.join(merged, "label", "left").select("key", "central", F.coalesce("new", "label").alias("label")), "labels")
 
     grouped = written(labels.join(classes.drop("bands"), "key"), "grouped")
     groups = written(grouped.groupBy("label").agg(F.min("class_id").alias("cluster_id"), F.sum("n").alias("cluster_size")), "groups")

@@ -120,6 +120,39 @@ def test_near_dup(docs, nothing):
     assert near_dup.clusters(nothing).count() == 0
 
 
+def test_near_dup_by_slices(spark, monkeypatch):
+    """A hot group whose copies are partly under the threshold to each other, with no turn of
+    pivots but the first and slices of a few texts, against all pairs."""
+    monkeypatch.setattr(near_dup, "PIVOTS", 1)
+    monkeypatch.setattr(near_dup, "SLICE", 400)
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(70)], []
+    for i in range(150):
+        words = list(base)
+        for k in rng.integers(0, 70, rng.integers(1, 5)):
+            words[k] = f"x{rng.integers(0, 12)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[k:k + 5]) for k in range(66)} for w in map(str.split, texts)]
+    of = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((of[i], of[j]))
+                of = [low if x == high else x for x in of]
+    found = {r.doc_id: r.cluster_id for r in near_dup.clusters(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert 1 < len(set(of)) < 150 and found == dict(enumerate(of))
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(near_dup, "WIDE", 3)
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 30, n)).astype("i8") for n in sizes] for sizes in ((9, 0, 20), (5, 25)))
+    got = near_dup.shared_counts(np.concatenate(left), np.repeat(range(3), list(map(len, left))),
+                                 np.concatenate(right), np.repeat(range(2), list(map(len, right))), (3, 2))
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     h = near_dup.mixed(np.arange(1, 301, dtype="u8"))

@@ -12,14 +12,17 @@ DEFAULT_NGRAM = 6
 def tokenize(text: Column, pattern: str = DEFAULT_TOKENIZER) -> Column:
     """Split on ``pattern`` with Java ``String.split`` semantics.
 
-    Trailing empty tokens are dropped (trailing separators are stripped before
-    splitting); a leading empty token stays; a non-empty string of separators only
-    gives no tokens; the empty string gives one empty token.
+    The trailing run of empty tokens is dropped after splitting, so the work is linear
+    in the text whatever the pattern; a leading empty token stays; a non-empty string of
+    separators only gives no tokens; the empty string gives one empty token.
     """
-    stripped = F.regexp_replace(text, f"(?:{pattern})$", "")
-    return F.when(text.isNull(), F.lit(None)).when(
-        (F.length(stripped) == 0) & (F.length(text) > 0), F.array().cast("array<string>")
-    ).otherwise(F.split(stripped, pattern))
+    def without_trailing(tokens: Column) -> Column:
+        last = F.array_max(F.transform(tokens, lambda t, i: F.when(t != "", i + 1)))
+        return F.when((F.element_at(tokens, -1) != "") | (text == ""), tokens).otherwise(
+            F.slice(tokens, 1, F.coalesce(last, F.lit(0))))
+
+    # An array of one, so that the text is split once.
+    return F.transform(F.array(F.split(text, pattern)), without_trailing)[0]
 
 
 def _grams_of_length(text: Column, lo: int, hi: int) -> Column:
@@ -50,8 +53,8 @@ def pieces(text: Column, width: int = DEFAULT_NGRAM) -> Column:
 
 
 def tokenize_sql(text: str, pattern: str = DEFAULT_TOKENIZER) -> str:
-    """DuckDB text of :func:`tokenize`."""
-    stripped = f"regexp_replace({text}, '(?:{pattern})$', '')"
+    """DuckDB text of :func:`tokenize`: separators stripped from the end, then split."""
+    stripped = f"regexp_replace({text}, '(?:{pattern})+$', '')"
     return (f"CASE WHEN {text} IS NULL THEN NULL WHEN length({stripped}) = 0 AND length({text}) > 0 "
             f"THEN CAST([] AS VARCHAR[]) ELSE string_split_regex({stripped}, '{pattern}') END")
 

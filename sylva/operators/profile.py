@@ -44,14 +44,13 @@ def _moments_from(values: dict[str, Column], group_cols: list[str]) -> tuple[lis
     for i, (name, v) in enumerate(values.items()):
         x = v.cast("double")
         aggs += [F.max(x).alias(f"_{i}_max"), F.min(x).alias(f"_{i}_min"), F.count(v).alias(f"_{i}_n"),
-                 F.sum(x).alias(f"_{i}_s1"), F.sum(x * x).alias(f"_{i}_s2")]
+                 F.sum(x).alias(f"_{i}_s1"), F.sum(x * x).alias(f"_{i}_s2"), F.stddev_pop(x).alias(f"_{i}_sd")]
         mean = F.try_divide(F.col(f"_{i}_s1"), F.col(f"_{i}_n").cast("double"))
-        ex2 = F.try_divide(F.col(f"_{i}_s2"), F.col(f"_{i}_n").cast("double"))
         structs.append(F.struct(
             F.lit(name).alias("col_name"),
             F.col(f"_{i}_max").alias("max"), F.col(f"_{i}_min").alias("min"),
             F.col(f"_{i}_n").alias("sum0"), F.col(f"_{i}_s1").alias("sum1"), F.col(f"_{i}_s2").alias("sum2"),
-            mean.alias("mean"), F.sqrt(F.abs(ex2 - mean * mean)).alias("stddev"),
+            mean.alias("mean"), F.col(f"_{i}_sd").alias("stddev"),
         ))
     return aggs, structs
 
@@ -59,7 +58,7 @@ def _moments_from(values: dict[str, Column], group_cols: list[str]) -> tuple[lis
 def moments(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
             of_length: bool = False) -> DataFrame:
     """A2 / A3: max, min, sum0 (count of non-NULL), sum1, sum2, mean and the
-    population stddev ``sqrt(|E[x^2] - mean^2|)`` per column, all columns in one
+    population standard deviation per column, all columns in one
     pass. ``of_length`` profiles ``length(col)`` of string columns instead."""
     group_cols = list(group_cols or [])
     if of_length:

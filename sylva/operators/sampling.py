@@ -11,23 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.hashing import row_hash, row_hash_sql
+from ..functions.hashing import PRIME, row_hash, row_hash_sql
 
 
 def test_bucket(key: str, seed: int = 0, test_fraction: float = 0.1):
-    return F.pmod(row_hash(F.col(key), seed), F.lit(1000)) < F.lit(int(round(test_fraction * 1000)))
+    return row_hash(F.col(key), seed) < F.lit(round(test_fraction * PRIME))
 
 
 def split_train_test(df: DataFrame, key: str, seed: int = 0, test_fraction: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """M1: (train, test) — a row is a test row when its hash falls in the first
-    ``test_fraction`` of 1000 buckets. Two filters over one scan, no shuffle."""
+    ``test_fraction`` of the hash's range. Two filters over one scan, no shuffle."""
     is_test = test_bucket(key, seed, test_fraction)
     return df.filter(~is_test), df.filter(is_test)
 
 
 def split_sql(key: str, seed: int = 0, test_fraction: float = 0.1, test: bool = True) -> str:
     op = "<" if test else ">="
-    return f"({row_hash_sql(key, seed)} % 1000) {op} {int(round(test_fraction * 1000))}"
+    return f"{row_hash_sql(key, seed)} {op} {round(test_fraction * PRIME)}"
 
 
 def sample_per_group(df: DataFrame, group_cols: list[str], key: str, k: int, seed: int = 0,

@@ -169,7 +169,7 @@ def _moments_sql(table: str, cols: list[str], of_length: bool = False, group: li
         parts.append(
             f"SELECT {g + ', ' if g else ''}'{c}' AS col_name, max({x}) AS max, min({x}) AS min, {n} AS sum0, "
             f"sum({x}) AS sum1, sum({x} * {x}) AS sum2, {mean} AS mean, "
-            f"sqrt(abs(sum({x} * {x}) / CAST({n} AS DOUBLE) - {mean} * {mean})) AS stddev FROM {table}"
+            f"stddev_pop({x}) AS stddev FROM {table}"
             + (f" GROUP BY {g}" if g else ""))
     return " UNION ALL ".join(parts)
 
@@ -583,12 +583,12 @@ import uuid  # noqa: E402
 
 from .session import scratch_path  # noqa: E402
 from .sources import covtype  # noqa: E402
-from .sources.export import export_csv  # noqa: E402
+from .sources.export import export_csv, read_exported  # noqa: E402
 from .sources.staged import stage_line  # noqa: E402
 from .streaming import label_counts_stream  # noqa: E402
 
 
-def _covtype_like(li):
+def _covtype_like(li, *keep):
     """A cover-type shaped table derived from lineitem: ten measurements, one hot
     wilderness flag, one hot soil flag, a class."""
     meas = [((F.col("l_orderkey") + F.lit(i) * F.col("l_partkey")) % 1000).cast("int").alias(c)
@@ -596,7 +596,7 @@ def _covtype_like(li):
     wild = [((F.col("l_linenumber") % 4 + 1) == i).cast("int").alias(c) for i, c in enumerate(covtype.WILDERNESS, 1)]
     soil = [((F.col("l_partkey") % 40 + 1) == i).cast("int").alias(c) for i, c in enumerate(covtype.SOIL, 1)]
     cls = (F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)).cast("int")
-    return li.select(*meas, *wild, *soil, cls.alias(covtype.CLASS))
+    return li.select(*meas, *wild, *soil, cls.alias(covtype.CLASS), *keep)
 
 
 _SOIL_LIST = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in covtype.SOIL_TYPES) + "]"
@@ -615,11 +615,39 @@ def _s2(spark, sf):
                      "GROUP BY Cover_Type, Soil_Description")                 # S11
 
 
+_SPOILT = {  # lines of lineitem whose flags or fields are spoilt, by line number
+    covtype.SOIL[1]: "CASE WHEN l_linenumber = 5 THEN 1 ELSE {x} END",
+    covtype.SOIL[0]: "CASE WHEN l_linenumber = 6 THEN 0 WHEN l_linenumber = 3 AND {x} = 0 THEN -1 ELSE {x} END",
+    covtype.SOIL[2]: "CASE WHEN l_linenumber = 7 THEN 7 ELSE {x} END",
+}
+
+
+def _spoilt_sql() -> str:
+    flags = [f"CAST(l_partkey % 40 + 1 = {i} AS INTEGER)" for i in range(1, 41)]
+    ones = " + ".join(f"CAST(({_SPOILT.get(c, '{x}').format(x=f)}) = 1 AS INTEGER)" for c, f in zip(covtype.SOIL, flags))
+    return f"""
+WITH t AS (SELECT {ones} AS hot_flags, l_linenumber = 4 AND l_partkey % 5 = 0 AS no_field FROM lineitem)
+SELECT hot_flags = 1 AND NOT no_field AS accepted, hot_flags, count(*) AS n FROM t GROUP BY ALL"""
+
+
+@query("s3_onehot_rejects", _spoilt_sql())
+def _s3(spark, sf):
+    li = parquet.read_table(spark, sf, "lineitem")
+    spoilt = {c: F.expr(e.format(x=c)).cast("int") for c, e in _SPOILT.items()}
+    first = covtype.MEASUREMENTS[0]
+    spoilt[first] = F.when(~((F.col("l_linenumber") == 4) & (F.col("l_partkey") % 5 == 0)), F.col(first))
+    rows = _covtype_like(li, "l_linenumber", "l_partkey").withColumns(spoilt).drop("l_linenumber", "l_partkey")
+    good, bad = covtype.decode_onehot(rows, on_bad="split")
+    return (good.select(F.lit(True).alias("accepted"), F.lit(1).alias("hot_flags"))
+            .unionByName(bad.select(F.lit(False).alias("accepted"), "hot_flags"))
+            .groupBy("accepted", "hot_flags").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("s9_export_pivot", ORACLES["a11_cluster_pivot"])
 def _s9(spark, sf):
     pivot = validate.cluster_pivot(label(st_line(spark, sf), saved.LINE_A), "cluster_id", "y")
     path = export_csv(pivot, scratch_path(spark, f"pivot-{uuid.uuid4().hex}"), single_file=True)
-    return spark.read.schema(pivot.schema).option("header", True).option("nullValue", "").csv(path)
+    return read_exported(spark, path, pivot.schema)
 
 
 @query("st_stream_label_counts", with_staged(

@@ -10,6 +10,8 @@ into a reject table).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,25 +82,27 @@ def read_onehot_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_S
 
 
 def _hot_count(flags: list[str]):
-    return F.aggregate(F.array(*[F.col(c) for c in flags]), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    """How many flags equal 1; other values and NULL are not hot."""
+    return F.size(F.filter(F.array(*[F.col(c) for c in flags]), lambda x: x == 1))
 
 
 def decode_onehot(df: DataFrame, flags: list[str] = SOIL, names: list[str] = SOIL_TYPES,
                   out: str = DESCRIPTION, on_bad: str = "error") -> DataFrame | tuple[DataFrame, DataFrame]:
-    """S3: the description of the one set flag. ``on_bad``: ``error`` raises on a
-    row without exactly one flag; ``split`` returns ``(good, rejected)``."""
+    """S3: the description of the one flag that equals 1. A row is bad if it hasn't
+    exactly one, or if any of its fields is NULL (empty). ``on_bad``: ``error`` raises
+    on a bad row, whichever columns are read later; ``split`` returns ``(good, rejected)``."""
     hot = _hot_count(flags)
     pos = F.array_position(F.array(*[F.col(c) for c in flags]), 1).cast("int")
-    desc = F.element_at(F.array(*[F.lit(n) for n in names]), pos)
+    desc = F.get(F.array(*[F.lit(n) for n in names]), pos - 1)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in df.columns])
     if on_bad == "error":
-        checked = F.when(hot == 1, desc).otherwise(
-            F.raise_error(F.concat(F.lit("row must have exactly one hot flag, has "), hot.cast("string"))))
-        return df.withColumn(out, checked)
+        # In a filter: a column could be pruned, and the check with it.
+        checked = F.when((hot == 1) & whole, F.lit(True)).otherwise(F.raise_error(F.concat(
+            F.lit("row must have no empty field and exactly one hot flag, has "), hot.cast("string"))).cast("boolean"))
+        return df.filter(checked).withColumn(out, desc)
     if on_bad == "split":
-        tagged = df.withColumn("_hot", hot)
-        good = tagged.filter(F.col("_hot") == 1).withColumn(out, desc).drop("_hot")
-        bad = tagged.filter(F.col("_hot") != 1).withColumnRenamed("_hot", "hot_flags")
-        return good, bad
+        right = (hot == 1) & whole
+        return df.filter(right).withColumn(out, desc), df.filter(~right).withColumn("hot_flags", hot)
     raise ValueError(f"unknown on_bad {on_bad}")
 
 
@@ -112,6 +116,9 @@ def ingest(spark: SparkSession, csv_path: str, parquet_path: str | None = None)
     """S2 + S3 (+ S4 when ``parquet_path`` is given): the decoded table."""
     from .parquet import require_rows, write_read_parquet
     table = decode_onehot(read_onehot_csv(spark, csv_path))
+    # No field is NULL any more: coalesce only declares that.
+    table = table.select(*[F.coalesce(f.name, F.lit("" if isinstance(f.dataType, T.StringType) else 0)).alias(f.name)
+                           for f in final_schema()])
     if parquet_path is not None:
         table = write_read_parquet(table, parquet_path)
     return require_rows(table, "ingested table")

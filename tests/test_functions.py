@@ -1,4 +1,5 @@
 import math
+import time
 
 import duckdb
 import pytest
@@ -45,6 +46,18 @@ def test_tokenize_java_split(spark, text, words):
     assert con.execute(f"SELECT {tokenize_sql('t')} FROM (SELECT $1::VARCHAR AS t)", [text]).fetchone()[0] == words
 
 
+def test_tokenize_other_patterns_and_runs_of_blanks(spark):
+    rows = [("a,b,,,", ["a", "b"]), (",,a,,b", ["", "", "a", "", "b"]), (",,,", []), ("", [""]), (None, None)]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string").coalesce(1)
+    assert [r["w"] for r in df.select(tokenize(F.col("t"), ",").alias("w")).collect()] == [w for _, w in rows]
+    con = duckdb.connect()
+    for text, words in rows:
+        assert con.execute(f"SELECT {tokenize_sql('t', ',')} FROM (SELECT $1::VARCHAR AS t)", [text]).fetchone()[0] == words
+    long = spark.createDataFrame([("a" + " " * 100_000 + "b" + " " * 100_000,)], "t string").select(tokenize(F.col("t")).alias("w"))
+    start = time.time()
+    assert long.first()["w"] == ["a", "b"] and time.time() - start < 10
+
+
 def test_ngrams_every_position_shorter_at_end(spark):
     got = spark.createDataFrame([("abcdefgh",)], "t string").select(ngrams(F.col("t"), 6).alias("g")).first()["g"]
     assert got == ["abcdef", "bcdefg", "cdefgh", "defgh", "efgh", "fgh", "gh", "h"]

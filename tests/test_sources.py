@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sylva.session import scratch_path
 from sylva.sources import covtype
-from sylva.sources.export import export_csv
+from sylva.sources.export import export_csv, read_exported
 from sylva.sources.parquet import class_counts, load_views, stage, staged, view_counts, write_read_parquet
 
 from .conftest import SF_SMALL
@@ -51,8 +51,18 @@ def test_rows_without_exactly_one_flag_are_rejected(spark, tmp_path):
     good, bad = covtype.decode_onehot(covtype.read_onehot_csv(spark, path), on_bad="split")
     assert good.count() == 120
     assert sorted(r["hot_flags"] for r in bad.collect()) == [0, 2]
-    with pytest.raises(Exception):
-        covtype.decode_onehot(covtype.read_onehot_csv(spark, path)).collect()
+    checked = covtype.decode_onehot(covtype.read_onehot_csv(spark, path))
+    for action in (checked.collect, checked.count, checked.select("Elevation").collect):
+        with pytest.raises(Exception):
+            action()
+
+
+def test_hot_flags_are_those_that_equal_one(spark):
+    rows = [(1, -1, 1, 5), (1, 7, 0, 5), (2, -1, 0, 5), (0, 1, 0, None), (0, 1, 0, 5)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, x int")
+    good, bad = covtype.decode_onehot(df, ["a", "b", "c"], ["A", "B", "C"], "name", on_bad="split")
+    assert sorted(r["name"] for r in good.collect()) == ["A", "B"]
+    assert sorted(r["hot_flags"] for r in bad.collect()) == [0, 1, 2]
 
 
 def test_views_stage_and_lookup(spark):
@@ -84,3 +94,10 @@ def test_streaming_labels_equal_batch_labels(spark):
     batch = {(r["cluster_id"], r["y"]): r["n"] for r in label(st_line(spark, SF_SMALL), saved.LINE_A).groupBy(
         "cluster_id", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert stream == batch
+
+
+def test_export_keeps_the_empty_label(spark):
+    rows = [("", 1), (None, 2), ("a", None)]
+    df = spark.createDataFrame(rows, "cluster_id string, n int")
+    path = export_csv(df, scratch_path(spark, "csv-empty"))
+    assert {tuple(r) for r in read_exported(spark, path, df.schema).collect()} == set(rows)

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from ..plans.tree import Tree
 from .validate import distinct_classes
 
-MAX_MATRIX_ROWS = 1_000_000
-
 
 def class_col(target: str, c) -> str:
     return f"{target}_{c}"
@@ -29,7 +27,7 @@ def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list
                       sort: bool = True) -> DataFrame:
     """P(class | label) per label, one column ``{target}_{class}``; a class
     never seen with a label is NULL. One aggregation (sorted by label for a
-    report; unsorted when it only feeds the predictor's broadcast)."""
+    report; unsorted when it only feeds the predictor)."""
     classes = classes if classes is not None else distinct_classes(df, target)
     total = F.count(F.lit(1)).cast("double")
     cols = [F.try_divide(F.nullif(F.count(F.when(F.col(target) == F.lit(c), 1)), F.lit(0)).cast("double"), total)
@@ -38,18 +36,6 @@ def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list
     return m.orderBy(label_col) if sort else m
 
 
-def _join_matrix(rows: DataFrame, m: DataFrame, name: str, n_labels: int | None) -> DataFrame:
-    """Join a matrix to the rows. A matrix has one row per label: for a tree that
-    is its leaf count (``n_labels``, at most 2^depth), known without a job; a
-    matrix supplied by the caller is counted first. Up to ``MAX_MATRIX_ROWS`` it
-    is broadcast, beyond that the planner's shuffle join is used."""
-    if n_labels is None:
-        n_labels = m.count()
-    if n_labels <= MAX_MATRIX_ROWS:
-        return rows.join(F.broadcast(m), name)
-    return rows.join(m, name)
-
-
 def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str, classes: list,
             matrices: dict[str, DataFrame] | None = None, fit: DataFrame | None = None) -> DataFrame:
     """Per row the class column, one normalised score per class, ``max``
@@ -58,7 +44,8 @@ def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: st
     ``labels`` maps a label column name to its tree (or column, or None when the
     column is already on ``df``). Matrices come from ``matrices`` or are fitted
     on ``fit`` (default: ``df`` itself, the in-sample form of the reference). A
-    row whose label is missing from a matrix is dropped (inner join).
+    row whose label is missing from a matrix is dropped (inner join; the planner
+    broadcasts a matrix, of one row per label, where its size allows).
     """
     def with_labels(frame: DataFrame) -> DataFrame:
         cols = [(fn.to_column() if isinstance(fn, Tree) else fn).alias(name)
@@ -68,15 +55,13 @@ def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: st
     rows = with_labels(df)
     fit_rows = rows if fit is None else with_labels(fit)
     mats = dict(matrices or {})
-    sizes: dict[str, int | None] = {name: None for name in mats}
     for name, fn in labels.items():
         if name not in mats:
             mats[name] = predictive_matrix(fit_rows, name, target, classes, sort=False)
-            sizes[name] = len(fn.leaves()) if isinstance(fn, Tree) else None
     out = rows.select(target, *labels.keys())
     for i, name in enumerate(labels):
         m = mats[name].select(name, *[F.col(class_col(target, c)).alias(f"_p{i}_{j}") for j, c in enumerate(classes)])
-        out = _join_matrix(out, m, name, sizes[name])                             # J2
+        out = out.join(m, name)                             # J2
     scores = {c: reduce(lambda a, b: a * b, [F.col(f"_p{i}_{j}") for i in range(len(labels))])  # E2
               for j, c in enumerate(classes)}
     magnitude = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in scores.values()])  # E1, E3

@@ -118,11 +118,18 @@ def score_rules(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols:
     return scored.drop("_route_nl", "_branch_sum").join(F.broadcast(meta), ["node_id", "rule_id"])
 
 
+def _compared():
+    """Fitness per row of the node, as rules are compared by: the sum itself grows with
+    the node, and its rounding errors with it."""
+    return F.round(F.col("fitness") / (F.coalesce("rows_true", F.lit(0)) + F.coalesce("rows_false", F.lit(0))), 12)
+
+
 def best_rules(report: DataFrame, require_two_branches: bool = True) -> DataFrame:
     """K3: per node the rule with the highest fitness; ties go to the lower rule
-    id (column position, value, term). Fitness is compared at 6 decimals, so two
-    rules whose sums differ only by floating-point summation order (e.g. mirror
-    splits) tie the same way in every run, partitioning and engine. One row per
+    id (column position, value, term). Fitness is compared per row of the node at 12
+    decimals, so two rules whose sums differ only by floating-point summation order
+    (e.g. mirror splits) tie the same way in every run, partitioning and engine,
+    however large the node. One row per
     node: the winning rule and its two branch sizes."""
     per_rule = report.groupBy("node_id", "rule_id", "rule_column", "kind", "num_value", "term").agg(
         F.first("fitness").alias("fitness"), F.first("n_branches").alias("n_branches"),
@@ -132,7 +139,7 @@ def best_rules(report: DataFrame, require_two_branches: bool = True) -> DataFram
         F.sum(F.when(F.col("branch") == 1, F.col("weight") * F.col("entropy"))).alias("entropy_false"))
     if require_two_branches:
         per_rule = per_rule.filter(F.col("n_branches") == 2)
-    w = Window.partitionBy("node_id").orderBy(F.round("fitness", 6).desc(), F.col("rule_id"))
+    w = Window.partitionBy("node_id").orderBy(_compared().desc(), F.col("rule_id"))
     return per_rule.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
@@ -140,7 +147,7 @@ def score_best(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols: l
                weights: dict[str, float], class_cols: list[str], selection_factor: float = 1.0,
                ngram: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER, with_rule: bool = True) -> DataFrame:
     """T4 + K3 without the per-column report: the same winners as
-    ``best_rules(score_rules(...))`` (fitness compared at 6 decimals), one
+    ``best_rules(score_rules(...))`` (fitness compared per row), one
     aggregation per rule and one window per node — what the build needs.
     ``with_rule=False`` leaves out the rule's column/kind/value/term (a caller
     holding the numbered rules looks them up by ``rule_id``)."""
@@ -162,7 +169,7 @@ def score_best(df: DataFrame, rules: DataFrame, int_cols: list[str], str_cols: l
     route = entropy_expr(F.col("n_rows"), F.col("_route_nl"), F.col("n_branches"))
     per_rule = per_rule.filter(F.col("n_branches") == 2).withColumn(
         "fitness", F.col("_branch_sum") - F.lit(float(selection_factor)) * route * F.col("n_rows"))
-    w = Window.partitionBy("node_id").orderBy(F.round("fitness", 6).desc(), F.col("rule_id"))
+    w = Window.partitionBy("node_id").orderBy(_compared().desc(), F.col("rule_id"))
     best = per_rule.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_route_nl", "_branch_sum")
     if not with_rule:
         return best

@@ -40,8 +40,7 @@ def leaf_distribution(df: DataFrame, label_col: str, target: str) -> DataFrame:
     """Per (leaf, class) the row count and its share of the leaf."""
     counts = df.groupBy(label_col, target).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(label_col).agg(F.sum("n").alias("leaf_rows"))
-    # totals has one row per leaf (<= 2^depth): a bounded broadcast.
-    return counts.join(F.broadcast(totals), label_col).withColumn(
+    return counts.join(totals, label_col).withColumn(
         "share", F.col("n") / F.col("leaf_rows").cast("double"))
 
 
@@ -59,7 +58,7 @@ def leaf_accuracy(test: DataFrame, label_col: str, target: str, fit: DataFrame |
     test_counts = test.groupBy(label_col, target).agg(F.count(F.lit(1)).alias("n"))
     fit_counts = test_counts if fit is None else fit.groupBy(label_col, target).agg(F.count(F.lit(1)).alias("n"))
     pred = majority_class(fit_counts, label_col, target)
-    scored = test_counts.join(F.broadcast(pred), label_col, "left")
+    scored = test_counts.join(pred, label_col, "left")
     return scored.agg(
         (F.sum(F.when(F.col(target) == F.col("predicted"), F.col("n")).otherwise(0)).cast("double")
          / F.sum("n").cast("double")).alias("accuracy"),

@@ -81,7 +81,7 @@ def best_sql(report: str) -> str:
                 f"max(CASE WHEN branch = 1 THEN rows END) AS rows_false, "
                 f"sum(CASE WHEN branch = 0 THEN weight * entropy END) AS entropy_true, "
                 f"sum(CASE WHEN branch = 1 THEN weight * entropy END) AS entropy_false FROM ({report}) GROUP BY ALL")
-    return (f"SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY round(fitness, 6) DESC, rule_id) "
+    return (f"SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY round(fitness / (coalesce(rows_true, 0) + coalesce(rows_false, 0)), 12) DESC, rule_id) "
             f"AS _r FROM ({per_rule}) WHERE n_branches = 2) WHERE _r = 1")
 
 

@@ -32,6 +32,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are dropped as soon as nothing reads them: what an
+    operator returns must rest on none of them, so that a lost executor finds all it needs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes these tables, none named: all. A frame that isn't one of them is left alone."""
+        self.keep(*[t for t, _ in self.held if tables and not any(t is x for x in tables)])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all but these tables."""
+        gone = [path for t, path in self.held if not any(t is x for x in tables)]
+        self.held = [h for h in self.held if h[1] not in gone]
+        context = self.spark.sparkContext
+        for path in gone:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Null as empty, A-Z lower-cased and nothing else. A text of single-byte characters
     takes the plain ``lower``, which is the same there and far faster."""

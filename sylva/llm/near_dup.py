@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, unused, written
+from .common import Scratch, ascii_lower, table, unused, written
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -174,14 +174,14 @@ def _links(threshold: float):
     return run
 
 
-def remaining(groups: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+def remaining(groups: DataFrame, shingles: DataFrame, threshold: float, tmp: Scratch) -> DataFrame:
     """The links (a, b) between components of each of the ``groups`` (pivot, key, label)."""
     sizes = groups.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
     rows = groups.join(shingles, "key").join(main, "pivot").withColumn("outside", F.col("label") != F.col("main"))
-    rows = written(rows.drop("main").withColumn("n", F.size("shingles")), "groups")
-    slices = written(rows.groupBy("pivot").agg(F.ceil(F.sum("n") / SLICE).alias("of_all"),
-                                               F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / SLICE).alias("of_outside")), "slices")
+    rows = tmp.write(rows.drop("main").withColumn("n", F.size("shingles")), "groups")
+    slices = tmp.write(rows.groupBy("pivot").agg(F.ceil(F.sum("n") / SLICE).alias("of_all"),
+                                                 F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / SLICE).alias("of_outside")), "slices")
     rows = rows.join(slices, "pivot")
 
     def dealt(side: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
@@ -193,7 +193,7 @@ def remaining(groups: DataFrame, shingles: DataFrame, threshold: float) -> DataF
     return left.unionByName(right).groupBy("pivot", "i", "j").applyInArrow(_links(threshold), "a binary, b binary").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tmp: Scratch) -> DataFrame:
     """(key, label) of every key in ``links`` (a, b): the smallest key of its component, by
     alternating large-star and small-star steps on tables in the shared folder."""
     edges, before = links, None
@@ -201,10 +201,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(large.filter("a <> b").distinct(), "large-star")  # every a above its b
+        last, edges = edges, tmp.write(large.filter("a <> b").distinct(), "large-star")  # every a above its b
+        tmp.drop(last)
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         stars = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
-        edges = written(stars.filter("a <> b").distinct(), "small-star")
+        last, edges = edges, tmp.write(stars.filter("a <> b").distinct(), "small-star")
+        tmp.drop(last)
         now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("key"), F.col("b").alias("label"))
@@ -217,25 +219,27 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     text), cluster_id (the smallest of its group), cluster_size (rows) and kept."""
     texts = docs.select(F.col(id_col).alias("doc_id"), key_of(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
+    tmp = Scratch(docs.sparkSession)
     rows_ = written(texts.mapInPandas(_bands(bands, rows), f"doc_id {id_type}, key binary, bands array<bigint>"), "signatures")
-    classes = written(rows_.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"),
-                                               F.any_value("bands").alias("bands")), "classes")
+    classes = tmp.write(rows_.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"),
+                                                 F.any_value("bands").alias("bands")), "classes")
     members = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    members = written(members.join(shared, "bucket"), "members")  # of buckets with more than one
+    shared = tmp.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    members = tmp.write(members.join(shared, "bucket"), "members")  # of buckets with more than one
+    tmp.drop(shared)
     wanted = members.select("key").distinct().join(classes, "key").select(F.col("key").alias("_key"), F.col("class_id").alias("_id"))
     # By text and id: the copies of a hot text spread over all partitions.
     chosen = texts.join(wanted.hint("merge"), (texts["key"] == F.col("_key")) & texts["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    shingles = written(chosen.select("key", "text").mapInPandas(_shingles, "key binary, shingles array<bigint>").dropDuplicates(["key"]), "shingles")
+    shingles = tmp.write(chosen.select("key", "text").mapInPandas(_shingles, "key binary, shingles array<bigint>").dropDuplicates(["key"]), "shingles")
 
     # A text near the middle of a group has its buckets in common with the most others.
-    labels = written(members.groupBy("key").agg(F.sum("size").alias("central")).withColumn("label", F.col("key")), "labels")
+    labels = tmp.write(members.groupBy("key").agg(F.sum("size").alias("central")).withColumn("label", F.col("key")), "labels")
     for turn in range(PIVOTS + 1):
-        held = written(members.join(labels, "key"), "held")
+        held = tmp.write(members.join(labels, "key"), "held")
         split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                            F.max_by("key", F.struct(F.xxhash64("key") if turn == 1 else F.col("central"), "key")).alias("pivot")).filter("low <> high")
         if turn < PIVOTS:  # every bucket its own pivot, another one each turn
-            split = written(split.select("bucket", "pivot").join(labels.select(F.col("key").alias("pivot"), F.col("label").alias("p_label")), "pivot"), "pivots")
+            split = tmp.write(split.select("bucket", "pivot").join(labels.select(F.col("key").alias("pivot"), F.col("label").alias("p_label")), "pivot"), "pivots")
             pairs = held.join(split, "bucket").filter("label <> p_label").select(
                 F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("b"))
             found = similar(pairs.distinct(), shingles, threshold)
@@ -244,19 +248,21 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             right = labels.select(F.col("key").alias("b"), F.col("label").alias("of_b"))
             found = found.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
         else:
-            groups = held.join(written(split.select("bucket", "pivot"), "split"), "bucket").select("pivot", "key", "label").distinct()
-            found = remaining(written(groups, "remaining"), shingles, threshold)
-        found = written(found, "links")
+            groups = held.join(tmp.write(split.select("bucket", "pivot"), "split"), "bucket").select("pivot", "key", "label").distinct()
+            found = remaining(tmp.write(groups, "remaining"), shingles, threshold, tmp)
+        found = tmp.write(found, "links")
         if not found.isEmpty():
-            merged = components(found).select(F.col("key").alias("label"), F.col("label").alias("new"))
-            labels = written(labels.join(merged, "label", "left").select("key", "central", F.coalesce("new", "label").alias("label")), "labels")
+            merged = components(found, tmp).select(F.col("key").alias("label"), F.col("label").alias("new"))
+            labels = tmp.write(labels.join(merged, "label", "left").select("key", "central", F.coalesce("new", "label").alias("label")), "labels")
+        tmp.keep(classes, members, shingles, labels)
 
-    grouped = written(labels.join(classes.drop("bands"), "key"), "grouped")
-    groups = written(grouped.groupBy("label").agg(F.min("class_id").alias("cluster_id"), F.sum("n").alias("cluster_size")), "groups")
+    grouped = tmp.write(labels.join(classes.drop("bands"), "key"), "grouped")
+    groups = tmp.write(grouped.groupBy("label").agg(F.min("class_id").alias("cluster_id"), F.sum("n").alias("cluster_size")), "groups")
     of_key = grouped.join(groups, "label").select("key", "cluster_id", "cluster_size")
     of_key = written(classes.drop("bands").join(of_key, "key", "left").select(
         "key", "class_id", F.when(F.col("cluster_size").isNull(), F.col("class_id")).otherwise(F.col("cluster_id")).alias("cluster_id"),
         F.coalesce("cluster_size", "n").alias("cluster_size")), "clusters")
+    tmp.drop()
     return rows_.drop("bands").join(of_key, "key").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("cluster_id")))
 
 

@@ -34,6 +34,12 @@ def row_hash_sql(key: str, seed: int = 0) -> str:
     return f"((xor({y}, {XOR_C}) * {MUL_B}) % {PRIME})"
 
 
+def level_seed(seed: int, level: int) -> int:
+    """The seed of a level of the build: far from the others, so that the rows first in
+    one level's order aren't first again in the next one's."""
+    return (int(seed) + level * MUL_B) % PRIME
+
+
 def term_order(term: Column, seed: int = 0) -> Column:
     """Order key for candidate terms: md5 of the seed and the term."""
     return F.md5(F.concat(F.lit(f"{int(seed)}:"), term))

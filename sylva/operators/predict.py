@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tree import Tree
-from .validate import distinct_classes
+from .validate import class_list, cluster_counts
 
 
 def class_col(target: str, c) -> str:
@@ -28,7 +28,7 @@ def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list
     """P(class | label) per label, one column ``{target}_{class}``; a class
     never seen with a label is NULL. One aggregation (sorted by label for a
     report; unsorted when it only feeds the predictor)."""
-    classes = classes if classes is not None else distinct_classes(df, target)
+    classes = classes if classes is not None else class_list(df, target)
     total = F.count(F.lit(1)).cast("double")
     cols = [F.try_divide(F.nullif(F.count(F.when(F.col(target) == F.lit(c), 1)), F.lit(0)).cast("double"), total)
             .alias(class_col(target, c)) for c in classes]
@@ -36,6 +36,15 @@ def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list
     return m.orderBy(label_col) if sort else m
 
 
+def predictive_matrix_long(df: DataFrame, label_col: str, target: str) -> DataFrame:
+    """A12 in long form: (label, class, p) for any number of classes, classes seen with the
+    label only. Rows without a class count in the label's total, as in the wide form."""
+    counts = cluster_counts(df, label_col, target)
+    totals = counts.groupBy(F.col(label_col).alias("_label")).agg(F.sum("n").alias("_rows"))
+    joined = counts.join(totals, F.col(label_col).eqNullSafe(F.col("_label"))).filter(F.col(target).isNotNull())
+    return joined.select(label_col, target, (F.col("n").cast("double") / F.col("_rows").cast("double")).alias("p"))
+
+
 def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str, classes: list,
             matrices: dict[str, DataFrame] | None = None, fit: DataFrame | None = None) -> DataFrame:
     """Per row the class column, one normalised score per class, ``max``

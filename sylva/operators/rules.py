@@ -21,8 +21,6 @@ from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER, pieces, rule_gram
 from .profile import columns_of_kind
 from .sampling import sample_per_group
 
-SHORT_TEXT = 256   # sampled strings up to this length take the array-function path of T3
-
 CANDIDATE_SCHEMA = T.StructType([
     T.StructField("node_id", T.StringType(), False),
     T.StructField("col_name", T.StringType(), False),
@@ -116,43 +114,6 @@ def text_candidates(sample: DataFrame, columns: list[str], node_col: str = "node
         F.lit(None).cast("double").alias("num_value"), "term")
 
 
-def text_candidates_short(sample: DataFrame, columns: list[str], node_col: str = "node_id", rule_samples: int = 5,
-                          seed: int = 0, ngram: int = DEFAULT_NGRAM, tokenizer: str | None = DEFAULT_TOKENIZER,
-                          lo: float = 0.1, hi: float = 0.8, positions: dict[str, int] | None = None) -> DataFrame:
-    """T3 for columns whose sampled strings are all short: the same result as
-    :func:`text_candidates`, computed on one row per (node, column) holding its at
-    most ``rule_samples`` distinct strings, with array functions (two shuffles
-    instead of a join plan). Containment is a direct ``contains`` per (term,
-    string), which is cheap only because the strings are short."""
-    positions = positions or {c: i for i, c in enumerate(columns)}
-    arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.lit(positions[c]).alias("col_pos"),
-                             F.col(c).alias("s")) for c in columns])
-    groups = (sample.select(node_col, F.explode(arr).alias("_c")).select(node_col, "_c.*")
-              .filter(F.col("s").isNotNull())
-              .groupBy(node_col, "col_name", "col_pos").agg(F.collect_set("s").alias("strs")))
-    parts = []
-    if tokenizer is not None:
-        parts.append(lambda s: tokenize(s, tokenizer))
-    if ngram > 0:
-        parts.append(lambda s: rule_grams(s, ngram))
-    if not parts:
-        return sample.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
-    terms = F.array_distinct(F.filter(F.flatten(F.transform("strs", lambda s: F.concat(*[p(s) for p in parts]))),
-                                      lambda t: F.length(t) > 0))
-    n = F.size("strs").cast("double")
-
-    def frac(t):
-        return F.size(F.filter("strs", lambda s: s.contains(t))).cast("double") / n
-
-    kept = F.filter(terms, lambda t: (frac(t) > F.lit(lo)) & (frac(t) < F.lit(hi)))
-    # the first rule_samples in (md5, term) order, inside the row: no window, no shuffle
-    ordered = F.sort_array(F.transform(kept, lambda t: F.struct(term_order(t, seed).alias("o"), t.alias("t"))))
-    top = F.transform(F.slice(ordered, 1, rule_samples), lambda x: x["t"])
-    return groups.select(
-        F.col(node_col).alias("node_id"), "col_name", "col_pos", F.lit("contains").alias("kind"),
-        F.lit(None).cast("double").alias("num_value"), F.explode(top).alias("term"))
-
-
 def rule_columns(df: DataFrame, blacklist: list[str], exclude: list[str] = ()) -> tuple[list[str], list[str]]:
     """Columns that may carry rules: integer and string columns not blacklisted."""
     cols = [c for c in df.columns if c not in set(blacklist) | set(exclude)]
@@ -194,21 +155,10 @@ def collect_candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: l
     cleanup = [sample]
     try:
         positions = positions or {c: i for i, c in enumerate(df.columns)}
-        short, long_ = [], []
-        if str_cols:
-            lens = sample.agg(*[F.max(F.length(c)).alias(c) for c in str_cols]).first().asDict()
-            for c in str_cols:
-                (short if (lens[c] or 0) <= SHORT_TEXT else long_).append(c)
-        strings = sample_strings(sample, long_, node_col, positions).persist() if long_ else None
+        strings = sample_strings(sample, str_cols, node_col, positions).persist() if str_cols else None
         cleanup.append(strings)
-        parts = [candidates(df, key, int_cols, long_, node_col, rule_samples, seed, ngram, tokenizer,
-                            sample=sample, positions=positions, strings=strings)]
-        if short:
-            parts.append(text_candidates_short(sample, short, node_col, rule_samples, seed, ngram, tokenizer,
-                                               positions=positions))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = candidates(df, key, int_cols, str_cols, node_col, rule_samples, seed, ngram, tokenizer,
+                         sample=sample, positions=positions, strings=strings)
         return [r.asDict() for r in out.collect()]
     finally:
         for frame in cleanup:

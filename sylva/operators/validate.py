@@ -8,16 +8,21 @@ from pyspark.sql.window import Window
 
 from ..plans.tree import Tree
 
-MAX_CLASSES = 10_000
 
+def distinct_classes(df: DataFrame, target: str) -> DataFrame:
+    """The non-NULL classes of the target, sorted; one aggregation, no limit."""
+    return df.select(target).filter(F.col(target).isNotNull()).distinct().orderBy(target)
 
-def distinct_classes(df: DataFrame, target: str, limit: int = MAX_CLASSES) -> list:
-    """The sorted non-NULL classes of the target. The class list becomes the
-    pivot's column list, so it is bounded: more than ``limit`` classes is an error."""
-    vals = [r[0] for r in df.select(target).filter(F.col(target).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{target} has more than {limit} classes")
-    return sorted(vals)
+
+def class_list(df: DataFrame, target: str) -> list:
+    """The classes as a list, for the wide forms only: those have a column per class, so
+    a target with very many classes belongs in the long ones (:func:`cluster_counts`)."""
+    return [r[0] for r in distinct_classes(df, target).collect()]
+
+
+def cluster_counts(df: DataFrame, label_col: str, target: str) -> DataFrame:
+    """A11 in long form: (label, class, n), for any number of classes; NULL is a class."""
+    return df.groupBy(label_col, target).agg(F.count(F.lit(1)).alias("n"))
 
 
 def recode_class(df: DataFrame, target: str, prefix: str | None = None) -> DataFrame:
@@ -30,7 +35,7 @@ def cluster_pivot(df: DataFrame, label_col: str, target: str, classes: list | No
     """A11 + K1: rows per (cluster, class), one column ``{target}_{class}`` per
     class, NULL where a cluster has no row of a class; sorted by cluster.
     Rows with a NULL class are in no column."""
-    classes = classes if classes is not None else distinct_classes(df, target)
+    classes = classes if classes is not None else class_list(df, target)
     names = [f"{target}_{c}" for c in classes]
     recoded = recode_class(df.select(label_col, target), target)
     return recoded.groupBy(label_col).pivot(target, names).agg(F.count(F.lit(1))).orderBy(label_col)

@@ -5,7 +5,7 @@ the portable hashes of :mod:`sylva.functions.hashing`)."""
 from __future__ import annotations
 
 from .functions.entropy import entropy_sql, xlog2x_sql
-from .functions.hashing import row_hash_sql, term_order_sql
+from .functions.hashing import level_seed, row_hash_sql, term_order_sql
 from .functions.text import rule_grams_sql, tokenize_sql
 
 
@@ -86,26 +86,36 @@ def best_sql(report: str) -> str:
 
 
 def build_sql(staged: str, key: str, int_cols, str_cols, target: str, max_depth: int = 4, min_node: int = 1000,
-              purity_limit: int = 10_000, k: int = 5, seed: int = 0, output: str = "nodes",
-              fit_where: str = "true") -> str:
+              purity_limit: int | None = None, k: int = 5, seed: int = 0, output: str = "nodes",
+              fit_where: str = "true", sample_size: int | None = None) -> str:
     """T8 as one query: the node table of the level-wise build. Only rows where
-    ``fit_where`` holds grow the tree; the others are routed along (output rows)."""
+    ``fit_where`` holds grow the tree; the others are routed along (output rows).
+    ``sample_size``: rules are scored on that many lowest-hash rows per node."""
+    pure = "went = 0" if purity_limit is None else f"rows < {purity_limit} AND went = 0"
+    tiebreak = [*(c for c, _ in int_cols), *(c for c, _ in str_cols), target]
     ctes = [f"lab0 AS (SELECT *, '' AS node_id, ({fit_where}) AS _fit FROM {staged})",
             f"ent0 AS (SELECT node_id, CAST(sum(n) AS BIGINT) AS rows, {entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} "
             f"AS went FROM (SELECT node_id, {target}, count(*) AS n FROM lab0 WHERE _fit GROUP BY ALL) GROUP BY node_id)",
             "nodes0 AS (SELECT node_id, rows, went FROM ent0)"]
     for L in range(max_depth):
-        stop = f"(rows < {min_node} OR (rows < {purity_limit} AND went = 0))"
+        stop = f"(rows < {min_node} OR ({pure}))"
+        scored = f"in{L}"
+        if sample_size is not None:
+            scored = f"({sample_sql(f'in{L}', key, sample_size, level_seed(seed, L) + 1, tiebreak)})"
         ctes += [
             f"in{L} AS (SELECT l.* EXCLUDE (_fit) FROM lab{L} l JOIN nodes{L} n ON l.node_id = n.node_id AND NOT {stop} WHERE l._fit)",
-            f"rules{L} AS ({rules_sql(cands_sql(f'in{L}', key, int_cols, str_cols, k, seed))})",
-            f"best{L} AS ({best_sql(report_sql(f'in{L}', f'rules{L}', int_cols, str_cols, target))})",
+            f"rules{L} AS ({rules_sql(cands_sql(f'in{L}', key, int_cols, str_cols, k, level_seed(seed, L)))})",
+            f"best{L} AS ({best_sql(report_sql(scored,  f'rules{L}', int_cols, str_cols, target))})",
             f"lab{L + 1} AS (SELECT l.* EXCLUDE (node_id), l.node_id || CASE WHEN b.node_id IS NULL THEN '' "
             f"WHEN {predicate_sql('l', 'b', int_cols, str_cols).replace('b.col_name', 'b.rule_column')} THEN '0' ELSE '1' END "
             f"AS node_id FROM lab{L} l LEFT JOIN best{L} b ON l.node_id = b.node_id)",
             f"nodes{L + 1} AS (SELECT node_id || '0' AS node_id, rows_true AS rows, coalesce(entropy_true, 0.0) AS went "
             f"FROM best{L} UNION ALL SELECT node_id || '1', rows_false, coalesce(entropy_false, 0.0) FROM best{L})",
         ]
+        if sample_size is not None:  # the children are measured on all their rows
+            ctes[-1] = (f"nodes{L + 1} AS (SELECT node_id, CAST(sum(n) AS BIGINT) AS rows, "
+                        f"{entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} AS went FROM (SELECT node_id, {target}, "
+                        f"count(*) AS n FROM lab{L + 1} WHERE _fit AND length(node_id) = {L + 1} GROUP BY ALL) GROUP BY node_id)")
     all_nodes = " UNION ALL ".join(f"SELECT node_id, rows FROM nodes{L}" for L in range(max_depth + 1))
     splits = " UNION ALL ".join(f"SELECT node_id, rule_column, kind, num_value, term FROM best{L}" for L in range(max_depth))
     body = (f"SELECT n.node_id, CASE WHEN n.node_id = '' THEN NULL ELSE left(n.node_id, length(n.node_id) - 1) END AS parent_id, "

@@ -4,7 +4,7 @@ The reference grows the tree node by node, shuffling every node's rows into a
 new DataFrame per child. Here the data never moves: the feature projection is
 persisted once, and each level relabels it with the tree grown so far (the tree
 *is* the node-id column), so lineage stays one projection deep at any depth.
-Per level there are three small jobs whatever the number of nodes:
+Per level there are three steps, of a few small jobs each, whatever the number of nodes:
 
 1. candidates: a per-node hash sample (``rule_samples`` rows), T2 + T3;
    collected — bounded by nodes x columns x rule_samples;
@@ -25,6 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import level_seed
 from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER
 from ..operators.profile import columns_of_kind, spread
 from ..operators.rules import collect_candidates, rule_columns
@@ -44,7 +45,7 @@ class BuildParams:
     ngram: int = DEFAULT_NGRAM
     tokenizer: str | None = DEFAULT_TOKENIZER
     selection_factor: float = 1.0
-    purity_limit: int = 10_000          # a pure node is a leaf only below this size
+    purity_limit: int | None = None     # a bound below which alone a pure node is a leaf; None: at every size
     seed: int = 0
 
 
@@ -76,8 +77,9 @@ def entropy_spec(df: DataFrame, targets: list[str], mode: str = "supervised",
 
 
 def stop(rows: int, weighted_entropy: float, p: BuildParams) -> bool:
-    """Too small, or small enough and pure."""
-    return rows < p.min_node_size or (rows < p.purity_limit and weighted_entropy == 0.0)
+    """Too small, or pure."""
+    pure = weighted_entropy == 0.0 and (p.purity_limit is None or rows < p.purity_limit)
+    return rows < p.min_node_size or pure
 
 
 def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, float] | None = None,
@@ -129,11 +131,12 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             labelled = data.withColumn("node_id", tree.to_column()).filter(F.col("node_id").isin(open_nodes))
             t0 = time.time()
             cands = collect_candidates(labelled, key, int_cols, str_cols, rule_samples=p.rule_samples,
-                                       seed=p.seed, ngram=p.ngram, tokenizer=p.tokenizer, positions=positions)
+                                       seed=level_seed(p.seed, level), ngram=p.ngram, tokenizer=p.tokenizer, positions=positions)
             info["candidates"] = len(cands)
             # the broadcast side of the scoring join: bounded by parameters, checked
             bound = len(open_nodes) * (len(int_cols) * p.rule_samples + len(str_cols) * p.rule_samples)
-            assert len(cands) <= bound, (len(cands), bound)
+            if len(cands) > bound:
+                raise ValueError(f"{len(cands)} candidates, more than the bound of {bound}")
             info["sec_candidates"] = round(time.time() - t0, 3)
             if not cands:
                 break
@@ -142,7 +145,8 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             rules = spark.createDataFrame(numbered, RULE_SCHEMA)
             scored_rows = labelled
             if p.sample_size is not None:
-                scored_rows = sample_per_group(labelled, ["node_id"], key, p.sample_size, p.seed + 1)
+                scored_rows = sample_per_group(labelled, ["node_id"], key, p.sample_size,
+                                               level_seed(p.seed, level) + 1)
             t0 = time.time()
             winners = score_best(scored_rows, rules, int_cols, str_cols, weights, class_cols,
                                  p.selection_factor, p.ngram, p.tokenizer or DEFAULT_TOKENIZER,
@@ -191,5 +195,7 @@ def node_stats(df: DataFrame, tree: Tree, weights: dict[str, float], class_cols:
                            p.ngram, p.tokenizer or DEFAULT_TOKENIZER)
     agg = per_col.groupBy("node_id").agg(F.max("rows").alias("rows"),
                                          F.sum(F.col("weight") * F.col("entropy")).alias("weighted_entropy"))
-    return agg.withColumn("stop", (F.col("rows") < p.min_node_size) | (
-        (F.col("rows") < p.purity_limit) & (F.col("weighted_entropy") == 0.0)))
+    pure = F.col("weighted_entropy") == 0.0
+    if p.purity_limit is not None:
+        pure = pure & (F.col("rows") < p.purity_limit)
+    return agg.withColumn("stop", (F.col("rows") < p.min_node_size) | pure)

@@ -22,6 +22,29 @@ LINE_B = Tree.from_splits({
     "1": Rule("linenumber", LT, 4.0),
     "01": Rule("discount_pct", LT, 8.0),
 })
+
+
+def halving_tree(bounds: dict[str, tuple[float, float]], depth: int) -> Tree:
+    """A full tree of ``depth`` levels: the columns of ``bounds`` in turn, each halved at
+    the middle of what the path has left of it."""
+    splits = {}
+
+    def grow(node_id: str, left: dict[str, tuple[float, float]]) -> None:
+        if len(node_id) == depth:
+            return
+        column = list(bounds)[len(node_id) % len(bounds)]
+        lo, hi = left[column]
+        middle = (lo + hi) / 2
+        splits[node_id] = Rule(column, LT, middle)
+        grow(node_id + "0", left | {column: (lo, middle)})
+        grow(node_id + "1", left | {column: (middle, hi)})
+
+    grow("", bounds)
+    return Tree.from_splits(splits)
+
+
+# 256 leaves, the size of the largest trees in use.
+LINE_DEEP = halving_tree({"quantity": (1.0, 51.0), "discount_pct": (0.0, 11.0), "tax_pct": (0.0, 9.0), "linenumber": (1.0, 8.0)}, 8)
 # st_docs: n_chars (int); text, lang (string)
 DOCS_A = Tree.from_splits({
     "": Rule("n_chars", LT, 2000.0),

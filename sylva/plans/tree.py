@@ -236,6 +236,17 @@ class Tree:
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), NODE_SCHEMA)
 
+    def outline(self, spark: SparkSession) -> DataFrame:
+        """T9 as a table: a row per node with its children, rule text and leaves below."""
+        leaves = self.leaves()
+        rows = []
+        for nid, n in self.nodes.items():
+            kids = [c.node_id for c in self.children(nid)] or [None, None]
+            rows.append((nid, n.parent_id, *kids, n.n_rows, n.rule.describe() if n.rule else None,
+                         sum(leaf.startswith(nid) for leaf in leaves)))
+        return spark.createDataFrame(rows, "node_id string, parent_id string, child_true string, child_false string, "
+                                           "n_rows bigint, rule string, n_leaves bigint")
+
     @classmethod
     def from_rows(cls, rows) -> "Tree":
         tree = cls(nodes={})

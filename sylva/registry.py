@@ -66,6 +66,17 @@ def _p4(spark, sf):
     return label(st_line(spark, sf), saved.LINE_A).select("row_key", "y", "cluster_id")
 
 
+@query("p4_label_rows_deep", with_staged(f"SELECT row_key, y, {duck(saved.LINE_DEEP)} AS cluster_id FROM st_line AS T", "st_line"))
+def _p4d(spark, sf):
+    return label(st_line(spark, sf), saved.LINE_DEEP).select("row_key", "y", "cluster_id")
+
+
+@query("s8_s10_register_lookup", with_staged("SELECT count(*) AS count, y FROM st_line GROUP BY y", "st_line"))
+def _s8(spark, sf):
+    parquet.register(parquet.class_counts(st_line(spark, sf), "y"), "st_line_y")
+    return parquet.staged(spark, "st_line_y")
+
+
 @query("p1_label_sql_text", with_staged(
     f"SELECT row_key, {duck(saved.DOCS_A)} AS cluster_id FROM st_docs AS T", "st_docs"))
 def _p1(spark, sf):
@@ -415,6 +426,12 @@ def _t8l(spark, sf):
     return build_tree(st_line(spark, sf), "row_key", ["y"], params=BuildParams(max_depth=4)).node_table(spark)
 
 
+@query("t8_build_tree_sampled", _build_sql("st_line", LINE_INTS, LINE_STRS, max_depth=3, sample_size=1000))
+def _t8s(spark, sf):
+    return build_tree(st_line(spark, sf), "row_key", ["y"],
+                      params=BuildParams(max_depth=3, sample_size=1000)).node_table(spark)
+
+
 @query("t8_build_tree_docs", _build_sql("st_docs", DOCS_INTS, DOCS_STRS, max_depth=3, min_node=20))
 def _t8d(spark, sf):
     return build_tree(st_docs(spark, sf), "row_key", ["y"], blacklist=["toxic"],
@@ -428,25 +445,28 @@ def _t8e(spark, sf):
 
 
 # ---------------------------------------------------------------- T6, T9, T10
-import json  # noqa: E402
-
 from .plans.build import node_stats  # noqa: E402
 
 
 @query("t6_stop_test", with_staged(f"""
 SELECT node_id, CAST(sum(n) AS BIGINT) AS rows,
   1.0 * ({entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')}) AS weighted_entropy,
-  (sum(n) < 1000 OR (sum(n) < 10000 AND ({entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')}) = 0)) AS stop
+  (sum(n) < 1000 OR ({entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')}) = 0) AS stop
 FROM (SELECT node_id, y, count(*) AS n FROM {_lab_sql(saved.LINE_A, 'st_line')} GROUP BY ALL) GROUP BY node_id""", "st_line"))
 def _t6(spark, sf):
     return node_stats(st_line(spark, sf), saved.LINE_A, {"y": 1.0}, ["y"])
 
 
-@query("t9_tree_structure")
+@query("t9_tree_structure", with_staged(f"""
+, nodes AS ({oracles.build_sql("st_event", "row_key", EVENT_INTS, [], "y", max_depth=3, min_node=500)})
+SELECT n.node_id, n.parent_id, CASE WHEN n.is_leaf THEN NULL ELSE n.node_id || '0' END AS child_true,
+  CASE WHEN n.is_leaf THEN NULL ELSE n.node_id || '1' END AS child_false, n.n_rows,
+  n.rule_column || ' < ' || CAST(n.rule_value AS VARCHAR) AS rule,
+  (SELECT count(*) FROM nodes m WHERE m.is_leaf AND starts_with(m.node_id, n.node_id)) AS n_leaves
+FROM nodes n""", "st_event").replace("\n)\n, nodes", "\n), nodes", 1))
 def _t9(spark, sf):
     res = build_tree(st_event(spark, sf), "row_key", ["y"], params=BuildParams(max_depth=3, min_node_size=500))
-    return spark.createDataFrame([(json.dumps(res.tree.structure()), len(res.tree.leaves()))],
-                                 "structure string, n_leaves int")
+    return res.tree.outline(spark)
 
 
 _T10_ROWS = oracles.build_sql("st_line", "row_key", LINE_INTS, LINE_STRS, "y", max_depth=3, output="rows")
@@ -477,10 +497,11 @@ def _t10a(spark, sf):
 
 
 @query("m4_char_entropy_sample", _entropy_of_counts_sql(_gram_counts_sql(
-    f"(SELECT * FROM documents ORDER BY {sampling.row_hash_sql('doc_id')}, doc_id LIMIT 1000)", ["text"]), "n_grams"))
+    f"(SELECT * FROM documents ORDER BY {sampling.row_hash_sql('doc_id')}, doc_id LIMIT 250)", ["text"]), "n_grams"))
 def _m4(spark, sf):
-    docs = sampling.lowest_hash_rows(_read(spark, sf, "documents"), "doc_id", 1000)
-    return profile.ngram_entropy(docs, ["text"])
+    docs = sampling.lowest_hash_rows(_read(spark, sf, "documents"), "doc_id", 250)
+    # The limit ends in one task: the sampled rows are dealt out before their texts explode.
+    return profile.ngram_entropy(docs.repartition(spark.sparkContext.defaultParallelism), ["text"])
 
 
 # ---------------------------------------------------------------- S7, A12, A13, T11, A18
@@ -547,7 +568,27 @@ def _a12s(spark, sf):
 
 @query("a13_distinct_classes", "SELECT DISTINCT event_type AS y FROM events WHERE event_type IS NOT NULL")
 def _a13(spark, sf):
-    return spark.createDataFrame([(c,) for c in validate.distinct_classes(st_event(spark, sf), "y")], "y string")
+    return validate.distinct_classes(st_event(spark, sf), "y")
+
+
+# A class column with a value per order: only the long forms hold it.
+_ORDER_LABELS = f"(SELECT *, {duck(saved.LINE_A)} AS label_a FROM (SELECT *, row_key // 8 AS many FROM st_line) AS T)"
+
+
+def _many_classes(spark, sf):
+    return add_labels(st_line(spark, sf), {"label_a": saved.LINE_A}).withColumn("many", F.expr("row_key div 8"))
+
+
+@query("a11_cluster_counts", with_staged(f"SELECT label_a, many, count(*) AS n FROM {_ORDER_LABELS} GROUP BY ALL", "st_line"))
+def _a11c(spark, sf):
+    return validate.cluster_counts(_many_classes(spark, sf), "label_a", "many")
+
+
+@query("a12_class_matrix_long", with_staged(
+    f"SELECT label_a, many, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY label_a) AS DOUBLE) AS p "
+    f"FROM {_ORDER_LABELS} GROUP BY label_a, many", "st_line"))
+def _a12l(spark, sf):
+    return pred.predictive_matrix_long(_many_classes(spark, sf), "label_a", "many")
 
 
 _LINE_FOREST = {"label_a": saved.LINE_A, "label_b": saved.LINE_B}
@@ -560,6 +601,11 @@ def _t11(spark, sf):
     return pred.predict(st_line(spark, sf), _LINE_FOREST, "y", [0, 1, 2])
 
 
+@query("t11_predict_deep", _predict_sql("st_line", {"label_a": saved.LINE_DEEP, "label_b": saved.LINE_B}, [0, 1, 2]))
+def _t11d(spark, sf):
+    return pred.predict(st_line(spark, sf), {"label_a": saved.LINE_DEEP, "label_b": saved.LINE_B}, "y", [0, 1, 2])
+
+
 @query("t11_predict_str", _predict_sql("st_event", _EVENT_FOREST, _EVENT_CLASSES))
 def _t11s(spark, sf):
     return pred.predict(st_event(spark, sf), _EVENT_FOREST, "y", _EVENT_CLASSES)

@@ -2,10 +2,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from sylva.functions.hashing import level_seed
 from sylva.operators import validate
-from sylva.operators.sampling import split_train_test
+from sylva.operators.sampling import sample_per_group, split_train_test
 from sylva.plans.build import BuildParams, build_tree, entropy_spec
-from sylva.plans.tree import label
+from sylva.plans.tree import CONTAINS, LT, Rule, Tree, label
 
 from .conftest import SF_SMALL
 
@@ -56,11 +57,33 @@ def test_small_or_pure_nodes_stop(spark):
     df = spark.range(0, 500).select(F.col("id").alias("k"), (F.col("id") % 10).cast("int").alias("x"),
                                     F.lit(1).alias("y"))
     res = build_tree(df, "k", ["y"], params=BuildParams(max_depth=4, min_node_size=100))
-    assert res.tree.leaves() == [""]          # pure root below the purity limit
+    assert res.tree.leaves() == [""]          # pure root
     res = build_tree(df, "k", ["y"], params=BuildParams(max_depth=4, min_node_size=1000))
     assert res.tree.leaves() == [""]          # too small
 
 
+def test_large_pure_nodes_stop_unless_bounded(spark):
+    df = spark.range(0, 30_000).select(F.col("id").alias("k"), (F.col("id") % 10).cast("int").alias("x"),
+                                       (F.col("id") % 10 < 5).cast("int").alias("y"))
+    res = build_tree(df.withColumn("y", F.lit(1)), "k", ["y"], params=BuildParams(max_depth=2))
+    assert res.tree.leaves() == [""]          # 30,000 rows of one class
+    res = build_tree(df.withColumn("y", F.lit(1)), "k", ["y"], params=BuildParams(max_depth=2, purity_limit=10_000))
+    assert len(res.tree.leaves()) > 1         # the bound asked for
+
+
+def test_levels_draw_other_rows(spark):
+    df = spark.range(0, 5000).select(F.col("id").alias("k"), F.lit("").alias("node"))
+    drawn = [{r["k"] for r in sample_per_group(df, ["node"], "k", 50, level_seed(0, level)).collect()} for level in range(4)]
+    assert all(len(a & b) < 10 for i, a in enumerate(drawn) for b in drawn[i + 1:])
+
+
+def test_outline_has_a_row_per_node(spark):
+    tree = Tree.from_splits({"": Rule("x", LT, 3.0), "0": Rule("t", CONTAINS, term="it's")})
+    rows = {r["node_id"]: r for r in tree.outline(spark).collect()}
+    assert {k: r["n_leaves"] for k, r in rows.items()} == {"": 3, "0": 2, "1": 1, "00": 1, "01": 1}
+    assert (rows["0"]["child_true"], rows["0"]["child_false"], rows["1"]["child_true"]) == ("00", "01", None)
+
+
 def test_sampled_scoring_and_unsupervised_mode(spark):
     df = _rule_table(spark, 2000)
     spec = entropy_spec(df, ["y"], "unsupervised", exclude=["k"])

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sylva.operators import predict as pred
 from sylva.operators import validate
-from sylva.operators.rules import candidates, collect_candidates, int_candidates, text_candidates, text_candidates_short
+from sylva.operators.rules import candidates, collect_candidates, int_candidates, text_candidates
 from sylva.operators.sampling import sample_per_group, split_train_test
 from sylva.operators.score import RULE_SCHEMA, best_rules, number_rules, score_rules
 from sylva.plans.tree import CONTAINS, LT, Rule, Tree
@@ -15,23 +15,38 @@ def test_int_candidates_drop_smallest(spark):
     assert got == [3.0, 7.0]
 
 
-@pytest.mark.parametrize("impl", ["join", "short"])
-def test_text_candidate_fraction_bounds_are_strict(spark, impl):
+def test_text_candidate_fraction_bounds_are_strict(spark):
     # 10 distinct strings (fractions are over distinct sampled strings):
     # 'aa' in 1 (0.1, out), 'bb' in 2 (0.2, in), 'cc' in 8 (0.8, out), 'dd' in 7 (0.7, in), the rest in 1
     strs = ["aa bb cc dd", "bb cc dd e", "cc dd f", "cc dd g", "cc dd h", "cc dd i", "cc dd j", "cc k", "x y", "z w"]
     s = spark.createDataFrame([("", t) for t in strs], "node_id string, t string")
-    fn = text_candidates if impl == "join" else text_candidates_short
-    got = {r["term"] for r in fn(s, ["t"], rule_samples=100, ngram=0).collect()}
+    got = {r["term"] for r in text_candidates(s, ["t"], rule_samples=100, ngram=0).collect()}
     assert got == {"bb", "dd"}
 
 
-def test_text_candidates_both_paths_agree(spark):
+def test_text_candidates_agree_with_brute_force(spark):
     strs = ["the cat sat on the mat", "a dog and the cat", "xyz", "mat and hat", "catalogue"]
     s = spark.createDataFrame([("n", t) for t in strs], "node_id string, t string")
-    a = sorted(r["term"] for r in text_candidates(s, ["t"], rule_samples=1000).collect())
-    b = sorted(r["term"] for r in text_candidates_short(s, ["t"], rule_samples=1000).collect())
-    assert a == b and a
+    got = sorted(r["term"] for r in text_candidates(s, ["t"], rule_samples=1000).collect())
+    terms = {w for t in strs for w in t.split()} | {t[i:i + 6] for t in strs for i in range(max(1, len(t) - 6))}
+    assert got == sorted(x for x in terms if 0.1 < sum(x in t for t in strs) / len(strs) < 0.8)
+
+
+def test_long_forms_hold_any_number_of_classes(spark):
+    df = spark.range(30_000).select((F.col("id") % 3).cast("string").alias("leaf"), (F.col("id") % 12_000).alias("y"))
+    counts = validate.cluster_counts(df, "leaf", "y")
+    assert counts.count() == 12_000 and counts.agg(F.sum("n")).first()[0] == 30_000
+    assert validate.distinct_classes(df, "y").count() == 12_000
+    sums = pred.predictive_matrix_long(df, "leaf", "y").groupBy("leaf").agg(F.sum("p").alias("p")).collect()
+    assert len(sums) == 3 and all(abs(r["p"] - 1) < 1e-9 for r in sums)
+
+
+def test_long_matrix_equals_the_wide_one(spark):
+    rows = [("a", 1), ("a", 1), ("a", None), ("a", 2), (None, 1), ("b", None)]
+    df = spark.createDataFrame(rows, "leaf string, y int")
+    long = {(r["leaf"], r["y"]): r["p"] for r in pred.predictive_matrix_long(df, "leaf", "y").collect()}
+    wide = {(r["leaf"], c): r[f"y_{c}"] for r in pred.predictive_matrix(df, "leaf", "y").collect() for c in (1, 2)}
+    assert long == {k: v for k, v in wide.items() if v is not None} and long[("a", 1)] == 0.5
 
 
 def test_sample_is_partition_independent(spark):

@@ -2,7 +2,8 @@
 
 Tree rules need integer or string columns, so numeric features are cast in the
 staging query (the reference's convention). Each staged table has a stable
-integer ``row_key`` (the seed of every hash-based sample) and a class ``y``.
+integer ``row_key`` (the seed of every hash-based sample; that of ``st_line`` is
+not unique) and a class ``y``.
 
 * ``st_line``  (lineitem): quantity, linenumber, discount_pct, tax_pct (int),
   linestatus (string); y = returnflag A/N/R -> 0/1/2.

@@ -5,9 +5,11 @@ shingle), weighted 1 + ln(count). Every shingle sends a Poisson process of arriv
 its weight's rate and a seed of its own hash, to random places of the signature; the
 first arrival of a place is kept, and a shingle ends as soon as its next arrival is later
 than the last place's. Two signatures agree in a place with the probability Jaccard
-similarity of the weighted texts, which is the plain one where no shingle repeats.
+similarity of the weighted texts, which is the plain one where no shingle repeats. A text in which one does
+has a second signature, of the same shingles at weight 1, so any two texts have a pair of
+signatures that agree with their plain similarity.
 
-Bands of equal places name buckets. Equal texts are one node from the start. Every node is
+Bands of equal places of either signature name buckets. Equal texts are one node from the start. Every node is
 verified against a pivot of each of its buckets, the most central text first: the one whose
 buckets are the largest, mostly the same text for all buckets of a group. Where a bucket
 still holds more than one component after the turns of pivots, the members of all buckets
@@ -18,7 +20,7 @@ So no pair that shares a bucket and could join two components goes untested, a b
 mutual copies costs a row per member, and pairs that aren't links are never rows. The
 counting itself still grows with outsiders times members of a group. A link is an exact
 plain Jaccard similarity of at least ``threshold``. At 0.8, 25 bands of 5 places miss a
-pair with probability 5e-5.
+pair with probability 5e-5 at most, whatever repeats in one text or in both.
 
 Defined results: a null text counts as empty; texts without a word are equal only to texts
 that are identical after lower-casing; of a group the smallest id is its cluster id and
@@ -111,15 +113,26 @@ def _bands(bands: int, rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, by = Shingles(), mixed(np.arange(101, 101 + rows, dtype="u8")) | np.uint64(1)
         salt = mixed(np.arange(1001, 1001 + bands, dtype="u8"))
+
+        def named(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            who = signatures(hashes, weights, np.repeat(np.arange(len(sizes)), sizes), len(sizes), bands * rows)
+            return mixed((who.reshape(-1, bands, rows) * by).sum(axis=2, dtype="u8") ^ salt).view("i8")
+
         for frame in frames:
             for lo in range(0, len(frame), 200):
                 part = frame.iloc[lo:lo + 200].copy()
                 found = [cut(t) for t in part.pop("text")]
                 sizes = np.array([len(h) for h, _ in found])
-                who = signatures(np.concatenate([h for h, _ in found]), 1 + np.log(np.concatenate([c for _, c in found])),
-                                 np.repeat(np.arange(len(found)), sizes), len(found), bands * rows)
-                names = mixed((who.reshape(-1, bands, rows) * by).sum(axis=2, dtype="u8") ^ salt).view("i8")
-                part["bands"] = [b if s else b[:0] for b, s in zip(names, sizes)]
+                hashes = np.concatenate([h for h, _ in found])
+                names = named(hashes, 1 + np.log(np.concatenate([c for _, c in found])), sizes)
+                names = [b if s else b[:0] for b, s in zip(names, sizes)]
+                # Without repeats both signatures are the same one.
+                again = np.array([bool((c > 1).any()) for _, c in found])
+                if again.any():
+                    plain = hashes[np.repeat(again, sizes)]
+                    for k, b in zip(np.flatnonzero(again), named(plain, np.ones(len(plain)), sizes[again])):
+                        names[k] = np.union1d(names[k], b)
+                part["bands"] = names
                 yield part
 
     return run

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +166,22 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((who[0] == who[1]).mean() - want) < 0.04
 
 
+def test_bands_miss_no_pair_with_repeats():
+    """Near copies of which one repeats a menu of three lines a hundred times: nearly all share
+    a bucket of weighted signatures, but not at the rate that is stated."""
+    rng, texts = np.random.default_rng(4), []
+    for i in range(200):
+        words = [f"d{i}w{k}" for k in range(84)]
+        menu = [w for k in rng.choice(16, 3, replace=False) for w in words[k * 5:k * 5 + 5]]
+        texts += [" ".join(words + menu), " ".join(words + menu * 100)]
+    cut = near_dup.Shingles()
+    frames = list(near_dup._bands(25, 5)(iter([pd.DataFrame({"text": texts})])))
+    bands = [set(map(int, b)) for f in frames for b in f["bands"]]
+    sets = [set(cut(t)[0].tolist()) for t in texts]
+    pairs = [k for k in range(0, 400, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    assert len(pairs) == 200 and all(bands[k] & bands[k + 1] for k in pairs)
+
+
 def test_quality(spark, nothing):
     rows = [(i, ("good words stand here quietly " if i % 2 else "BUY!! NOW!! $$$ ") * (3 + i % 5) + str(i), i % 2) for i in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, None), (101, "")], "doc_id bigint, text string")

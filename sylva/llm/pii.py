@@ -7,8 +7,11 @@ digits (the check digit follows), a social security number's digits and a date's
 so the format stays and equal values get equal pseudonyms in all documents. An SSN's
 pseudonym may fall into an area never given; other kinds of private data are left alone.
 
+Candidates are looked for at every place and checked, and the text is cut at the right ones
+only. A digit next to a value, or behind a hyphen next to it, makes it a part of another number.
+
 Defined results: null counts as empty; each distinct value of a text is replaced wherever
-it stands by itself; repeated rows give a row each; other columns play no part.
+it stands by itself; of values that overlap the first; repeated rows give a row each; other columns play no part.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CARD = r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])"
-SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
-DATE = r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
+# A hyphen before or behind is refused only where a digit is on its other side.
+START, END = r"(?<!\d)(?<!\d-)", r"(?!\d)(?!-\d)"
+CARD = START + r"\d{4}(?:(?:\d{4}){3}|(?: \d{4}){3}|(?:-\d{4}){3})" + END
+SSN = START + r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}" + END
+DATE = START + r"(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])" + END
 ROUNDS, DAYS = 8, (250, 292)
 
 
@@ -81,27 +86,70 @@ def in_days(x: Column) -> Column:
     return F.coalesce(day < DAYS[0] * DAYS[1], F.lit(False))
 
 
+def card_ok(x: Column) -> Column:
+    return luhn(F.substring(unbroken(x), 1, 15)) == F.substring(unbroken(x), 16, 1)
+
+
+#: Pattern, check and pseudonym of every format; of two at one place the first one that is right.
+FORMATS = ((CARD, card_ok, card), (SSN, lambda x: F.lit(True), ssn), (DATE, in_days, date))
+
+
+def cut(pieces: Column, marks: Column) -> Column:
+    """The text with its values replaced: ``marks`` are null or (old, new), and each stands at
+    the start of the piece behind it; what stands in a replaced value is none itself."""
+    def of(i: Column) -> Column:
+        return F.get(pieces, i + 1)
+
+    def over(i: Column, m: Column) -> Column:
+        """Characters of a value that are in later pieces."""
+        return F.greatest(F.coalesce(F.length(m["old"]) - F.length(of(i)), F.lit(0)), F.lit(0))
+
+    def one(i: Column, m: Column) -> Column:
+        return F.when(m.isNull(), of(i)).otherwise(F.concat(m["new"], F.substr(of(i), F.length(m["old"]) + 1)))
+
+    def turn(state: Column, x: Column) -> Column:
+        i, m, skip = x["i"], x["m"], state["skip"]
+        covered = F.substr(of(i), skip + 1)
+        return F.struct(F.when(skip > 0, F.greatest(skip - F.length(of(i)), F.lit(0))).otherwise(over(i, m)).alias("skip"),
+                        F.concat(state["parts"], F.array(F.when(skip > 0, covered).otherwise(one(i, m)))).alias("parts"),
+                        F.concat(state["olds"], F.when((skip > 0) | m.isNull(), none).otherwise(F.array(m["old"]))).alias("olds"))
+
+    none = F.array().cast("array<string>")
+    at = F.transform(marks, lambda m, i: F.struct(i.alias("i"), m.alias("m")))
+    # One after the other only where values overlap.
+    folded = F.aggregate(at, F.struct(F.lit(0).alias("skip"), none.alias("parts"), none.alias("olds")), turn)
+    straight = F.struct(F.lit(0).alias("skip"), F.transform(marks, lambda m, i: one(i, m)).alias("parts"),
+                        F.transform(F.filter(marks, lambda m: m.isNotNull()), lambda m: m["old"]).alias("olds"))
+    return F.when(F.exists(at, lambda x: over(x["i"], x["m"]) > 0), folded).otherwise(straight)
+
+
 def pseudonymise(docs: DataFrame, key: str = "sylva", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row: doc_id, n_values (distinct values replaced) and the whole text."""
-    kinds = ((CARD, lambda x: luhn(F.substring(unbroken(x), 1, 15)) == F.substring(unbroken(x), 16, 1), card),
-             (SSN, lambda x: F.lit(True), ssn), (DATE, in_days, date))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # A blank in front, so that the first piece is never a value's.
+    out = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    # Candidates at every start, as far as the format goes on from there: a group for each format.
+    start = "(?=" + "|".join(p for p, _, _ in FORMATS) + ")"
+    every = start + "".join(f"(?:(?=({p}))|)" for p, _, _ in FORMATS)
+    n = range(len(FORMATS))
+    out = out.select("*", F.split("text", start).alias("pieces"), *[F.regexp_extract_all("text", F.lit(every), F.lit(k + 1)).alias(f"c{k}") for k in n])
 
     def named(new):
         return lambda x: F.struct(x.alias("old"), new(x, key).alias("new"))
 
-    pairs = [F.transform(F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), ok), named(new))
-             for p, ok, new in kinds]
-    out = out.withColumn("pairs", F.concat(*pairs)).withColumn("n_values", F.size("pairs"))
-    # A map by value: the text is cut at the values and each piece looked up, so that no
-    # pseudonym is replaced again.
-    both = f"{CARD}|{SSN}|{DATE}"
-    marks = F.regexp_extract_all("text", F.lit(both), F.lit(0))
-    rest = F.split("text", both)
-    known = F.map_from_entries("pairs")
-    new = F.transform(marks, lambda m: F.coalesce(F.element_at(known, m), m))
-    joined = F.array_join(F.transform(rest, lambda t, i: F.concat(t, F.coalesce(F.get(new, i), F.lit("")))), "")
-    return out.select("doc_id", "n_values", F.when(F.col("n_values") > 0, joined).otherwise(F.col("text")).alias("text"))
+    def right(ok):
+        return lambda x: (x != "") & ok(x)
+
+    out = out.select("*", *[F.map_from_entries(F.transform(F.filter(F.array_distinct(f"c{k}"), right(ok)), named(new))).alias(f"known{k}")
+                            for k, (_, ok, new) in enumerate(FORMATS)])
+
+    def mark(_, i):
+        return F.coalesce(*[let(F.get(f"c{k}", i), lambda x, k=k: let(F.element_at(f"known{k}", x), lambda new: F.when(
+            new.isNotNull(), F.struct(x.alias("old"), new.alias("new"))))) for k in n])
+
+    out = out.select("doc_id", "text", "pieces", F.transform("c0", mark).alias("marks"))
+    out = out.select("doc_id", "text", "pieces", cut(F.col("pieces"), F.col("marks")).alias("cut"))
+    return out.select("doc_id", F.size(F.array_distinct("cut.olds")).alias("n_values"),
+                      F.substr(F.concat(F.get("pieces", F.lit(0)), F.array_join("cut.parts", "")), F.lit(2)).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

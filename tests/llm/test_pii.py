@@ -13,3 +13,15 @@ def test_pseudonyms(spark):
     assert one[:19].replace(" ", "") == one[23:42].replace("-", "") == two[0] != "4111111111111111"
     assert two[1] == "4111111111111112" and two[2] in one and "2001-02-30" in one and "2001-02-03" not in one
     assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_values_behind_and_before_other_numbers(spark):
+    texts = ["paid 2024 4111 1111 1111 1111 today", "4111 1111 1111 1111-visa", "no-4111-1111-1111-1111", "1-4111 1111 1111 1111",
+             "4111 1111 1111 1111 1111 1111 1111 4111", "日本 𝒳 123-45-6789|123-45-6789"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    new = got[1][:19]
+    assert new != "4111 1111 1111 1111" and got[0] == f"paid 2024 {new} today" and got[1] == new + "-visa"
+    assert got[2] == "no-" + new.replace(" ", "-") and got[3] == texts[3]
+    assert got[4].startswith(new + " ") and len(got[4]) == len(texts[4])
+    ssn = got[5][5:16]
+    assert got[5] == f"日本 𝒳 {ssn}|{ssn}" and ssn != "123-45-6789"

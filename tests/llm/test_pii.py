@@ -1,5 +1,7 @@
 """Pseudonyms keep formats and link equal values."""
 
+from pyspark.sql import functions as F
+
 from sylva.llm import pii
 
 
@@ -25,3 +27,41 @@ def test_values_behind_and_before_other_numbers(spark):
     assert got[4].startswith(new + " ") and len(got[4]) == len(texts[4])
     ssn = got[5][5:16]
     assert got[5] == f"日本 𝒳 {ssn}|{ssn}" and ssn != "123-45-6789"
+
+
+def test_other_numbers(spark):
+    cards = ["4222222222222", "30569309025904", "378282246310005", "3782 822463 10005", "3056 930902 5904", "4000 0000 0000 0000 006", "4000000000000000006"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"]
+    dates = ["03.02.2001", "03/02/2001", "02/28/2001", "2099-11-13", "2099-12-31", "31.12.2099"]
+    phones = ["+1 (555) 123-4567", "+15551234567", "(555) 234-5678", "555-234-5678", "+4915123456789", "+7 (012) 345-6789"]
+    quads = ["192.168.0.1", "255.255.255.255"]
+    kept = ["4222222222223", "DE88 3704 0044 0532 0130 00", "30.02.2001", "256.1.1.1", "1.2.3.4.5", "1700000000000", "123-456-7890"]
+    values = cards + ibans + dates + phones + quads
+    rows = [(i, f"a {v}, b: {v}.") for i, v in enumerate(values + kept)] + [(99, "IBAN DE89 3704 0044 0532 0130 00 EUR, 4111 1111 1111 1111 123")]
+    got = {r.doc_id: (r.n_values, r.text) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    new = {}
+    for i, v in enumerate(values):
+        n, text = got[i]
+        new[v] = text[2:text.index(", b: ")]
+        assert n == 1 and text == f"a {new[v]}, b: {new[v]}." and new[v] != v, (v, text)
+        if v not in quads:
+            assert [c if not c.isdigit() else "d" for c in new[v]] == [c if not c.isdigit() else "d" for c in v]
+    for i, v in enumerate(kept):
+        assert got[len(values) + i] == (0, f"a {v}, b: {v}.")
+    for v in cards:
+        d = [int(c) for c in reversed(new[v]) if c.isdigit()]
+        assert sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2]) and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+    for v in ibans:
+        u = new[v].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in u[4:] + u[:4])) % 97 == 1 and u[:2] == v[:2]
+    assert all(0 <= int(o) < 256 for v in quads for o in new[v].split("."))
+    assert new[ibans[0]].replace(" ", "") == new[ibans[1]] and new[cards[5]].replace(" ", "") == new[cards[6]]
+    assert new["03.02.2001"].split(".") == new["03/02/2001"].split("/") and new["2099-12-31"].split("-") == new["31.12.2099"].split(".")[::-1]
+    assert new["+1 (555) 123-4567"][-13:].replace(") ", "").replace("-", "") in new["+15551234567"]
+    assert got[99][0] == 2 and f"IBAN {new[ibans[0]]} EUR" in got[99][1] and got[99][1].endswith(" 123")
+
+
+def test_dates_are_permuted(spark):
+    days = spark.range(pii.LAST).select("id", F.expr("date_format(date_add(date'1900-01-01', int(id)), 'dd.MM.yyyy')").alias("text"))
+    got = [r.text for r in pii.pseudonymise(days, id_col="id").collect()]
+    assert len(set(got)) == pii.LAST and all("1900" <= t[6:] <= "2099" for t in got)

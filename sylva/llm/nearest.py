@@ -79,9 +79,15 @@ class Space:
 def scan(q: np.ndarray, x: np.ndarray, k: int, block: int, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query row, candidate row) that survive the adaptive scan of all columns. While
     many pairs are left a block of columns is one matrix product, later a sum per pair."""
-    q, x = q.astype("f4"), x.astype("f4")
+    top = max(np.sqrt((q * q).sum(axis=1).max()), np.sqrt((x * x).sum(axis=1).max()))
+    q, x = (q / top).astype("f4"), (x / top).astype("f4")  # no norm over 1
     d, k, slack = x.shape[1], min(k, len(x)), np.float32(1 + 1e-4)  # for single precision
 
+    def rounding(seen: int) -> np.float32:
+        """What single precision may add to or take from a distance over ``seen`` columns: a
+        rounding for each column, and some for each block, of terms of 4 at most in all."""
+        return np.float32(4 * (seen + 8 * -(-seen // block)) * np.finfo("f4").eps)
+
     def grown(lo: int, hi: int) -> np.ndarray:
         far = q[:, lo:hi] @ x[:, lo:hi].T
         far *= -2
@@ -92,12 +98,13 @@ def scan(q: np.ndarray, x: np.ndarray, k: int, block: int, eps: float) -> tuple[
     def limit(seen: int) -> np.ndarray:
         """Of the distance over ``seen`` columns: the bound's share of them, and as much more as
         a test of the candidate's being nearer than the bound allows by chance."""
-        return bound if seen >= d else bound * np.float32(seen / d * (1 + eps / np.sqrt(seen))**2)
+        share = 1 if seen >= d else seen / d * (1 + eps / np.sqrt(seen))**2
+        return bound * np.float32(share) + rounding(seen)
 
     part, hi = grown(0, min(block, d)), min(block, d)
     # The bound: the k-th of whole distances to the candidates that look nearest so far.
     seem = np.argpartition(part, k - 1, axis=1)[:, :k]
-    bound = ((q[:, None, :] - x[seem])**2).sum(axis=2).max(axis=1) * slack + np.float32(1e-6)
+    bound = ((q[:, None, :] - x[seem])**2).sum(axis=2).max(axis=1) * slack + rounding(d)
     while True:
         left = part <= limit(hi)[:, None]
         if hi >= d or np.count_nonzero(left) * 8 < left.size:

@@ -212,6 +212,19 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("norm", [1e-3, 1, 100, 1e6])
+def test_scan_keeps_hot_copies_at_any_norm(norm):
+    rng = np.random.default_rng(3)
+    for columns in (64, 384):
+        for _ in range(20):
+            v = rng.standard_normal((400, columns))
+            v *= norm / np.linalg.norm(v, axis=1, keepdims=True)
+            v[:40] = v[0]
+            space = nearest.Space(v, norm, 1, 3)
+            _, found = nearest.scan(space.queries(v[:1]), space.candidates(v), 21, 16, 2.1)
+            assert set(range(40)) <= set(found.tolist())
+
+
 def test_language_model(docs, nothing):
     rows = {r.doc_id: r for r in lm.score(docs, id_remainder("doc_id", 10) == 0, frequent=64, members=8).collect()}
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0

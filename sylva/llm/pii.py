@@ -223,13 +223,20 @@ def cut(pieces: Column, marks: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = "sylva", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row: doc_id, n_values (distinct values replaced) and the whole text."""
-    # A blank in front, so that the first piece is never a value's.
-    out = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    # Candidates at every start, as far as the format goes on from there: a group for each format.
-    start = "(?=" + "|".join(p for p, _, _ in FORMATS) + ")"
-    every = start + "".join(f"(?:(?=({p}))|)" for p, _, _ in FORMATS)
+    # Blanks in front, so that the first piece is never a value's and a start has two characters before it.
+    out = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit("  "), F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    # What begins no format is passed over by its first character. Every start's surroundings,
+    # as far as any format looks, are held against all formats.
+    start = r"(?=[0-9+(]|[A-Z]{2}\d\d)(?<!\d)(?=" + "|".join(p for p, _, _ in FORMATS) + ")"
+    around = [F.regexp_extract_all("text", F.lit(start + r"(?<=([\s\S]{2}))(?=([\s\S]{0,50}))"), F.lit(k)) for k in (1, 2)]
     n = range(len(FORMATS))
-    out = out.select("*", F.split("text", start).alias("pieces"), *[F.regexp_extract_all("text", F.lit(every), F.lit(k + 1)).alias(f"c{k}") for k in n])
+
+    def at_start(p):
+        return lambda w: F.regexp_extract(w, rf"^[\s\S]{{2}}({p})", 1)
+
+    out = out.select("doc_id", "text", F.split("text", start).alias("pieces"), F.zip_with(*around, lambda a, b: F.concat(a, b)).alias("around"))
+    out = out.select("*", *[F.transform("around", at_start(p)).alias(f"c{k}")
+                            for k, (p, _, _) in enumerate(FORMATS)])
 
     def named(new):
         return lambda x: F.struct(x.alias("old"), new(x, key).alias("new"))
@@ -247,7 +254,7 @@ def pseudonymise(docs: DataFrame, key: str = "sylva", id_col: str = "doc_id", te
     out = out.select("doc_id", "text", "pieces", F.transform("c0", mark).alias("marks"))
     out = out.select("doc_id", "text", "pieces", cut(F.col("pieces"), F.col("marks")).alias("cut"))
     return out.select("doc_id", F.size(F.array_distinct("cut.olds")).alias("n_values"),
-                      F.substr(F.concat(F.get("pieces", F.lit(0)), F.array_join("cut.parts", "")), F.lit(2)).alias("text"))
+                      F.substr(F.concat(F.get("pieces", F.lit(0)), F.array_join("cut.parts", "")), F.lit(3)).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import (exact_dedup, lm, mixing, near_dup, nearest, packing, pii, quality, token_counts, warc_query)
+from . import (exact_dedup, lm, mixing, near_dup, nearest, packing, periodic, pii, quality, token_counts, toxicity, warc_query,
+               whitening)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_mixing": mixing.query,
+    "op11_periodic_runs": periodic.query,
+    "op12_toxicity": toxicity.query,
+    "op13_whitening": whitening.query,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.SQL,

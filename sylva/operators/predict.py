@@ -2,10 +2,11 @@
 
 Each labelling function (a tree) yields a class-probability matrix: one row per
 label, one column per class with P(class | label). The matrices have one row per
-leaf, so they are bounded by the trees (not the data) and are broadcast into
-the row stream; the per-row score of a class is the product of its
+leaf, so they are bounded by the trees (not the data), and all are read off one
+cube of row counts by (labels, class). The per-row score of a class is the product of its
 probabilities over all labels, normalised over the classes, and the prediction
-is the first class reaching the row maximum.
+is the first class reaching the row maximum. A row's prediction depends on its
+cell of the cube alone, so the accuracy needs no row stream.
 """
 
 from __future__ import annotations
@@ -45,38 +46,37 @@ def predictive_matrix_long(df: DataFrame, label_col: str, target: str) -> DataFr
     return joined.select(label_col, target, (F.col("n").cast("double") / F.col("_rows").cast("double")).alias("p"))
 
 
-def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str, classes: list,
-            matrices: dict[str, DataFrame] | None = None, fit: DataFrame | None = None) -> DataFrame:
-    """Per row the class column, one normalised score per class, ``max``
-    and ``predict``.
+def _labelled(frame: DataFrame, labels: dict[str, "Tree | Column | None"]) -> DataFrame:
+    cols = [(fn.to_column() if isinstance(fn, Tree) else fn).alias(name) for name, fn in labels.items() if fn is not None]
+    return frame.select("*", *cols) if cols else frame
 
-    ``labels`` maps a label column name to its tree (or column, or None when the
-    column is already on ``df``). Matrices come from ``matrices`` or are fitted
-    on ``fit`` (default: ``df`` itself, the in-sample form of the reference). A
-    row whose label is missing from a matrix is dropped (inner join; the planner
-    broadcasts a matrix, of one row per label, where its size allows).
-    """
-    def with_labels(frame: DataFrame) -> DataFrame:
-        cols = [(fn.to_column() if isinstance(fn, Tree) else fn).alias(name)
-                for name, fn in labels.items() if fn is not None]
-        return frame.select("*", *cols) if cols else frame
-
-    rows = with_labels(df)
-    fit_rows = rows if fit is None else with_labels(fit)
-    mats = dict(matrices or {})
-    for name, fn in labels.items():
-        if name not in mats:
-            mats[name] = predictive_matrix(fit_rows, name, target, classes, sort=False)
-    out = rows.select(target, *labels.keys())
-    for i, name in enumerate(labels):
+
+def label_cells(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str) -> DataFrame:
+    """The contingency cube of all labels and the class: (label..., class, n), from one scan. Every
+    matrix, every prediction and the accuracy depend on a row through its cell alone."""
+    return _labelled(df, labels).groupBy(*labels, target).agg(F.count(F.lit(1)).alias("n"))
+
+
+def matrices_of_cells(cells: DataFrame, names: list[str], target: str, classes: list) -> dict[str, DataFrame]:
+    """A12 of every label, read off the cube: all share its one aggregation."""
+    total = F.sum("n").cast("double")
+    cols = [F.try_divide(F.sum(F.when(F.col(target) == F.lit(c), F.col("n"))).cast("double"), total).alias(class_col(target, c)) for c in classes]
+    return {name: cells.groupBy(name).agg(*cols) for name in names}
+
+
+def _scored(frame: DataFrame, names: list[str], mats: dict[str, DataFrame], target: str, classes: list, keep: list[str]) -> DataFrame:
+    """E1-E5 for rows or cells that carry all labels: (keep..., class, a score per class, max, predict)."""
+    out = frame.select(*keep, target, *names)
+    for i, name in enumerate(names):
         m = mats[name].select(name, *[F.col(class_col(target, c)).alias(f"_p{i}_{j}") for j, c in enumerate(classes)])
         out = out.join(m, name)                             # J2
-    scores = {c: reduce(lambda a, b: a * b, [F.col(f"_p{i}_{j}") for i in range(len(labels))])  # E2
+    scores = {c: reduce(lambda a, b: a * b, [F.col(f"_p{i}_{j}") for i in range(len(names))])  # E2
               for j, c in enumerate(classes)}
     magnitude = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in scores.values()])  # E1, E3
-    normed = out.select(F.col(target), *[F.try_divide(s, magnitude).alias(class_col(target, c))  # E4
-                                         for c, s in scores.items()])
-    mx = F.greatest(*[F.coalesce(F.col(class_col(target, c)), F.lit(0.0)) for c in classes])    # E5 / U1
+    normed = out.select(*keep, F.col(target), *[F.try_divide(s, magnitude).alias(class_col(target, c))  # E4
+                                                for c, s in scores.items()])
+    mx = F.greatest(*[F.coalesce(F.col(class_col(target, c)), F.lit(0.0)) for c in classes]) if len(classes) > 1 else F.coalesce(
+        F.col(class_col(target, classes[0])), F.lit(0.0))                                       # E5 / U1
     normed = normed.withColumn("max", mx)
     pred = None
     for c in reversed(classes):
@@ -85,9 +85,41 @@ def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: st
     return normed.withColumn("predict", pred)
 
 
+def predict(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str, classes: list,
+            matrices: dict[str, DataFrame] | None = None, fit: DataFrame | None = None, keys: list[str] = ()) -> DataFrame:
+    """Per row the ``keys`` columns, the class column, one normalised score per class, ``max``
+    and ``predict``.
+
+    ``labels`` maps a label column name to its tree (or column, or None when the
+    column is already on ``df``). Matrices come from ``matrices`` or are fitted
+    on ``fit`` (default: ``df`` itself, the in-sample form of the reference), all off one
+    cube. A row whose label is missing from a matrix is dropped (inner join; the planner
+    broadcasts a matrix, of one row per label, where its size allows).
+    """
+    names, mats = list(labels), dict(matrices or {})
+    if any(n not in mats for n in names):
+        mats = matrices_of_cells(label_cells(df if fit is None else fit, labels, target), names, target, classes) | mats
+    return _scored(_labelled(df, labels), names, mats, target, classes, list(keys))
+
+
+def forest_accuracy(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str, classes: list,
+                    fit: DataFrame | None = None) -> DataFrame:
+    """A18 without a prediction per row: each cell of the cube is predicted once and counts with its
+    rows. One scan (two with ``fit``)."""
+    names, cells = list(labels), label_cells(df, labels, target)
+    fitted = cells if fit is None else label_cells(fit, labels, target)
+    scored = _scored(cells, names, matrices_of_cells(fitted, names, target, classes), target, classes, ["n"])
+    return _accuracy(scored, target, F.col("n"))
+
+
+def _accuracy(predictions: DataFrame, target: str, weight: Column) -> DataFrame:
+    hits = F.coalesce(F.sum(F.when(F.col(target) == F.col("predict"), weight)), F.lit(0)).cast("bigint")
+    counted = F.coalesce(F.sum(F.when(F.col("predict").isNotNull(), weight)), F.lit(0)).cast("bigint")
+    return predictions.agg(hits.alias("hits"), counted.alias("_counted")).select(
+        F.try_divide(F.col("hits").cast("double"), F.col("_counted").cast("double")).alias("accuracy"), "hits",
+        (F.col("_counted") - F.col("hits")).alias("misses"))
+
+
 def accuracy(predictions: DataFrame, target: str) -> DataFrame:
     """Hits / (hits + misses); rows without a prediction are in neither."""
-    hit = F.sum(F.when(F.col(target) == F.col("predict"), 1).otherwise(0))
-    return predictions.agg(
-        F.try_divide(hit.cast("double"), F.count("predict").cast("double")).alias("accuracy"),
-        hit.alias("hits"), (F.count("predict") - hit).alias("misses"))
+    return _accuracy(predictions, target, F.lit(1))

@@ -1,11 +1,12 @@
 """Column profiles (T1): moments, frequent values and words, entropies.
 
-Every metric is a combinable aggregation over all requested columns at once
-(one wide ``agg`` for moments; one ``explode`` + ``groupBy`` for value, word and
-n-gram counts), optionally per group (a tree node, a class). Nothing is
-collected; top-k uses ``row_number() <= k`` which Spark plans as a partial
-``WindowGroupLimit`` before the shuffle, so a column with billions of distinct
-values ships at most k rows per map task.
+Every metric is a combinable aggregation over all requested columns at once: a
+wide ``agg`` for moments alone; for everything else the cell counts of
+:mod:`.cells` (one scan, one ``explode``, one ``groupBy``), optionally per group (a
+tree node, a class). The full profile reads even its moments off those counts.
+Nothing is collected; top-k uses ``row_number() <= k`` which Spark plans as a partial
+``WindowGroupLimit`` before the shuffle, so of a column with billions of distinct
+values each task ships at most k of its counts.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.entropy import entropy_from_counts
-from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER, ngrams, tokenize
+from ..functions.entropy import entropy_expr, entropy_from_counts, xlog2x
+from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER
+from ..plans.tree import Tree
+from .cells import GRAM, LENGTH, TEXT, VALUE, WORD, cell_counts, spread
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 MOMENTS = ["max", "min", "sum0", "sum1", "sum2", "mean", "stddev"]
@@ -98,15 +101,15 @@ def common_values(df: DataFrame, columns: list[str] | None = None, group_cols: l
     return top_k(counts, group_cols + ["col_name"], k)
 
 
+def _text_counts(df: DataFrame, columns: list[str], group_cols: list[str] | None, kinds: tuple[str, ...], n: int,
+                 tokenizer: str) -> DataFrame:
+    group_cols = list(group_cols or [])
+    return cell_counts(spread(df.select(*group_cols, *columns)), group_cols, [(c, k) for c in columns for k in kinds], n, tokenizer)
+
+
 def word_counts(df: DataFrame, columns: list[str], group_cols: list[str] | None = None,
                 tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    group_cols = list(group_cols or [])
-    arr = F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("text")) for c in columns])
-    cells = spread(df.select(*group_cols, *columns)).select(*group_cols, F.explode(arr).alias("_c")).select(
-        *group_cols, "_c.col_name", "_c.text")
-    words = cells.filter(F.col("text").isNotNull()).select(
-        *group_cols, "col_name", F.explode(tokenize(F.col("text"), tokenizer)).alias("value"))
-    return words.groupBy(*group_cols, "col_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _text_counts(df, columns, group_cols, (WORD,), DEFAULT_NGRAM, tokenizer).drop("kind")
 
 
 def common_words(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
@@ -135,30 +138,9 @@ def word_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: li
                                total_name="n_words")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a text-heavy input at least ``min_partitions`` tasks before a row
-    explodes into one row per character. An input of many files — any large
-    table — is left alone (planning only, no job), so text is not shuffled at
-    scale; with few files the actual split count decides (a few huge files are
-    already split by Spark), and only a genuinely few-split input is
-    repartitioned."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= target or df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
 def gram_counts(df: DataFrame, columns: list[str], group_cols: list[str] | None = None,
                 n: int = DEFAULT_NGRAM) -> DataFrame:
-    group_cols = list(group_cols or [])
-    parts = []
-    for c in columns:
-        parts.append(df.filter(F.col(c).isNotNull()).select(
-            *group_cols, F.lit(c).alias("col_name"), F.explode(ngrams(F.col(c), n)).alias("value")))
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = grams.unionByName(p)
-    return grams.groupBy(*group_cols, "col_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _text_counts(df, columns, group_cols, (GRAM,), n, DEFAULT_TOKENIZER).drop("kind")
 
 
 def ngram_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
@@ -170,62 +152,130 @@ def ngram_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: l
     cols = columns_of_kind(df, ("str",), columns)
     if n <= 0:
         raise ValueError("n-gram length must be positive")
-    src = spread(df.select(*group_cols, *cols))
-    ent = entropy_from_counts(gram_counts(src, cols, group_cols, n), group_cols + ["col_name"], total_name="n_grams")
     if not per_row:
-        return ent
-    rows = moments(df, cols, group_cols, of_length=True).select(*group_cols, "col_name", F.col("sum0").alias("n_rows"))
-    return ent.join(rows, group_cols + ["col_name"], "right").select(
-        *group_cols, "col_name", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), "n_rows",
-        F.coalesce("entropy", F.lit(0.0)).alias("entropy"),
-        F.coalesce(F.try_divide(F.col("entropy"), F.col("n_rows").cast("double")), F.lit(0.0)).alias("entropy_per_row"))
+        return entropy_from_counts(gram_counts(df, cols, group_cols, n), group_cols + ["col_name"], total_name="n_grams")
+    gram, texts = _of_kind(GRAM), F.coalesce(F.max(F.when(F.col("kind") == TEXT, F.col("n_known"))), F.lit(0))
+    sums = _entropies(_text_counts(df, cols, group_cols, (GRAM, TEXT), n, DEFAULT_TOKENIZER), group_cols)
+    return sums.groupBy(*group_cols, "col_name").agg(
+        F.coalesce(F.max(F.when(F.col("kind") == GRAM, F.col("n_known"))), F.lit(0)).alias("n_grams"), texts.alias("n_rows"),
+        gram.alias("entropy"), F.coalesce(F.try_divide(gram, texts.cast("double")), F.lit(0.0)).alias("entropy_per_row"))
+
+
+def _entropies(counts: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Of cell counts, per (group..., col_name, kind): n_known (cells that aren't NULL) and their negative entropy."""
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    sums = counts.groupBy(*group_cols, "col_name", "kind").agg(
+        F.coalesce(F.sum(known), F.lit(0)).alias("n_known"), F.sum(xlog2x(known)).alias("_nl"), F.count(known).alias("_nv"))
+    return sums.select(*group_cols, "col_name", "kind", "n_known", entropy_expr(F.col("n_known"), F.col("_nl"), F.col("_nv")).alias("entropy"))
+
+
+def _of_kind(kind: str) -> Column:
+    return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("entropy"))), F.lit(0.0))
 
 
 def string_entropy(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
                    n: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """A10: entropy of a string column inside a split: the mean of the n-gram
-    entropy per row and the word entropy, or their sum when either is 0."""
+    entropy per row and the word entropy, or their sum when either is 0. One scan
+    gives grams, words and the number of strings."""
     group_cols = list(group_cols or [])
     cols = columns_of_kind(df, ("str",), columns)
-    keys = group_cols + ["col_name"]
-    g = ngram_entropy(df, cols, group_cols, n, per_row=True).select(*keys, F.col("entropy_per_row").alias("ngram"))
-    w = word_entropy(df, cols, group_cols, tokenizer).select(*keys, F.col("entropy").alias("word"))
-    j = g.join(w, keys, "full").select(*keys, F.coalesce("ngram", F.lit(0.0)).alias("ngram"),
-                                       F.coalesce("word", F.lit(0.0)).alias("word"))
-    return j.withColumn("entropy", F.when((F.col("ngram") == 0) | (F.col("word") == 0), F.col("ngram") + F.col("word"))
-                        .otherwise((F.col("ngram") + F.col("word")) / 2))
+    sums = _entropies(_text_counts(df, cols, group_cols, (GRAM, WORD, TEXT), n, tokenizer), group_cols)
+    texts = F.max(F.when(F.col("kind") == TEXT, F.col("n_known")))
+    both = sums.groupBy(*group_cols, "col_name").agg(
+        F.coalesce(F.try_divide(_of_kind(GRAM), texts.cast("double")), F.lit(0.0)).alias("ngram"), _of_kind(WORD).alias("word"))
+    return both.withColumn("entropy", F.when((F.col("ngram") == 0) | (F.col("word") == 0), F.col("ngram") + F.col("word"))
+                           .otherwise((F.col("ngram") + F.col("word")) / 2))
+
+
+def _long(frame: DataFrame, group_cols: list[str], metrics: dict[str, Column]) -> DataFrame:
+    """A row per metric that isn't NULL or has no other reason to be left out."""
+    arr = F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in metrics.items()])
+    return frame.select(*group_cols, "col_name", F.explode(arr).alias("_m")).select(
+        *group_cols, "col_name", "_m.metric", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("item"), "_m.value")
+
+
+def _moments_of_counts(counts: DataFrame, group_cols: list[str], ints: list[str]) -> DataFrame:
+    """Per (group..., col_name, kind): entropy, and the moments of integer values and of lengths. The
+    sums are of whole numbers, so the deviation comes out without cancellation while they fit."""
+    number = F.when((F.col("kind") == LENGTH) | (F.col("kind") == VALUE) & F.col("col_name").isin(ints), F.col("value")).try_cast("decimal(19,0)")
+    n = F.col("n").cast("decimal(19,0)")
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    sums = counts.groupBy(*group_cols, "col_name", "kind").agg(
+        F.coalesce(F.sum(known), F.lit(0)).alias("sum0"), F.sum(xlog2x(known)).alias("_nl"), F.count(known).alias("_nv"),
+        F.max(number).cast("double").alias("max"), F.min(number).cast("double").alias("min"),
+        F.sum(F.try_multiply(number, n)).alias("_s1"), F.sum(F.try_multiply(F.try_multiply(number, number), n)).alias("_s2"))
+    rows = F.col("sum0").cast("decimal(38,0)")
+    exact = F.try_subtract(F.try_multiply(rows, F.col("_s2")), F.try_multiply(F.col("_s1"), F.col("_s1"))).cast("double")
+    s1, s2, total = F.col("_s1").cast("double"), F.col("_s2").cast("double"), F.col("sum0").cast("double")
+    spread_out = F.coalesce(exact, F.greatest(total * s2 - s1 * s1, F.lit(0.0)))
+    return sums.select(
+        *group_cols, "col_name", "kind", "sum0", entropy_expr(F.col("sum0"), F.col("_nl"), F.col("_nv")).alias("entropy"), "max", "min",
+        s1.alias("sum1"), s2.alias("sum2"), F.try_divide(s1, total).alias("mean"), F.try_divide(F.sqrt(spread_out), total).alias("stddev"))
+
+
+def _top_cells(counts: DataFrame, group_cols: list[str], k: int) -> DataFrame:
+    """The k most frequent values and words, as rows of the profile."""
+    # One condition on kind and count, so that it stays above the counting, which the other metrics share.
+    listed = counts.filter(F.when(F.col("kind").isin(VALUE, WORD), F.col("n")).otherwise(F.lit(0)) > 0)
+    best = top_k(listed, [*group_cols, "col_name", "kind"], k)
+    return best.select(*group_cols, "col_name", F.when(F.col("kind") == VALUE, F.lit("common_values")).otherwise(F.lit("common_words")).alias("metric"),
+                       "rank", F.col("value").alias("item"), F.col("n").cast("double").alias("value"))
+
+
+def _profile_of_counts(counts: DataFrame, group_cols: list[str], ints: list[str], k: int) -> DataFrame:
+    sums = _moments_of_counts(counts, group_cols, ints)
+    moments_ = {m: F.col(m) for m in MOMENTS}
+    is_int = (F.col("kind") == VALUE) & F.col("col_name").isin(ints)
+    metrics = _long(sums, [*group_cols, "kind"], {**moments_, "entropy": F.col("entropy")})
+    is_moment = F.col("metric") != "entropy"
+    is_int, is_length = (F.col("kind") == VALUE) & F.col("col_name").isin(ints), F.col("kind") == LENGTH
+    name = (F.when(is_int, F.col("metric")).when(is_length & is_moment, F.concat(F.lit("length."), "metric"))
+            .when((F.col("kind") == GRAM) & ~is_moment, F.lit("char_entropy")).when((F.col("kind") == WORD) & ~is_moment, F.lit("word_entropy")))
+    metrics = metrics.withColumn("metric", name).filter(F.col("metric").isNotNull()).drop("kind")
+    return metrics.unionByName(_top_cells(counts, group_cols, k))
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, group_cols: list[str] | None = None,
-            n: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """T1 in long form: (group..., column, metric, value) for every column in
-    ``columns`` — moments of numeric columns, moments of string lengths
+            n: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER, k: int = 10) -> DataFrame:
+    """T1 in long form: (group..., col_name, metric, rank, item, value) for every column in
+    ``columns``: moments of numeric columns, moments of string lengths
     (``length.*``), value entropy of integer columns, char and word entropy of
-    string columns. Common values and words are :func:`common_values` and
-    :func:`common_words`."""
-    group_cols = list(group_cols or [])
-    cols = [c for c in (columns if columns is not None else df.columns) if c not in group_cols]
-    ints = columns_of_kind(df, ("int",), cols)
-    nums = columns_of_kind(df, ("int", "num"), cols)
-    strs = columns_of_kind(df, ("str",), cols)
-
-    def long(frame: DataFrame, metrics: list[str], prefix: str = "") -> DataFrame:
-        arr = F.array(*[F.struct(F.lit(prefix + m).alias("metric"), F.col(m).cast("double").alias("value"))
-                        for m in metrics])
-        return frame.select(*group_cols, "col_name", F.explode(arr).alias("_m")).select(*group_cols, "col_name", "_m.*")
-
+    string columns, and the ``k`` most common values of both and words of string columns
+    (``common_values``, ``common_words``: item by rank, value is its count; NULL is a value). One scan
+    of the table, whatever the metrics; only other numeric columns take a second, narrow one."""
+    group_cols, ints, strs, nums = _kinds(df, columns, group_cols)
     parts = []
+    if ints or strs:
+        counts = cell_counts(spread(df.select(*group_cols, *ints, *strs)), group_cols, _wanted(ints, strs, n), n, tokenizer)
+        parts.append(_profile_of_counts(counts, group_cols, ints, k))
     if nums:
-        parts.append(long(moments(df, nums, group_cols), MOMENTS))
-    if ints:
-        parts.append(long(value_entropy(df, ints, group_cols), ["entropy"]))
-    if strs:
-        parts.append(long(moments(df, strs, group_cols, of_length=True), MOMENTS, "length."))
-        parts.append(long(ngram_entropy(df, strs, group_cols, n).withColumnRenamed("entropy", "char_entropy"),
-                          ["char_entropy"]))
-        parts.append(long(word_entropy(df, strs, group_cols, tokenizer).withColumnRenamed("entropy", "word_entropy"),
-                          ["word_entropy"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(_long(moments(df, nums, group_cols), group_cols, {m: F.col(m) for m in MOMENTS}))
+    if not parts:
+        raise ValueError("no columns to profile")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _kinds(df: DataFrame, columns: list[str] | None, group_cols: list[str] | None) -> tuple[list[str], ...]:
+    group_cols = list(group_cols or [])
+    cols = [c for c in (columns if columns is not None else df.columns) if c not in group_cols]
+    return group_cols, *(columns_of_kind(df, (kind,), cols) for kind in ("int", "str", "num"))
+
+
+def _wanted(ints: list[str], strs: list[str], n: int) -> list[tuple[str, str]]:
+    texts = (VALUE, LENGTH, WORD, GRAM) if n > 0 else (VALUE, LENGTH, WORD)
+    return [(c, VALUE) for c in ints] + [(c, kind) for c in strs for kind in texts]
+
+
+def profile_nodes(df: DataFrame, tree: Tree, columns: list[str] | None = None, branches: bool = True, leaves: bool = True,
+                  n: int = DEFAULT_NGRAM, tokenizer: str = DEFAULT_TOKENIZER, k: int = 10) -> DataFrame:
+    """T1 per node of a tree: :func:`profile` with a ``node_id``, of its leaves, of its branches (the
+    nodes above, root included) or of both. Cells are counted once per leaf; a branch's counts are its leaves', added up."""
+    _, ints, strs, _ = _kinds(df, columns, None)
+    labelled = spread(df.select(*ints, *strs)).withColumn("node_id", tree.to_column())
+    counts = cell_counts(labelled, ["node_id"], _wanted(ints, strs, n), n, tokenizer)
+    shortest, steps = F.lit(0) if branches else F.length("node_id"), F.length("node_id") if leaves else F.length("node_id") - 1
+    above = F.when(steps >= shortest, F.transform(F.sequence(shortest, F.greatest(steps, shortest)), lambda i: F.substring("node_id", F.lit(1), i)))
+    rolled = counts.select(F.explode(above).alias("node_id"), "col_name", "kind", "value", "n").groupBy(
+        "node_id", "col_name", "kind", "value").agg(F.sum("n").alias("n"))
+    return _profile_of_counts(rolled, ["node_id"], ints, k)

@@ -1,7 +1,7 @@
 """Rule candidates (T2, T3) from a small per-node sample (M2).
 
-Per node the ``rule_samples`` rows with the lowest hash are drawn (a partial
-``WindowGroupLimit`` before the shuffle), so the candidate set is bounded by
+Per node the ``rule_samples`` rows with the lowest hash are drawn (rows beyond a cut-off
+of the hash are filtered out before any sort), so the candidate set is bounded by
 ``nodes x columns x rule_samples`` whatever the table size. Integer columns
 offer each distinct sampled value but the smallest as a threshold ``col < v``
 (both sides non-empty on the sample); string columns offer words and 6-grams of
@@ -11,6 +11,8 @@ at most ``rule_samples`` per column, in seeded-md5 order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,10 @@ from pyspark.sql.window import Window
 from ..functions.hashing import term_order
 from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER, pieces, rule_grams, tokenize
 from .profile import columns_of_kind
-from .sampling import sample_per_group
+from .sampling import came_short, sample_known_sizes, sample_per_group
+
+#: Characters of a sample that one task takes through T3.
+ONE_TASK_CHARS = 100_000
 
 CANDIDATE_SCHEMA = T.StructType([
     T.StructField("node_id", T.StringType(), False),
@@ -145,22 +150,40 @@ def candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: list[str]
 
 def collect_candidates(df: DataFrame, key: str, int_cols: list[str], str_cols: list[str], node_col: str = "node_id",
                        rule_samples: int = 5, seed: int = 0, ngram: int = DEFAULT_NGRAM,
-                       tokenizer: str | None = DEFAULT_TOKENIZER, positions: dict[str, int] | None = None) -> list[dict]:
-    """:func:`candidates`, collected. The per-node sample (at most
-    ``rule_samples`` rows per node) is materialised once and read by every branch
-    of the candidate plan, instead of re-running the sampling window per branch.
-    The result is bounded by nodes x columns x rule_samples rows."""
-    sample = sample_per_group(df.select(node_col, key, *int_cols, *str_cols), [node_col], key, rule_samples,
-                              seed).persist()
-    cleanup = [sample]
+                       tokenizer: str | None = DEFAULT_TOKENIZER, positions: dict[str, int] | None = None,
+                       sizes: dict[str, int] | None = None) -> list[dict]:
+    """:func:`candidates`, collected: nodes x columns x rule_samples rows at most. ``sizes``: the nodes'
+    row counts, where they are known (a build knows them); then the sample takes one pass.
+
+    The sample (at most ``rule_samples`` rows per node) is materialised once. Where it holds few
+    characters, one task takes it through T2 and T3 without a shuffle; else T3 is dealt out."""
+    rows = df.select(node_col, key, *int_cols, *str_cols)
+    positions = positions or {c: i for i, c in enumerate(df.columns)}
+    held = []
+
+    def drawn(sample: DataFrame) -> tuple[DataFrame, dict[str, int], int]:
+        sample = sample.persist()
+        held.append(sample)
+        chars = reduce(lambda a, b: a + b, [F.coalesce(F.length(c), F.lit(0)) for c in str_cols], F.lit(0)).cast("bigint")
+        got = sample.groupBy(node_col).agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars")).collect()   # a row per node
+        return sample, {r[node_col]: r["n"] for r in got}, sum(r["chars"] for r in got)
+
     try:
-        positions = positions or {c: i for i, c in enumerate(df.columns)}
-        strings = sample_strings(sample, str_cols, node_col, positions).persist() if str_cols else None
-        cleanup.append(strings)
+        if sizes is None:
+            sample, _, chars = drawn(sample_per_group(rows, [node_col], key, rule_samples, seed))
+        else:
+            sample, found, chars = drawn(sample_known_sizes(rows, node_col, key, rule_samples, sizes, seed))
+            short, wider = came_short(found, sizes, rule_samples), 1
+            while short:
+                wider *= 64
+                again, more, extra = drawn(sample_known_sizes(rows, node_col, key, rule_samples, short, seed, wider))
+                sample = sample.filter(~F.col(node_col).isin(list(short))).unionByName(again)
+                short, chars = came_short(more, short, rule_samples), chars + extra
+        if chars <= ONE_TASK_CHARS:
+            sample = sample.coalesce(1)
         out = candidates(df, key, int_cols, str_cols, node_col, rule_samples, seed, ngram, tokenizer,
-                         sample=sample, positions=positions, strings=strings)
+                         sample=sample, positions=positions)
         return [r.asDict() for r in out.collect()]
     finally:
-        for frame in cleanup:
-            if frame is not None:
-                frame.unpersist()
+        for frame in held:
+            frame.unpersist()

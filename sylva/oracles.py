@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from .functions.entropy import entropy_sql, xlog2x_sql
 from .functions.hashing import level_seed, row_hash_sql, term_order_sql
-from .functions.text import rule_grams_sql, tokenize_sql
+from .functions.text import ngrams_sql, rule_grams_sql, tokenize_sql
 
 
 def sample_sql(rel: str, key: str, k: int = 5, seed: int = 0, tiebreak: list[str] = ()) -> str:
@@ -59,16 +59,45 @@ def predicate_sql(row: str, rule: str, int_cols, str_cols) -> str:
     return f"(CASE {rule}.col_name {' '.join(whens)} END)"
 
 
-def report_sql(rel: str, rules: str, int_cols, str_cols, target: str, factor: float = 1.0) -> str:
-    """T5 for a categorical target (weight 1)."""
-    branched = (f"SELECT l.node_id, r.rule_id, CASE WHEN {predicate_sql('l', 'r', int_cols, str_cols)} THEN 0 ELSE 1 END "
-                f"AS branch, CAST(l.{target} AS VARCHAR) AS value FROM {rel} l JOIN ({rules}) r ON l.node_id = r.node_id")
-    counts = f"SELECT node_id, rule_id, branch, value, count(*) AS n FROM ({branched}) GROUP BY ALL"
-    per_col = (f"SELECT node_id, rule_id, branch, '{target}' AS col_name, CAST(sum(n) AS BIGINT) AS rows, "
-               f"{entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} AS entropy, CAST(1.0 AS DOUBLE) AS weight "
-               f"FROM ({counts}) GROUP BY node_id, rule_id, branch")
-    per_rule = (f"SELECT node_id, rule_id, CAST(sum(rows) AS BIGINT) AS n_rows, count(*) AS n_branches, "
-                f"{entropy_sql('sum(rows)', 'sum(' + xlog2x_sql('rows') + ')', 'count(*)')} AS route_entropy, "
+def _gram_word_sql(branched: str, column: str, keys: str) -> str:
+    """A10 of a text column per ``keys``: ``branched`` has the keys, a row id ``_i`` and the column. Grams and
+    words are counted once per row, then added up."""
+    ent = entropy_sql("sum(n)", "sum(" + xlog2x_sql("n") + ")", "count(*)")
+
+    def part(tokens: str, name: str) -> str:
+        own = (f"SELECT _i, t, count(*) AS n FROM (SELECT _i, unnest({tokens}) AS t FROM (SELECT DISTINCT _i, {column} AS s FROM {branched}) "
+               f"WHERE s IS NOT NULL) GROUP BY ALL")
+        return (f"SELECT {keys}, {ent} AS {name} FROM (SELECT {keys}, t, sum(n) AS n FROM {branched} JOIN ({own}) o USING (_i) "
+                f"GROUP BY {keys}, t) GROUP BY {keys}")
+
+    gram, word = "coalesce(g.gram / c.texts, 0.0)", "coalesce(w.word, 0.0)"
+    return (f"SELECT {keys}, c.rows, CASE WHEN {gram} = 0 OR {word} = 0 THEN {gram} + {word} ELSE ({gram} + {word}) / 2 END AS entropy "
+            f"FROM (SELECT {keys}, count(*) AS rows, count({column}) AS texts FROM {branched} GROUP BY {keys}) c "
+            f"LEFT JOIN ({part(ngrams_sql('s'), 'gram')}) g USING ({keys}) LEFT JOIN ({part(tokenize_sql('s'), 'word')}) w USING ({keys})")
+
+
+def _column_entropy_sql(branched: str, target: str, keys: str, texts: list[str]) -> str:
+    """rows and entropy per ``keys`` of one entropy column."""
+    if target in texts:
+        return f"SELECT {keys}, '{target}' AS col_name, rows, entropy FROM ({_gram_word_sql(branched, target, keys)})"
+    counts = f"SELECT {keys}, CAST({target} AS VARCHAR) AS value, count(*) AS n FROM {branched} GROUP BY ALL"
+    return (f"SELECT {keys}, '{target}' AS col_name, CAST(sum(n) AS BIGINT) AS rows, "
+            f"{entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} AS entropy FROM ({counts}) GROUP BY {keys}")
+
+
+def report_sql(rel: str, rules: str, int_cols, str_cols, target: "str | list[str]", factor: float = 1.0,
+               texts: list[str] = (), key: str = "row_key") -> str:
+    """T5 for one or more entropy columns of weight 1; those in ``texts`` by A10 (``key`` is unique then)."""
+    targets = [target] if isinstance(target, str) else list(target)
+    named = ", ".join(f"l.{t}" for t in targets)
+    branched = (f"(SELECT l.node_id, r.rule_id, CASE WHEN {predicate_sql('l', 'r', int_cols, str_cols)} THEN 0 ELSE 1 END "
+                f"AS branch, l.{key} AS _i, {named} FROM {rel} l JOIN ({rules}) r ON l.node_id = r.node_id)")
+    keys = "node_id, rule_id, branch"
+    per_col = " UNION ALL ".join(f"SELECT {keys}, col_name, rows, entropy, CAST(1.0 AS DOUBLE) AS weight "
+                                 f"FROM ({_column_entropy_sql(branched, t, keys, texts)})" for t in targets)
+    rep = f"FILTER (WHERE col_name = '{targets[0]}')"
+    per_rule = (f"SELECT node_id, rule_id, CAST(sum(rows) {rep} AS BIGINT) AS n_rows, count(*) {rep} AS n_branches, "
+                f"{entropy_sql(f'(sum(rows) {rep})', f'(sum(' + xlog2x_sql('rows') + f') {rep})', f'(count(*) {rep})')} AS route_entropy, "
                 f"sum(weight * entropy * rows) AS _bsum FROM ({per_col}) GROUP BY node_id, rule_id")
     return (f"SELECT c.*, p.n_rows, p.n_branches, p.route_entropy, p._bsum - {float(factor)!r} * p.route_entropy * p.n_rows "
             f"AS fitness, r.col_name AS rule_column, r.kind, r.num_value, r.term FROM ({per_col}) c "
@@ -87,15 +116,17 @@ def best_sql(report: str) -> str:
 
 def build_sql(staged: str, key: str, int_cols, str_cols, target: str, max_depth: int = 4, min_node: int = 1000,
               purity_limit: int | None = None, k: int = 5, seed: int = 0, output: str = "nodes",
-              fit_where: str = "true", sample_size: int | None = None) -> str:
+              fit_where: str = "true", sample_size: int | None = None, spec: list[str] = (), texts: list[str] = ()) -> str:
     """T8 as one query: the node table of the level-wise build. Only rows where
     ``fit_where`` holds grow the tree; the others are routed along (output rows).
-    ``sample_size``: rules are scored on that many lowest-hash rows per node."""
+    ``sample_size``: rules are scored on that many lowest-hash rows per node. ``spec``: the entropy
+    columns (default: the target), of them ``texts`` by A10."""
+    spec = list(spec or [target])
     pure = "went = 0" if purity_limit is None else f"rows < {purity_limit} AND went = 0"
-    tiebreak = [*(c for c, _ in int_cols), *(c for c, _ in str_cols), target]
+    tiebreak = [*(c for c, _ in int_cols), *(c for c, _ in str_cols), *(c for c in spec if c not in dict([*int_cols, *str_cols]))]
+    root = " UNION ALL ".join(f"SELECT * FROM ({_column_entropy_sql(f'(SELECT *, {key} AS _i FROM lab0 WHERE _fit)', t, 'node_id', texts)})" for t in spec)
     ctes = [f"lab0 AS (SELECT *, '' AS node_id, ({fit_where}) AS _fit FROM {staged})",
-            f"ent0 AS (SELECT node_id, CAST(sum(n) AS BIGINT) AS rows, {entropy_sql('sum(n)', 'sum(' + xlog2x_sql('n') + ')', 'count(*)')} "
-            f"AS went FROM (SELECT node_id, {target}, count(*) AS n FROM lab0 WHERE _fit GROUP BY ALL) GROUP BY node_id)",
+            f"ent0 AS (SELECT node_id, max(rows) AS rows, sum(entropy) AS went FROM ({root}) GROUP BY node_id)",
             "nodes0 AS (SELECT node_id, rows, went FROM ent0)"]
     for L in range(max_depth):
         stop = f"(rows < {min_node} OR ({pure}))"
@@ -105,7 +136,7 @@ def build_sql(staged: str, key: str, int_cols, str_cols, target: str, max_depth:
         ctes += [
             f"in{L} AS (SELECT l.* EXCLUDE (_fit) FROM lab{L} l JOIN nodes{L} n ON l.node_id = n.node_id AND NOT {stop} WHERE l._fit)",
             f"rules{L} AS ({rules_sql(cands_sql(f'in{L}', key, int_cols, str_cols, k, level_seed(seed, L)))})",
-            f"best{L} AS ({best_sql(report_sql(scored,  f'rules{L}', int_cols, str_cols, target))})",
+            f"best{L} AS ({best_sql(report_sql(scored, f'SELECT * FROM rules{L}', int_cols, str_cols, spec, texts=texts, key=key))})",
             f"lab{L + 1} AS (SELECT l.* EXCLUDE (node_id), l.node_id || CASE WHEN b.node_id IS NULL THEN '' "
             f"WHEN {predicate_sql('l', 'b', int_cols, str_cols).replace('b.col_name', 'b.rule_column')} THEN '0' ELSE '1' END "
             f"AS node_id FROM lab{L} l LEFT JOIN best{L} b ON l.node_id = b.node_id)",

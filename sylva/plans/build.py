@@ -6,11 +6,11 @@ persisted once, and each level relabels it with the tree grown so far (the tree
 *is* the node-id column), so lineage stays one projection deep at any depth.
 Per level there are three steps, of a few small jobs each, whatever the number of nodes:
 
-1. candidates: a per-node hash sample (``rule_samples`` rows), T2 + T3;
-   collected — bounded by nodes x columns x rule_samples;
-2. scoring: every row of every open node against its node's candidates
-   (broadcast hash join + one partial/final aggregation), then K3;
-   the winners (one per node) are collected;
+1. candidates: a per-node hash sample (``rule_samples`` rows, cut off by the known
+   node sizes), T2 + T3; collected — bounded by nodes x columns x rule_samples;
+2. scoring: every row of every open node gets a code per rule column, one
+   partial/final aggregation counts the codes, then K3; the winners (one per
+   node) are collected;
 3. the winners' branch sizes and entropies become the children's statistics
    for the stop test (T6), so no extra pass is needed.
 """
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import level_seed
 from ..functions.text import DEFAULT_NGRAM, DEFAULT_TOKENIZER
-from ..operators.profile import columns_of_kind, spread
+from ..operators.cells import spread
+from ..operators.profile import columns_of_kind
 from ..operators.rules import collect_candidates, rule_columns
 from ..operators.sampling import sample_per_group
-from ..operators.score import RULE_SCHEMA, branch_stats, number_rules, score_best
+from ..operators.score import branch_stats, number_rules, score_best
 from ..session import scratch_path
 from ..sources.parquet import write_read_parquet
 from .tree import Rule, Tree
@@ -103,14 +104,12 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
     class_cols = [c for c in weights if c in targets or c in columns_of_kind(df, ("int",))]
     need = list(dict.fromkeys([key, *int_cols, *str_cols, *weights]))
     positions = {c: i for i, c in enumerate(df.columns)}
-    # One pass spreads a small, few-split input over all cores; an input that
-    # already has enough splits (any large table) is used as it is.
+    # A small input is dealt out to all cores; a large one has splits enough.
     data = spread(df.select(*need))
     if persist == "table":
         data = write_read_parquet(data, scratch_path(df.sparkSession, f"build-{uuid.uuid4().hex}"))
     elif persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    spark = df.sparkSession
     tree = Tree()
     result = BuildResult(tree)
     try:
@@ -131,9 +130,10 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
             labelled = data.withColumn("node_id", tree.to_column()).filter(F.col("node_id").isin(open_nodes))
             t0 = time.time()
             cands = collect_candidates(labelled, key, int_cols, str_cols, rule_samples=p.rule_samples,
-                                       seed=level_seed(p.seed, level), ngram=p.ngram, tokenizer=p.tokenizer, positions=positions)
+                                       seed=level_seed(p.seed, level), ngram=p.ngram, tokenizer=p.tokenizer, positions=positions,
+                                       sizes={n: stats[n][0] for n in open_nodes})
             info["candidates"] = len(cands)
-            # the broadcast side of the scoring join: bounded by parameters, checked
+            # the literals of the scoring plan: bounded by parameters, checked
             bound = len(open_nodes) * (len(int_cols) * p.rule_samples + len(str_cols) * p.rule_samples)
             if len(cands) > bound:
                 raise ValueError(f"{len(cands)} candidates, more than the bound of {bound}")
@@ -142,13 +142,12 @@ def build_tree(df: DataFrame, key: str, targets: list[str], weights: dict[str, f
                 break
             numbered = number_rules(cands, int_cols, str_cols)
             by_id = {r[1]: r for r in numbered}     # rule_id -> (node, id, column, pos, kind, value, term, idx)
-            rules = spark.createDataFrame(numbered, RULE_SCHEMA)
             scored_rows = labelled
             if p.sample_size is not None:
                 scored_rows = sample_per_group(labelled, ["node_id"], key, p.sample_size,
                                                level_seed(p.seed, level) + 1)
             t0 = time.time()
-            winners = score_best(scored_rows, rules, int_cols, str_cols, weights, class_cols,
+            winners = score_best(scored_rows, numbered, int_cols, str_cols, weights, class_cols,
                                  p.selection_factor, p.ngram, p.tokenizer or DEFAULT_TOKENIZER,
                                  with_rule=False).collect()
             info["sec_scoring"] = round(time.time() - t0, 3)

@@ -318,21 +318,30 @@ def _a10(spark, sf):
     return profile.string_entropy(st_docs(spark, sf), ["text", "lang"], group_cols=["y"])
 
 
-def _profile_sql(table: str, ints: list[str], nums: list[str], strs: list[str]) -> str:
+def _profile_sql(table: str, ints: list[str], nums: list[str], strs: list[str], group: list[str] = ()) -> str:
+    g = "".join(f"{x}, " for x in group)
+
     def long(src: str, metrics: list[str], prefix: str = "") -> str:
-        return " UNION ALL ".join(f"SELECT col_name, '{prefix}{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({src})"
-                                  for m in metrics)
+        return " UNION ALL ".join(f"SELECT {g}col_name, '{prefix}{m}' AS metric, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS item, "
+                                  f"CAST({m} AS DOUBLE) AS value FROM ({src})" for m in metrics)
+
+    def top(counts: str, metric: str) -> str:
+        return (f"SELECT {g}col_name, '{metric}' AS metric, rank, value AS item, CAST(n AS DOUBLE) AS value "
+                f"FROM ({_top_k_sql(counts, 10, group)})")
+
     parts = []
     if nums:
-        parts.append(long(_moments_sql(table, nums), profile.MOMENTS))
+        parts.append(long(_moments_sql(table, nums, group=group), profile.MOMENTS))
     if ints:
-        parts.append(long(_value_entropy_sql(table, ints), ["entropy"]))
+        parts.append(long(_value_entropy_sql(table, ints, group), ["entropy"]))
     if strs:
-        parts.append(long(_moments_sql(table, strs, of_length=True), profile.MOMENTS, "length."))
-        parts.append(long(_entropy_of_counts_sql(_gram_counts_sql(table, strs), "n_grams").replace(
+        parts.append(long(_moments_sql(table, strs, of_length=True, group=group), profile.MOMENTS, "length."))
+        parts.append(long(_entropy_of_counts_sql(_gram_counts_sql(table, strs, group), "n_grams", group).replace(
             "AS entropy", "AS char_entropy"), ["char_entropy"]))
-        parts.append(long(_entropy_of_counts_sql(_word_counts_sql(table, strs), "n_words").replace(
+        parts.append(long(_entropy_of_counts_sql(_word_counts_sql(table, strs, group), "n_words", group).replace(
             "AS entropy", "AS word_entropy"), ["word_entropy"]))
+        parts.append(top(_word_counts_sql(table, strs, group), "common_words"))
+    parts.append(top(f"SELECT {g}col_name, value, count(*) AS n FROM ({_unpivot_sql(table, ints + strs, group)}) GROUP BY ALL", "common_values"))
     return " UNION ALL ".join(parts)
 
 
@@ -349,11 +358,25 @@ def _t1d(spark, sf):
     return profile.profile(st_docs(spark, sf).select("n_chars", "text", "lang", "y"))
 
 
+def _nodes_of(tree, table: str) -> str:
+    """Every row once per node on its path, root and leaf included."""
+    return (f"(SELECT * EXCLUDE (leaf, depth), left(leaf, depth) AS node_id FROM (SELECT *, unnest(range(0, length(leaf) + 1)) AS depth "
+            f"FROM (SELECT *, {duck(tree)} AS leaf FROM {table} AS T)))")
+
+
+@query("t1_profile_by_leaf", with_staged(_profile_sql(
+    _nodes_of(saved.DOCS_A, "st_docs"), ["n_chars", "y"], ["n_chars", "y"], ["text", "lang"], ["node_id"]), "st_docs"))
+def _t1n(spark, sf):
+    """Branch and leaf profiles: every node of the tree."""
+    return profile.profile_nodes(st_docs(spark, sf), saved.DOCS_A, ["n_chars", "text", "lang", "y"])
+
+
 # ---------------------------------------------------------------- T2-T8: candidates, scores, build
 from . import oracles  # noqa: E402
 from .operators.rules import candidates, collect_candidates  # noqa: E402
-from .operators.score import RULE_SCHEMA, best_rules, number_rules, score_rules  # noqa: E402
-from .plans.build import BuildParams, build_tree  # noqa: E402
+from .operators.cells import spread  # noqa: E402
+from .operators.score import best_rules, number_rules, score_rules  # noqa: E402
+from .plans.build import BuildParams, build_tree, entropy_spec  # noqa: E402
 
 LINE_INTS = [("quantity", 1), ("linenumber", 2), ("discount_pct", 3), ("tax_pct", 4)]
 LINE_STRS = [("linestatus", 5)]
@@ -385,11 +408,10 @@ def _t3(spark, sf):
 
 
 def _line_report(spark, sf):
-    lab = profile.spread(label(st_line(spark, sf), saved.LINE_A, "node_id"))
+    lab = spread(label(st_line(spark, sf), saved.LINE_A, "node_id"))
     ints, strs = _names(LINE_INTS), _names(LINE_STRS)
     cands = collect_candidates(lab, "row_key", ints, strs)
-    rules = spark.createDataFrame(number_rules(cands, ints, strs), RULE_SCHEMA)
-    return score_rules(lab, rules, ints, strs, {"y": 1.0}, ["y"])
+    return score_rules(lab, number_rules(cands, ints, strs), ints, strs, {"y": 1.0}, ["y"])
 
 
 _LINE_RULES_SQL = oracles.rules_sql(oracles.cands_sql("lab", "row_key", LINE_INTS, LINE_STRS))
@@ -444,6 +466,27 @@ def _t8e(spark, sf):
                       params=BuildParams(max_depth=4, min_node_size=500)).node_table(spark)
 
 
+def _docs_mode(spark, sf, mode, max_depth):
+    df = st_docs(spark, sf)
+    weights = entropy_spec(df, ["y"], mode, exclude=["row_key", "toxic"])
+    return build_tree(df, "row_key", ["y"], weights, blacklist=["toxic"],
+                      params=BuildParams(max_depth=max_depth, min_node_size=20)).node_table(spark)
+
+
+@query("t8_build_tree_unsupervised", _build_sql("st_docs", DOCS_INTS, DOCS_STRS, max_depth=2, min_node=20,
+                                                spec=["n_chars", "text", "lang"], texts=["text", "lang"]))
+def _t8u(spark, sf):
+    """No class at all; the entropies are those of every feature, texts by their grams and words."""
+    return _docs_mode(spark, sf, "unsupervised", 2)
+
+
+@query("t8_build_tree_semi", _build_sql("st_docs", DOCS_INTS, DOCS_STRS, max_depth=2, min_node=20,
+                                        spec=["n_chars", "text", "lang", "y"], texts=["text", "lang"]))
+def _t8semi(spark, sf):
+    """The features' entropies and the class's."""
+    return _docs_mode(spark, sf, "semi-supervised", 2)
+
+
 # ---------------------------------------------------------------- T6, T9, T10
 from .plans.build import node_stats  # noqa: E402
 
@@ -522,11 +565,11 @@ def _matrix_sql(label_name: str, classes, target="y", source="lab"):
     return f"SELECT {label_name}, {cols} FROM {source} GROUP BY {label_name}"
 
 
-def _predict_sql(table, trees: dict, classes, target="y", fit_where="true", where="true", lab_sql: str | None = None):
+def _predict_sql(table, trees: dict, classes, target="y", fit_where="true", where="true", lab_sql: str | None = None, keys=()):
     """Predictor SQL; labels from ``trees`` (rendered as CASE) or, when ``lab_sql``
     is given, from that query (which must carry the label columns named in ``trees``)."""
     labs = ", ".join(f"{duck(t)} AS {n}" for n, t in trees.items() if t is not None)
-    names = list(trees)
+    names, keep = list(trees), "".join(f"{k}, " for k in keys)
     mats = ", ".join(f"m_{n} AS ({_matrix_sql(n, classes, target, f'(SELECT * FROM lab WHERE {fit_where})')})"
                      for n in names)
     joins = " ".join(f"JOIN m_{n} USING ({n})" for n in names)
@@ -537,8 +580,8 @@ def _predict_sql(table, trees: dict, classes, target="y", fit_where="true", wher
     case = "CASE " + " ".join(f"WHEN {target}_{c} = max THEN {c!r}" for c in classes) + " END"
     return with_staged(f"""
 , lab AS ({lab_sql if lab_sql else f"SELECT *, {labs} FROM {table} AS T"}), {mats},
-p AS (SELECT lab.{target}, {scores} FROM (SELECT * FROM lab WHERE {where}) lab {joins}),
-n AS (SELECT {target}, {normed} FROM p),
+p AS (SELECT {keep}lab.{target}, {scores} FROM (SELECT * FROM lab WHERE {where}) lab {joins}),
+n AS (SELECT {keep}{target}, {normed} FROM p),
 x AS (SELECT *, {mx} AS max FROM n)
 SELECT *, {case} AS predict FROM x""", table).replace("\n)\n, lab", "\n), lab", 1)
 
@@ -611,9 +654,15 @@ def _t11s(spark, sf):
     return pred.predict(st_event(spark, sf), _EVENT_FOREST, "y", _EVENT_CLASSES)
 
 
+@query("t11_predict_keyed", _predict_sql("st_event", _EVENT_FOREST, _EVENT_CLASSES, keys=["row_key"]))
+def _t11k(spark, sf):
+    """Predictions that can be joined back to their rows."""
+    return pred.predict(st_event(spark, sf), _EVENT_FOREST, "y", _EVENT_CLASSES, keys=["row_key"])
+
+
 @query("a18_predict_accuracy", _accuracy_of(_predict_sql("st_line", _LINE_FOREST, [0, 1, 2])))
 def _a18(spark, sf):
-    return pred.accuracy(pred.predict(st_line(spark, sf), _LINE_FOREST, "y", [0, 1, 2]), "y")
+    return pred.forest_accuracy(st_line(spark, sf), _LINE_FOREST, "y", [0, 1, 2])
 
 
 @query("a18_predict_accuracy_heldout", _accuracy_of(_predict_sql(
@@ -621,7 +670,7 @@ def _a18(spark, sf):
     where=sampling.split_sql("row_key"))))
 def _a18h(spark, sf):
     train, test = sampling.split_train_test(st_event(spark, sf), "row_key")
-    return pred.accuracy(pred.predict(test, _EVENT_FOREST, "y", _EVENT_CLASSES, fit=train), "y")
+    return pred.forest_accuracy(test, _EVENT_FOREST, "y", _EVENT_CLASSES, fit=train)
 
 
 # ---------------------------------------------------------------- S2-S4, S9, streaming
@@ -729,4 +778,4 @@ def _t11b(spark, sf):
     p = BuildParams(max_depth=3, min_node_size=500)
     t1 = build_tree(train, "row_key", ["y"], blacklist=["user_id"], params=p).tree
     t2 = build_tree(train, "row_key", ["y"], blacklist=["hour"], params=p).tree
-    return pred.accuracy(pred.predict(test, {"label_a": t1, "label_b": t2}, "y", _EVENT_CLASSES, fit=train), "y")
+    return pred.forest_accuracy(test, {"label_a": t1, "label_b": t2}, "y", _EVENT_CLASSES, fit=train)

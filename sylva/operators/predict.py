@@ -16,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tree import Tree
-from .validate import class_list, cluster_counts
+from ..plans.tree import Tree, add_labels
+from .validate import cluster_counts, counted
 
 
 def class_col(target: str, c) -> str:
@@ -28,12 +28,10 @@ def predictive_matrix(df: DataFrame, label_col: str, target: str, classes: list
                       sort: bool = True) -> DataFrame:
     """P(class | label) per label, one column ``{target}_{class}``; a class
     never seen with a label is NULL. One aggregation (sorted by label for a
-    report; unsorted when it only feeds the predictor)."""
-    classes = classes if classes is not None else class_list(df, target)
-    total = F.count(F.lit(1)).cast("double")
-    cols = [F.try_divide(F.nullif(F.count(F.when(F.col(target) == F.lit(c), 1)), F.lit(0)).cast("double"), total)
-            .alias(class_col(target, c)) for c in classes]
-    m = df.groupBy(label_col).agg(*cols)
+    report; unsorted when it only feeds the predictor). Without ``classes`` the (label, class) counts are
+    collected, which the matrix has no fewer cells than: the classes come with them, not from a second scan."""
+    cells, classes = counted(df, label_col, target) if classes is None else (cluster_counts(df, label_col, target), classes)
+    m = matrices_of_cells(cells, [label_col], target, classes)[label_col]
     return m.orderBy(label_col) if sort else m
 
 
@@ -47,8 +45,9 @@ def predictive_matrix_long(df: DataFrame, label_col: str, target: str) -> DataFr
 
 
 def _labelled(frame: DataFrame, labels: dict[str, "Tree | Column | None"]) -> DataFrame:
-    cols = [(fn.to_column() if isinstance(fn, Tree) else fn).alias(name) for name, fn in labels.items() if fn is not None]
-    return frame.select("*", *cols) if cols else frame
+    cols = [fn.alias(name) for name, fn in labels.items() if fn is not None and not isinstance(fn, Tree)]
+    out = frame.select("*", *cols) if cols else frame
+    return add_labels(out, {name: fn for name, fn in labels.items() if isinstance(fn, Tree)})
 
 
 def label_cells(df: DataFrame, labels: dict[str, "Tree | Column | None"], target: str) -> DataFrame:

@@ -197,17 +197,19 @@ def _long(frame: DataFrame, group_cols: list[str], metrics: dict[str, Column]) -
 
 def _moments_of_counts(counts: DataFrame, group_cols: list[str], ints: list[str]) -> DataFrame:
     """Per (group..., col_name, kind): entropy, and the moments of integer values and of lengths. The
-    sums are of whole numbers, so the deviation comes out without cancellation while they fit."""
+    sums are of whole numbers, so the deviation comes out without cancellation while they fit 38 digits."""
     number = F.when((F.col("kind") == LENGTH) | (F.col("kind") == VALUE) & F.col("col_name").isin(ints), F.col("value")).try_cast("decimal(19,0)")
-    n = F.col("n").cast("decimal(19,0)")
+    n, x = F.col("n").cast("decimal(19,0)"), number.cast("double")
     known = F.when(F.col("value").isNotNull(), F.col("n"))
     sums = counts.groupBy(*group_cols, "col_name", "kind").agg(
         F.coalesce(F.sum(known), F.lit(0)).alias("sum0"), F.sum(xlog2x(known)).alias("_nl"), F.count(known).alias("_nv"),
         F.max(number).cast("double").alias("max"), F.min(number).cast("double").alias("min"),
-        F.sum(F.try_multiply(number, n)).alias("_s1"), F.sum(F.try_multiply(F.try_multiply(number, number), n)).alias("_s2"))
+        F.try_sum(F.try_multiply(number, n)).alias("_s1"), F.try_sum(F.try_multiply(F.try_multiply(number, number), n)).alias("_s2"),
+        F.sum(x * F.col("n")).alias("_d1"), F.sum(x * x * F.col("n")).alias("_d2"))
     rows = F.col("sum0").cast("decimal(38,0)")
     exact = F.try_subtract(F.try_multiply(rows, F.col("_s2")), F.try_multiply(F.col("_s1"), F.col("_s1"))).cast("double")
-    s1, s2, total = F.col("_s1").cast("double"), F.col("_s2").cast("double"), F.col("sum0").cast("double")
+    s1, s2 = (F.coalesce(F.col(f"_s{i}").cast("double"), F.col(f"_d{i}")) for i in (1, 2))
+    total = F.col("sum0").cast("double")
     spread_out = F.coalesce(exact, F.greatest(total * s2 - s1 * s1, F.lit(0.0)))
     return sums.select(
         *group_cols, "col_name", "kind", "sum0", entropy_expr(F.col("sum0"), F.col("_nl"), F.col("_nv")).alias("entropy"), "max", "min",

@@ -99,13 +99,14 @@ def text_candidates(sample: DataFrame, columns: list[str], node_col: str = "node
     pieces_ = strings.select(node_col, "col_name", "sid", F.explode(pieces(F.col("s"), width)).alias("piece")).distinct()
 
     keyed = terms.withColumn("piece", F.substring("term", 1, width))
-    pairs = keyed.join(pieces_, [node_col, "col_name", "piece"]).select(
+    # Merge joins: in the one-task form they need neither a shuffle nor a job of their own.
+    pairs = keyed.hint("merge").join(pieces_, [node_col, "col_name", "piece"]).select(
         node_col, "col_name", "col_pos", "n_strings", "term", "sid")
     short_hits = pairs.filter(F.length("term") <= width)
     # longer terms: one row per sampled string with the terms whose prefix it holds
     long_terms = pairs.filter(F.length("term") > width).groupBy(node_col, "col_name", "col_pos", "n_strings", "sid").agg(
         F.collect_set("term").alias("ts"))
-    long_hits = long_terms.join(strings.select(node_col, "col_name", "sid", "s"), [node_col, "col_name", "sid"]).select(
+    long_hits = long_terms.hint("merge").join(strings.select(node_col, "col_name", "sid", "s"), [node_col, "col_name", "sid"]).select(
         node_col, "col_name", "col_pos", "n_strings",
         F.explode(F.filter("ts", lambda t: F.col("s").contains(t))).alias("term"), "sid")
     hits = short_hits.unionByName(long_hits)

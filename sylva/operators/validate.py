@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.tree import Tree
+from ..plans.tree import Tree, label
 
 
 def distinct_classes(df: DataFrame, target: str) -> DataFrame:
@@ -25,6 +25,14 @@ def cluster_counts(df: DataFrame, label_col: str, target: str) -> DataFrame:
     return df.groupBy(label_col, target).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(df: DataFrame, label_col: str, target: str) -> tuple[DataFrame, list]:
+    """:func:`cluster_counts`, collected, as a local table and with the classes in order: for the wide
+    forms, whose result has a cell for each of these rows."""
+    counts = cluster_counts(df, label_col, target)
+    rows = counts.collect()
+    return df.sparkSession.createDataFrame(rows, counts.schema), sorted({r[target] for r in rows if r[target] is not None})
+
+
 def recode_class(df: DataFrame, target: str, prefix: str | None = None) -> DataFrame:
     """The class as the string ``{target}_{value}`` (a pivot column name)."""
     p = prefix if prefix is not None else f"{target}_"
@@ -34,11 +42,11 @@ def recode_class(df: DataFrame, target: str, prefix: str | None = None) -> DataF
 def cluster_pivot(df: DataFrame, label_col: str, target: str, classes: list | None = None) -> DataFrame:
     """A11 + K1: rows per (cluster, class), one column ``{target}_{class}`` per
     class, NULL where a cluster has no row of a class; sorted by cluster.
-    Rows with a NULL class are in no column."""
-    classes = classes if classes is not None else class_list(df, target)
+    Rows with a NULL class are in no column. The (cluster, class) counts are pivoted, from one
+    scan; without ``classes`` they are collected for the column names."""
+    counts, classes = counted(df, label_col, target) if classes is None else (cluster_counts(df, label_col, target), classes)
     names = [f"{target}_{c}" for c in classes]
-    recoded = recode_class(df.select(label_col, target), target)
-    return recoded.groupBy(label_col).pivot(target, names).agg(F.count(F.lit(1))).orderBy(label_col)
+    return recode_class(counts, target).groupBy(label_col).pivot(target, names).agg(F.sum("n")).orderBy(label_col)
 
 
 def leaf_distribution(df: DataFrame, label_col: str, target: str) -> DataFrame:
@@ -74,9 +82,9 @@ def validate(df: DataFrame, test: DataFrame, tree: Tree, target: str, fit: DataF
              label_col: str = "cluster_id", classes: list | None = None) -> dict[str, DataFrame]:
     """The cluster x class pivot over the whole table ``df`` and the
     majority-class accuracy on ``test`` (fitted on ``fit`` or on ``test``)."""
-    labelled_test = test.withColumn(label_col, tree.to_column())
+    labelled_test = label(test, tree, label_col)
     return {
-        "pivot": cluster_pivot(df.withColumn(label_col, tree.to_column()), label_col, target, classes),
+        "pivot": cluster_pivot(label(df, tree, label_col), label_col, target, classes),
         "accuracy": leaf_accuracy(labelled_test, label_col, target,
-                                  None if fit is None else fit.withColumn(label_col, tree.to_column())),
+                                  None if fit is None else label(fit, tree, label_col)),
     }

@@ -190,8 +190,33 @@ class Tree:
         return [r.column_expr() if ok else ~F.coalesce(r.column_expr(), F.lit(False))
                 for r, ok in self.path(node_id)]
 
+    def bounds(self, node_id: str) -> dict[str, tuple[float | None, float | None]]:
+        """Per threshold column of the path its interval (low, high): low <= column < high. Without a
+        ``high`` NULL is inside too, since it takes the false branch of every rule."""
+        out: dict[str, tuple[float | None, float | None]] = {}
+        for r, ok in self.path(node_id):
+            if r.kind != LT:
+                continue
+            low, high = out.get(r.column, (None, None))
+            v = float(r.value)
+            out[r.column] = (low, v if high is None else min(high, v)) if ok else (v if low is None else max(low, v), high)
+        return out
+
     def condition(self, node_id: str) -> Column:
-        conds = self.conditions(node_id)
+        """The rows routed to ``node_id``, as one interval per threshold column and plain tests of
+        the terms, which a parquet scan takes as filters."""
+        conds = []
+        for name, (low, high) in self.bounds(node_id).items():
+            c = F.col(name)
+            if high is not None:
+                conds.append(c < _threshold(high))
+                if low is not None:
+                    conds.append(c >= _threshold(low))
+            else:
+                conds.append((c >= _threshold(low)) | c.isNull())
+        for r, ok in self.path(node_id):
+            if r.kind == CONTAINS:
+                conds.append(r.column_expr() if ok else ~r.column_expr() | F.col(r.column).isNull())
         return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
     def conditions_sql(self, node_id: str, alias: str | None = "T", dialect: str = "spark") -> list[str]:
@@ -270,9 +295,71 @@ class Tree:
         return cls.from_rows([tuple(d[k] for k in NODE_SCHEMA.names) for d in json.loads(text)])
 
 
+def _threshold(value: float) -> Column:
+    """A whole number as a bigint: against an integer column it reaches the scan, a double doesn't always."""
+    v = float(value)
+    return F.lit(int(v)).cast("bigint") if v.is_integer() and abs(v) < 2.0**62 else F.lit(v)
+
+
+#: Leaves up to which a label is one nested ``CASE``; the code of a larger one is more than the JVM compiles.
+NESTED_LEAVES = 64
+
+
+def is_large(tree: Tree) -> bool:
+    """Too large for one ``CASE``, and every split node has both children."""
+    return len(tree.leaves()) > NESTED_LEAVES and all(n.rule is None or len(tree.children(n.node_id)) == 2 for n in tree.nodes.values())
+
+
+def descend(df: DataFrame, tree: Tree, name: str) -> DataFrame:
+    """P4 for large trees. A row's node is a number, its path's bits behind a one. The upper levels are one nested
+    ``CASE``; each level below is a projection that looks up the rule of that node (column and threshold or
+    term, literals of the plan) and appends the outcome, so its code grows with the columns, not with the leaves.
+    (Every projection rests on the one before: the optimiser's time grows fast with their number, so the levels
+    that one method can hold are taken at once.)"""
+    ints = sorted({n.rule.column for n in tree.nodes.values() if n.rule and n.rule.kind == LT})
+    strs = sorted({n.rule.column for n in tree.nodes.values() if n.rule and n.rule.kind == CONTAINS})
+    taken = {c.lower() for c in df.columns}
+    at = next(f"_{'_' * i}at" for i in range(len(taken) + 1) if f"_{'_' * i}at" not in taken)
+    upper = NESTED_LEAVES.bit_length() - 1
+
+    def above(nid: str) -> str:
+        rule = tree.nodes[nid].rule
+        if rule is None or len(nid) == upper:
+            return str(int("1" + nid, 2))
+        return f"CASE WHEN {rule.sql(alias=None)} THEN {above(nid + '0')} ELSE {above(nid + '1')} END"
+
+    out = df.withColumn(at, F.expr(above("")))
+    for depth in range(upper, tree.depth):
+        rules = [tree.nodes[nid].rule if (nid := format(i, f"0{depth}b")) in tree.nodes else None for i in range(1 << depth)]
+        tests = []
+        for k, (kind, columns) in enumerate(((LT, ints), (CONTAINS, strs))):
+            for j, c in enumerate(columns):
+                if not any(r and r.kind == kind and r.column == c for r in rules):
+                    continue
+                of = [j + len(ints) * k if r and r.kind == kind and r.column == c else None for r in rules]
+                values = [(float(r.value) if kind == LT else r.term) if r and r.kind == kind and r.column == c else None for r in rules]
+                own = f"get(from_json({quote_str(json.dumps(values))}, 'array<{'double' if kind == LT else 'string'}>'), {at} - {1 << depth})"
+                held = f"{quote_ident(c)} < {own}" if kind == LT else f"contains({quote_ident(c)}, {own})"
+                mine = f"get(from_json({quote_str(json.dumps([o is not None for o in of]))}, 'array<boolean>'), {at} - {1 << depth})"
+                tests.append(f"WHEN {mine} THEN CASE WHEN {held} THEN {at} * 2 ELSE {at} * 2 + 1 END")
+        if tests:
+            out = out.withColumn(at, F.expr(f"CASE {' '.join(tests)} ELSE {at} END"))
+    return out.withColumn(name, F.expr(f"substring(bin({at}), 2)")).drop(at)
+
+
 def label(df: DataFrame, tree: Tree, name: str = "cluster_id") -> DataFrame:
     """Every row with its leaf id."""
-    return df.withColumn(name, tree.to_column())
+    return descend(df, tree, name) if is_large(tree) else df.withColumn(name, tree.to_column())
+
+
+def publish(spark: SparkSession, name: str, tree: Tree, df: DataFrame) -> str:
+    """The tree as a temporary SQL function of its columns, typed as in ``df``, so that user SQL labels
+    by name. Returns the call, ``name(column, ...)``."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    columns = [c for c in df.columns if any(n.rule and n.rule.column == c for n in tree.nodes.values())]
+    takes = ", ".join(f"{quote_ident(c)} {types[c]}" for c in columns)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {quote_ident(name)}({takes}) RETURNS STRING RETURN {tree.to_sql(alias=None)}")
+    return f"{quote_ident(name)}({', '.join(map(quote_ident, columns))})"
 
 
 def label_subtree(df: DataFrame, tree: Tree, node_id: str, name: str = "label") -> DataFrame:
@@ -283,7 +370,9 @@ def label_subtree(df: DataFrame, tree: Tree, node_id: str, name: str = "label")
 def add_labels(df: DataFrame, functions: dict[str, "Tree | str"]) -> DataFrame:
     """``T.*`` plus one label column per labelling function, given as a
     tree or as a SQL expression over the columns."""
-    cols = []
-    for name, fn in functions.items():
-        cols.append((fn.to_column() if isinstance(fn, Tree) else F.expr(fn)).alias(name))
-    return df.select("*", *cols)
+    large = {name: fn for name, fn in functions.items() if isinstance(fn, Tree) and is_large(fn)}
+    cols = [(fn.to_column() if isinstance(fn, Tree) else F.expr(fn)).alias(name) for name, fn in functions.items() if name not in large]
+    out = df.select("*", *cols)
+    for name, tree in large.items():
+        out = descend(out, tree, name)
+    return out

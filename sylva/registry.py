@@ -1,9 +1,10 @@
 """The registered queries: one Spark callable and (where SQL can express it) one
-DuckDB oracle per operator of the inventory. Every query reads the supplied
-tables in full."""
+DuckDB oracle per operator of the inventory. Every query reads its tables in full; only
+``m4_char_entropy_sample``, whose operator is a sample, takes 250 documents of them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .operators import sampling, validate
 from .plans import saved
-from .plans.tree import label, label_subtree
+from .plans.tree import label, label_subtree, publish
+from .session import scratch_path
 from .sources import parquet
 from .sources.staged import st_docs, st_event, st_line, with_staged
 
@@ -90,6 +92,23 @@ def _p2(spark, sf):
     return st_line(spark, sf).filter(saved.LINE_A.condition("001")).select("row_key")
 
 
+@query("p2_leaf_filter_stored", ORACLES["p2_leaf_filter"])
+def _p2s(spark, sf):
+    """The same rows from a stored copy, whose scan takes the leaf's intervals as filters."""
+    stored = parquet.write_read_parquet(st_line(spark, sf), scratch_path(spark, f"st-line-{uuid.uuid4().hex}"))
+    return stored.filter(saved.LINE_A.condition("001")).select("row_key")
+
+
+@query("u2_sql_functions", with_staged(
+    f"SELECT row_key, {duck(saved.LINE_A)} AS label_a, {duck(saved.LINE_B)} AS label_b FROM st_line AS T", "st_line"))
+def _u2(spark, sf):
+    """Trees called by name from SQL text."""
+    df = st_line(spark, sf)
+    df.createOrReplaceTempView("st_line")
+    a, b = publish(spark, "leaf_a", saved.LINE_A, df), publish(spark, "leaf_b", saved.LINE_B, df)
+    return spark.sql(f"SELECT row_key, {a} AS label_a, {b} AS label_b FROM st_line")
+
+
 @query("p5_subtree_label", with_staged(
     f"SELECT row_key, {saved.LINE_A.to_sql('0', dialect='duckdb')} AS label FROM st_line AS T "
     f"WHERE {saved.LINE_A.condition_sql('0', dialect='duckdb')}", "st_line"))
@@ -168,6 +187,8 @@ def _m1(spark, sf):
 from .functions.entropy import entropy_sql, xlog2x_sql  # noqa: E402
 from .functions.text import ngrams_sql, tokenize_sql  # noqa: E402
 from .operators import profile  # noqa: E402
+from .operators.cells import WORD, cells, spread  # noqa: E402
+from .operators.frequent import frequent  # noqa: E402
 
 
 def _moments_sql(table: str, cols: list[str], of_length: bool = False, group: list[str] = ()) -> str:
@@ -271,6 +292,16 @@ def _a5(spark, sf):
         profile.common_words(_read(spark, sf, "part"), ["p_name"]))
 
 
+@query("a5_common_words_bounded", ORACLES["a5_common_words"])
+def _a5b(spark, sf):
+    """The same words, found by bounds on hash buckets: not every distinct word is shuffled."""
+    def words(name, column):
+        df = spread(_read(spark, sf, name).select(column))
+        return frequent(cells(df, [], [(column, WORD)]).drop("kind"), ["col_name"])
+
+    return words("documents", "text").unionByName(words("part", "p_name"))
+
+
 @query("a6_value_entropy", _value_entropy_sql("part", ["p_size"]) + " UNION ALL " + _value_entropy_sql("lineitem", ["l_linenumber"]))
 def _a6(spark, sf):
     return profile.value_entropy(_read(spark, sf, "part"), ["p_size"]).unionByName(
@@ -374,7 +405,6 @@ def _t1n(spark, sf):
 # ---------------------------------------------------------------- T2-T8: candidates, scores, build
 from . import oracles  # noqa: E402
 from .operators.rules import candidates, collect_candidates  # noqa: E402
-from .operators.cells import spread  # noqa: E402
 from .operators.score import best_rules, number_rules, score_rules  # noqa: E402
 from .plans.build import BuildParams, build_tree, entropy_spec  # noqa: E402
 
@@ -674,9 +704,6 @@ def _a18h(spark, sf):
 
 
 # ---------------------------------------------------------------- S2-S4, S9, streaming
-import uuid  # noqa: E402
-
-from .session import scratch_path  # noqa: E402
 from .sources import covtype  # noqa: E402
 from .sources.export import export_csv, read_exported  # noqa: E402
 from .sources.staged import stage_line  # noqa: E402
@@ -738,6 +765,45 @@ def _s3(spark, sf):
             .groupBy("accepted", "hot_flags").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _broken_sql() -> str:
+    """Lines of the cover-type shaped table, some of them no rows of integers, by why they are rejected."""
+    return """
+SELECT reason, Cover_Type, count(*) AS n FROM (
+  SELECT CASE WHEN l_linenumber = 7 OR l_linenumber = 6 AND l_partkey % 2 = 0 THEN 'malformed'
+              WHEN l_linenumber = 5 AND l_partkey % 3 = 0 THEN 'empty field'
+              WHEN l_linenumber = 4 AND l_partkey % 40 <> 2 THEN 'hot flags' END AS reason,
+         CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS INTEGER) AS class,
+         CASE WHEN reason IS NULL THEN class END AS Cover_Type FROM lineitem)
+GROUP BY ALL"""
+
+
+@query("s2_s3_ingest_rejects", _broken_sql())
+def _s2r(spark, sf):
+    """A CSV with broken lines: accepted rows by class, rejected ones by reason, both sides from one write."""
+    base = scratch_path(spark, f"covtype-broken-{uuid.uuid4().hex}")
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    rows = _covtype_like(parquet.read_table(spark, sf, "lineitem"), "l_linenumber", "l_partkey")
+    fields = {c: F.col(c).cast("string") for c in covtype.COLUMNS}
+    first, second, flag = covtype.MEASUREMENTS[0], covtype.MEASUREMENTS[1], covtype.SOIL[2]
+    fields[first] = F.when(line == 7, F.lit("no number")).otherwise(fields[first])
+    fields[second] = F.when((line == 5) & (part % 3 == 0), F.lit("")).otherwise(fields[second])
+    fields[flag] = F.when(line == 4, F.lit("1")).otherwise(fields[flag])
+    whole = F.concat_ws(",", *fields.values())
+    rows.select(F.when((line == 6) & (part % 2 == 0), F.concat(whole, F.lit(",1"))).otherwise(whole).alias("value")).write.text(f"{base}/csv")
+    good, bad, counts = covtype.ingest_with_rejects(spark, f"{base}/csv", f"{base}/parquet")
+    out = good.select(F.lit(None).cast("string").alias("reason"), covtype.CLASS).unionByName(
+        bad.select("reason", F.lit(None).cast("int").alias(covtype.CLASS)))
+    return out.groupBy("reason", covtype.CLASS).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s9_export_ranged", ORACLES["a11_cluster_counts"])
+def _s9r(spark, sf):
+    """A report of many rows, exported by all tasks in files of key ranges."""
+    counts = validate.cluster_counts(_many_classes(spark, sf), "label_a", "many")
+    path = export_csv(counts, scratch_path(spark, f"counts-{uuid.uuid4().hex}"), sort=["label_a", "many"])
+    return read_exported(spark, path, counts.schema)
+
+
 @query("s9_export_pivot", ORACLES["a11_cluster_pivot"])
 def _s9(spark, sf):
     pivot = validate.cluster_pivot(label(st_line(spark, sf), saved.LINE_A), "cluster_id", "y")

@@ -5,19 +5,20 @@ The file is read by Spark's CSV reader with a fixed schema (no driver-side
 parsing, no inference). A gzip file is one split, so the rows are spread over
 the cluster before any further work. Exactly one soil flag must be set in each
 row; a row with none or several is rejected (an error by default, or split off
-into a reject table).
+into a reject table). :func:`ingest_with_rejects` keeps malformed lines as well.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cells import spread
 
+# The public column names of the table.
 MEASUREMENTS = ["Elevation", "Aspect", "Slope", "Horizontal_Distance_To_Hydrology", "Vertical_Distance_To_Hydrology",
                 "Horizontal_Distance_To_Roadways", "Hillshade_9am", "Hillshade_Noon", "Hillshade_3pm",
                 "Horizontal_Distance_To_Fire_Points"]
@@ -106,6 +107,35 @@ def decode_onehot(df: DataFrame, flags: list[str] = SOIL, names: list[str] = SOI
     raise ValueError(f"unknown on_bad {on_bad}")
 
 
+#: Why a line is rejected; accepted rows have no reason.
+MALFORMED, EMPTY_FIELD, HOT_FLAGS = "malformed", "empty field", "hot flags"
+
+
+def ingest_with_rejects(spark: SparkSession, csv_path: str, parquet_path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """S2 + S3 + S4 + S5 in one job: (accepted rows, rejected ones, their numbers).
+
+    A line that isn't a row of integers is kept as its text (``line``), a row with an empty field or without exactly one
+    hot flag as its columns; both with a ``reason``. Both sides are written together, apart by a
+    partition of the table, and counted by the same write (observed metrics); no row accepted is an error."""
+    raw = (spark.read.schema(T.StructType([*RAW_SCHEMA.fields, T.StructField("line", T.StringType())]))
+           .option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(csv_path))
+    empty = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in COLUMNS])
+    reason = (F.when(F.col("line").isNotNull(), MALFORMED).when(empty, EMPTY_FIELD).when(_hot_count(SOIL) != 1, HOT_FLAGS))
+    pos = F.array_position(F.array(*[F.col(c) for c in SOIL]), 1).cast("int")
+    rows = raw.withColumn("reason", reason).withColumn(
+        DESCRIPTION, F.when(F.col("reason").isNull(), F.get(F.array(*[F.lit(n) for n in SOIL_TYPES]), pos - 1)))
+    seen = Observation()
+    rows.withColumn("accepted", F.col("reason").isNull()).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count("reason").alias("rejected")).write.mode("overwrite").partitionBy("accepted").parquet(parquet_path)
+    counts = {"rows": seen.get["rows"], "rejected": seen.get["rejected"], "accepted": seen.get["rows"] - seen.get["rejected"]}
+    if not counts["accepted"]:
+        raise ValueError(f"the ingested table has no rows ({counts['rejected']} rejected)")
+    table = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])).parquet(parquet_path)
+    good = table.filter("accepted").select(*[F.coalesce(f.name, F.lit("" if isinstance(f.dataType, T.StringType) else 0)).alias(f.name)
+                                             for f in final_schema()])
+    return good, table.filter(~F.col("accepted")).drop("accepted", DESCRIPTION), counts
+
+
 def final_schema() -> T.StructType:
     """all 56 columns non-NULL."""
     return T.StructType([T.StructField(c, T.IntegerType(), False) for c in COLUMNS]

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.tree import Tree
+from ..plans.tree import Tree, label
 
 
 def label_stream(stream: DataFrame, tree: Tree, name: str = "cluster_id") -> DataFrame:
     """P1 on a streaming DataFrame: every arriving row gets its leaf id."""
-    return stream.withColumn(name, tree.to_column())
+    return label(stream, tree, name)
 
 
 def label_counts(stream: DataFrame, tree: Tree, target: str, name: str = "cluster_id") -> DataFrame:

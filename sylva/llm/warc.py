@@ -11,6 +11,11 @@ reader goes on behind it. Members without that field are inflated through and dr
 in ``_pending``; the commit gives the files of the tasks that count their final names, so a
 task that runs twice or is lost leaves nothing behind.
 
+Archives of other writers: digests may be by MD5 or any SHA and in base32 or hexadecimal of either case
+(of unknown algorithms they are passed on, not checked); headers may go on in a second line; a
+record without Content-Length ends with its gzip member, and without one is an error. An archive is
+read by one task, so archives of some hundred MB, as crawlers write them, keep tasks even.
+
 Paths are of any file system that pyarrow knows. Filter pushdown of Python sources is a
 session setting, ``spark.sql.python.filterPushdown.enabled``; :func:`read_warc` sets it.
 """
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -34,6 +40,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date",
            "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_bytes bigint, payload binary"
+#: Bytes of the digests that can be checked.
+SIZES = {"md5": 16, "sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
 SPLIT_BYTES, FILE_BYTES, HEAD = 64 << 20, 256 << 20, 2048
 
 
@@ -60,6 +68,33 @@ def member(data: bytes, level: int) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+def plain_digest(named: str | None) -> str | None:
+    """A payload digest as the reader gives it: bare upper-case base32 for SHA-1, whichever way it was
+    written (hexadecimal, lower case, with or without the algorithm); for others algorithm:value,
+    hexadecimal in lower case and base32 in upper."""
+    if not named:
+        return None
+    algorithm, _, value = named.rpartition(":")
+    algorithm, value = algorithm.strip().lower().replace("-", "") or "sha1", value.strip()
+    size = SIZES.get(algorithm)
+    if size and len(value) == 2 * size and re.fullmatch("[0-9a-fA-F]+", value):
+        value = value.lower() if algorithm != "sha1" else base64.b32encode(bytes.fromhex(value)).decode()
+    elif size:
+        value = value.rstrip("=").upper()
+    return value if algorithm == "sha1" else f"{algorithm}:{value}"
+
+
+def digest_like(digest: str, payload: bytes) -> str:
+    """The payload's digest in the form of ``digest``; that itself where its algorithm isn't known."""
+    algorithm, _, value = digest.rpartition(":")
+    size = SIZES.get(algorithm or "sha1")
+    if not size:
+        return digest
+    own = hashlib.new(algorithm or "sha1", payload).digest()
+    own = own.hex() if len(value) == 2 * size else base64.b32encode(own).decode().rstrip("=")
+    return f"{algorithm}:{own}" if algorithm else own
+
+
 def record(row: dict, date: str) -> bytes:
     """The record of a row: an HTTP response, or a revisit that has its headers alone."""
     clean = lambda v: "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in v)
@@ -174,12 +209,14 @@ class WarcReader(DataSourceReader):
             head = stream.until(b"\r\n\r\n")
             if not head.startswith(b"WARC/"):
                 raise ValueError(f"no WARC record at byte {at}")
-            lines = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
+            # A line that begins with a blank goes on with the one before it.
+            lines = [x.partition(":") for x in re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]]
             headers = {k.strip().lower(): v.strip() for k, _, v in lines}
-            length = int(headers["content-length"])
+            if "content-length" not in headers and not packed:
+                raise ValueError(f"the WARC record at byte {at} has no Content-Length")
+            length = int(headers["content-length"]) if "content-length" in headers else stream.rest()
             row = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
-            if row["payload_digest"]:
-                row["payload_digest"] = row["payload_digest"].partition(":")[2]
+            digest = row["payload_digest"] = plain_digest(row["payload_digest"])
             if self.wanted(row):
                 is_http = headers.get("content-type", "").startswith("application/http")
                 http = stream.until(b"\r\n\r\n") if is_http and length else b""
@@ -190,7 +227,7 @@ class WarcReader(DataSourceReader):
                     row["payload_bytes"] = int(named[0]) if named else None
                 elif self.payload:
                     row["payload"] = stream.exactly(left)
-                    if self.verify and row["payload_digest"] and sha1_base32(row["payload"]) != row["payload_digest"]:
+                    if self.verify and digest and digest != digest_like(digest, row["payload"]):
                         raise ValueError(f"the payload of {row['record_id']} differs from its digest")
                 yield row
             at = stream.next_at(at, len(head) + length + 4)
@@ -225,6 +262,14 @@ class Plain:
         self.buffer = data[n:]
         return data[:n]
 
+    def rest(self) -> int:
+        """Reads on to the end; how many bytes are left but for the record's closing blank lines."""
+        parts = [self.buffer]
+        while data := self.more():
+            parts.append(data)
+        self.buffer = b"".join(parts)
+        return len(self.buffer.removesuffix(b"\r\n\r\n"))
+
     def next_at(self, at: int, size: int) -> int:
         return at + size
 

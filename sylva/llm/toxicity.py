@@ -37,6 +37,8 @@ GRAMS = 1 << BITS
 SIZES = (2, 3, 4, 5)
 #: Characters of a text that are hashed at a time.
 PIECE = 1 << 20
+#: Features of examples that the regression holds against its weights at a time.
+BLOCK = 1 << 20
 BASE, SPREAD = np.uint32(1000003), np.uint32(2654435761)
 
 
@@ -117,16 +119,27 @@ class Weights:
 
     def __init__(self, ratios: np.ndarray, examples: list[np.ndarray], labels: np.ndarray, ridge: float):
         lengths = np.array([len(e) for e in examples], "i8")
-        used, at = np.unique(np.concatenate(examples), return_inverse=True)
-        scale, own = ratios[used], np.repeat(np.arange(len(examples)), lengths)
+        ends = np.cumsum(lengths)
+        flat = np.concatenate(examples)
+        used = np.flatnonzero(np.bincount(flat, minlength=GRAMS))
+        number = np.zeros(GRAMS, "i4")
+        number[used] = np.arange(len(used), dtype="i4")
+        flat, scale = number[flat], ratios[used]
+        # Examples are taken in blocks, so that the passes need little besides their features.
+        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK), "right")), len(examples)]
+        blocks = [(lo, hi, slice(ends[lo] - lengths[lo], ends[hi - 1])) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
 
         def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
             w, b = p[:-1], p[-1]
-            margin = np.bincount(own, weights=(w * scale)[at], minlength=len(labels)) + b
-            value = np.logaddexp(0, np.where(labels > 0, -margin, margin)).mean() + ridge / 2 * (w @ w)
-            off = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / len(labels)
-            grad = np.bincount(at, weights=off[own], minlength=len(used)) * scale + ridge * w
-            return value, np.append(grad, off.sum())
+            value, grad, off_sum, scaled = ridge / 2 * (w @ w), np.zeros(len(used)), 0.0, w * scale
+            for lo, hi, own in blocks:
+                of, y = np.repeat(np.arange(hi - lo), lengths[lo:hi]), labels[lo:hi]
+                margin = np.bincount(of, weights=scaled[flat[own]], minlength=hi - lo) + b
+                value += np.logaddexp(0, np.where(y > 0, -margin, margin)).sum() / len(labels)
+                off = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y) / len(labels)
+                grad += np.bincount(flat[own], weights=off[of], minlength=len(used))
+                off_sum += off.sum()
+            return value, np.append(grad * scale + ridge * w, off_sum)
 
         share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
         best = lbfgs(loss, np.append(np.zeros(len(used)), np.log(share / (1 - share))))
@@ -169,10 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.orderBy(F.xxhash64("lid", F.lit(seed)), "lid").limit(sample)
     rows = (texts.join(F.broadcast(chosen), texts["id"] == chosen["lid"])      # at most ``sample`` rows of two numbers
             .groupBy("id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
-            .select("text", "label").mapInPandas(_features, "label int, bins binary").collect())
-    order = sorted(rows, key=lambda r: (r["label"], bytes(r["bins"])))   # the same sums however rows are dealt
+            .select("text", "label").mapInPandas(_features, "label int, bins binary").toArrow())
+    order = sorted(zip(rows["label"].to_pylist(), rows["bins"].to_pylist()))    # the same sums however rows are dealt
+    del rows
     return Weights(log_count_ratios(toxic, other, n_toxic, n_other, smooth),
-                   [np.frombuffer(r["bins"], "i4") for r in order], np.array([r["label"] for r in order], "f8"), ridge)
+                   [np.frombuffer(b, "i4") for _, b in order], np.array([y for y, _ in order], "f8"), ridge)
 
 
 def classify(docs: DataFrame, weights: Weights | Share, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -169,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     taught = (labels.select(F.col(id_col).alias("lid"), F.col(label_col).alias("label")).filter("lid is not null and label is not null")
               .groupBy("lid").agg(F.max((F.col("label") == 1).cast("int")).alias("label")))
-    known = texts.join(taught, texts["id"] == taught["lid"])
+    # By a shuffle at every size: the labels grow with the documents.
+    known = texts.join(taught.hint("merge"), texts["id"] == taught["lid"])
     counted = (known.select("text", "label").mapInPandas(_counts, "bin int, toxic bigint, other bigint")
                .groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow().to_pandas())   # GRAMS rows at most
     n_toxic, n_other = (int(counted.loc[counted["bin"] < 0, c].sum()) for c in ("toxic", "other"))

@@ -22,6 +22,8 @@ it stands by itself; of values that overlap the first; repeated rows give a row
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,6 +194,10 @@ FORMATS = ((IBAN, iban_ok, iban), (LONG, card_ok, card), (GROUPED, card_ok, card
            (WITH_COUNTRY, always, phone), (INTERNATIONAL, always, phone), (NATIONAL, always, phone), (IPV4, always, ipv4))
 
 
+#: Parts of a text that are appended to one by one, before they go to the others together.
+CHUNK = 256
+
+
 def cut(pieces: Column, marks: Column) -> Column:
     """The text with its values replaced: ``marks`` are null or (old, new), and each stands at
     the start of the piece behind it; what stands in a replaced value is none itself."""
@@ -208,53 +214,52 @@ def cut(pieces: Column, marks: Column) -> Column:
     def turn(state: Column, x: Column) -> Column:
         i, m, skip = x["i"], x["m"], state["skip"]
         covered = F.substr(of(i), skip + 1)
+        part = F.struct(F.when(skip > 0, covered).otherwise(one(i, m)).alias("text"),
+                        F.when(skip == 0, m["old"]).alias("old"))
+        full = F.size(state["last"]) >= CHUNK    # appending copies: only a chunk, and now and then the list of chunks
         return F.struct(F.when(skip > 0, F.greatest(skip - F.length(of(i)), F.lit(0))).otherwise(over(i, m)).alias("skip"),
-                        F.concat(state["parts"], F.array(F.when(skip > 0, covered).otherwise(one(i, m)))).alias("parts"),
-                        F.concat(state["olds"], F.when((skip > 0) | m.isNull(), none).otherwise(F.array(m["old"]))).alias("olds"))
+                        F.when(full, F.concat(state["chunks"], F.array(state["last"]))).otherwise(state["chunks"]).alias("chunks"),
+                        F.when(full, F.array(part)).otherwise(F.concat(state["last"], F.array(part))).alias("last"))
 
-    none = F.array().cast("array<string>")
+    kind = "array<struct<text:string,old:string>>"
     at = F.transform(marks, lambda m, i: F.struct(i.alias("i"), m.alias("m")))
     # One after the other only where values overlap.
-    folded = F.aggregate(at, F.struct(F.lit(0).alias("skip"), none.alias("parts"), none.alias("olds")), turn)
-    straight = F.struct(F.lit(0).alias("skip"), F.transform(marks, lambda m, i: one(i, m)).alias("parts"),
-                        F.transform(F.filter(marks, lambda m: m.isNotNull()), lambda m: m["old"]).alias("olds"))
+    folded = F.aggregate(at, F.struct(F.lit(0).alias("skip"), F.array().cast(f"array<{kind}>").alias("chunks"), F.array().cast(kind).alias("last")),
+                         turn, lambda state: F.concat(F.flatten(state["chunks"]), state["last"]))
+    straight = F.transform(marks, lambda m, i: F.struct(one(i, m).alias("text"), m["old"].alias("old")))
     return F.when(F.exists(at, lambda x: over(x["i"], x["m"]) > 0), folded).otherwise(straight)
 
 
-def pseudonymise(docs: DataFrame, key: str = "sylva", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row: doc_id, n_values (distinct values replaced) and the whole text."""
+def pseudonymise(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per row: doc_id, n_values (distinct values replaced) and the whole text. Who has the ``key`` can turn
+    pseudonyms back; without one the session's ``spark.sylva.pseudonyms.key`` is taken, and where that
+    isn't set either a random one, so that pseudonyms are linked within this result only.
+
+    A text's cost grows with its length and the number of its values, not with their product: every start is
+    held against all formats and replaced where it stands."""
+    key = key or docs.sparkSession.conf.get("spark.sylva.pseudonyms.key", None) or secrets.token_hex(16)
     # Blanks in front, so that the first piece is never a value's and a start has two characters before it.
     out = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit("  "), F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     # What begins no format is passed over by its first character. Every start's surroundings,
     # as far as any format looks, are held against all formats.
     start = r"(?=[0-9+(]|[A-Z]{2}\d\d)(?<!\d)(?=" + "|".join(p for p, _, _ in FORMATS) + ")"
     around = [F.regexp_extract_all("text", F.lit(start + r"(?<=([\s\S]{2}))(?=([\s\S]{0,50}))"), F.lit(k)) for k in (1, 2)]
-    n = range(len(FORMATS))
-
-    def at_start(p):
-        return lambda w: F.regexp_extract(w, rf"^[\s\S]{{2}}({p})", 1)
-
-    out = out.select("doc_id", "text", F.split("text", start).alias("pieces"), F.zip_with(*around, lambda a, b: F.concat(a, b)).alias("around"))
-    out = out.select("*", *[F.transform("around", at_start(p)).alias(f"c{k}")
-                            for k, (p, _, _) in enumerate(FORMATS)])
-
-    def named(new):
-        return lambda x: F.struct(x.alias("old"), new(x, key).alias("new"))
-
-    def right(ok):
-        return lambda x: (x != "") & ok(x)
-
-    out = out.select("*", *[F.map_from_entries(F.transform(F.filter(F.array_distinct(f"c{k}"), right(ok)), named(new))).alias(f"known{k}")
-                            for k, (_, ok, new) in enumerate(FORMATS)])
-
-    def mark(_, i):
-        return F.coalesce(*[let(F.get(f"c{k}", i), lambda x, k=k: let(F.element_at(f"known{k}", x), lambda new: F.when(
-            new.isNotNull(), F.struct(x.alias("old"), new.alias("new"))))) for k in n])
 
-    out = out.select("doc_id", "text", "pieces", F.transform("c0", mark).alias("marks"))
-    out = out.select("doc_id", "text", "pieces", cut(F.col("pieces"), F.col("marks")).alias("cut"))
-    return out.select("doc_id", F.size(F.array_distinct("cut.olds")).alias("n_values"),
-                      F.substr(F.concat(F.get("pieces", F.lit(0)), F.array_join("cut.parts", "")), F.lit(3)).alias("text"))
+    def mark(w: Column) -> Column:
+        """What stands at a start, of the first format that is right: (old, new)."""
+        def tried(p: str, ok, new) -> Column:
+            return let(F.regexp_extract(w, rf"^[\s\S]{{2}}({p})", 1), lambda x: F.when(
+                (x != "") & ok(x), F.struct(x.alias("old"), new(x, key).alias("new"))))
+
+        return F.coalesce(*[tried(*f) for f in FORMATS])
+
+    out = out.select("doc_id", F.split("text", start).alias("pieces"),
+                     F.transform(F.zip_with(*around, lambda a, b: F.concat(a, b)), mark).alias("marks"))
+    # Both columns are used more than once below, so they are worked out once, and not in a lambda.
+    out = out.select("doc_id", "pieces", cut(F.col("pieces"), F.col("marks")).alias("cut"))
+    old = F.filter(F.array_distinct(F.transform("cut", lambda c: c["old"])), lambda x: x.isNotNull())
+    return out.select("doc_id", F.size(old).alias("n_values"),
+                      F.substr(F.concat(F.get("pieces", F.lit(0)), F.array_join(F.transform("cut", lambda c: c["text"]), "")), F.lit(3)).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,11 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: What the short way isn't for: characters outside printable ASCII and two Latin blocks
 #: (which have no combining marks and lower-case one by one), and special strings.
 LONG_WAY = re.compile(r"[^\x21-\x7e\u00a1-\u012f\u0131-\u017f]|<\|").search
-#: Chunks, and units, whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Bytes, about, that a worker remembers chunks with, and units with; a memory is emptied when full.
+#: Chunks of more than LONGEST characters aren't remembered.
+CHUNK_BYTES, UNIT_BYTES, LONGEST = 80 << 20, 40 << 20, 64
+#: Bytes of an entry besides its text and ids: two objects and its place in the table.
+ENTRY = 180
 # Fixed value: the units that the vocabulary's tokenizer cuts a lower-cased chunk into.
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -60,20 +64,38 @@ class PackedIds(dict):
         return out
 
 
-class Units(dict):
+class Memory(dict):
+    """What has been worked out, up to a number of bytes."""
+
+    held, limit = 0, 0
+
+    def keep(self, text: str, ids: bytes) -> None:
+        self.held += ENTRY + len(text) + len(ids)
+        if self.held > self.limit:
+            self.clear()
+            self.held = ENTRY + len(text) + len(ids)
+        self[text] = ids
+
+
+class Units(Memory):
     """Unit to ids (as little-endian 32-bit bytes), by the tokenizer's merges alone."""
 
     def __init__(self, model):
-        self.merge, self.letters, self.packed = model.tokenize, byte_letters(), PackedIds()
+        self.merge, self.letters, self.packed, self.limit = model.tokenize, byte_letters(), PackedIds(), UNIT_BYTES
 
-    def __missing__(self, unit: str) -> bytes:
+    def work(self, unit: str) -> bytes:
         mapped = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
         packed = self.packed
-        out = self[unit] = b"".join([packed[t.id] for t in self.merge(mapped)])
+        return b"".join([packed[t.id] for t in self.merge(mapped)])
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.work(unit)
+        if len(unit) <= LONGEST:
+            self.keep(unit, out)
         return out
 
 
-class ChunkEncoder(dict):
+class ChunkEncoder(Memory):
     """Ids of texts by a tokenizer that drops white space, lower-cases and never joins across
     either white space or units: a text's ids are those of its chunks, a chunk's those of
     its units, and each is worked out once while it is remembered. Chunks of rarer scripts
@@ -84,23 +106,28 @@ class ChunkEncoder(dict):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cut = Tokenizer.from_file(vocabulary), regex.compile(UNITS).findall
+        self.tokenizer, self.cut, self.limit = Tokenizer.from_file(vocabulary), regex.compile(UNITS).findall, CHUNK_BYTES
         self.units = Units(self.tokenizer.model)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        low, units = chunk.lower(), self.units
-        if chunk.isascii() and chunk.isalpha():
-            out = units[low]
-        elif chunk.isascii() and chunk[:-1].isalpha() and chunk[-1] in ".,!":
-            out = units[low[:-1]] + units[low[-1]]
+        low, units, word = chunk.lower(), self.units, chunk.rstrip(punctuation)
+        if len(word) == len(chunk) and chunk.isascii() and chunk.isalpha():
+            # A word in lower case is remembered as a chunk, so not as a unit too.
+            out = units[low] if low != chunk else units.get(chunk) or units.work(chunk)
         elif LONG_WAY(chunk):
             out = self.whole(chunk)
+        elif word.isalpha():    # letters are one unit, the signs behind them another
+            n = len(word)
+            out = self.get(low[:n]) or units[low[:n]]
+            if n < len(low):
+                out += units[low[n:]]
         else:
             out = b"".join(map(units.__getitem__, self.cut(low)))
-        self[chunk] = out
+        if len(chunk) <= LONGEST:
+            self.keep(chunk, out)
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
@@ -109,14 +136,22 @@ class ChunkEncoder(dict):
                 yield self.whole(t)
                 continue
             yield b"".join(map(self.__getitem__, t.split()))
-            for memory in (self, self.units):
-                if len(memory) > REMEMBERED:
-                    memory.clear()
+
+
+#: The worker's encoder, and the vocabulary that it is for: tasks that follow find what is remembered.
+_own: tuple[str, ChunkEncoder] | None = None
+
+
+def encoder(vocabulary: str) -> ChunkEncoder:
+    global _own
+    if _own is None or _own[0] != vocabulary:
+        _own = vocabulary, ChunkEncoder(vocabulary)
+    return _own[1]
 
 
 def _pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end, block, seen = ChunkEncoder(vocabulary), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
+        encode, end, block, seen = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
         width = 4 * capacity
         for frame in frames:
             for lo in range(0, len(frame), 256):  # texts can be long

@@ -265,3 +265,71 @@ def test_warc(spark, tmp_path):
     one = warc.read_warc(spark, str(tmp_path / "w"), F.col("target_uri").startswith("http://a")).collect()
     assert [r.target_uri for r in one] == ["http://a/%20b"] and one[0].payload.decode() == "<p>é</p>"
     assert warc_query.round_trip(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_exact_dedup_index_reopened(spark, docs):
+    """In a later session with other settings the same texts are known, and no table is left in the catalog."""
+    before, path = spark.conf.get("spark.sql.shuffle.partitions"), exact_dedup.shared_path(spark, "reopened")
+    tables = {t.name for t in spark.catalog.listTables()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        first = exact_dedup.new_index(docs, path=path)
+        kept = exact_dedup.keep_one(docs, first).count()
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = exact_dedup.new_index(docs, path=path)
+        assert again.buckets == first.buckets == 4 and kept > 0
+        assert exact_dedup.keep_one(docs, again).count() == 0
+        assert again.rows().count() == len({lower(t) for _, t, _ in TEXTS})
+        more = spark.createDataFrame([(77, "not seen before"), (78, "Hello, World!")], "doc_id bigint, text string")
+        assert {r.doc_id: r.kept for r in again.add(more).collect()} == {77: True, 78: False}
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, buckets=7)
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, id_type="string")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_packing_memory_is_bounded_in_bytes(monkeypatch):
+    whole = packing.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"word{i}x{k}" for k in range(300)) + " " + "y" * 500 for i in range(5)]
+    want = list(whole(texts))
+    assert all(len(c) <= packing.LONGEST for c in whole)
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(packing, "UNIT_BYTES", 20_000)
+    small = packing.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = []
+    for ids in small(texts):
+        got.append(ids)
+        assert max(small.held, small.units.held) <= 20_000 and len(small) + len(small.units) < 240
+    assert got == want
+
+
+def foreign(payload, digest, extra="", length=True, end="\r\n\r\n"):
+    head = ["WARC/1.0", "WARC-Type: resource", "WARC-Record-ID: <urn:x>", "WARC-Target-URI: http://a.b/", extra, f"WARC-Payload-Digest: {digest}"]
+    head += [f"Content-Length: {len(payload)}"] if length else []
+    return ("\r\n".join(h for h in head if h) + "\r\n\r\n").encode() + payload + end.encode()
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+    data = b"some payload"
+    sha1, sha256, md5 = (hashlib.new(a, data) for a in ("sha1", "sha256", "md5"))
+    b32 = base64.b32encode(sha1.digest()).decode()
+    digests = {f"sha1:{b32}": b32, f"sha1:{b32.lower()}": b32, f"SHA1:{sha1.hexdigest()}": b32, f"sha-1:{sha1.hexdigest().upper()}": b32,
+               b32: b32, f"sha256:{sha256.hexdigest()}": f"sha256:{sha256.hexdigest()}", f"md5:{md5.hexdigest().upper()}": f"md5:{md5.hexdigest()}",
+               f"sha256:{base64.b32encode(sha256.digest()).decode().lower()}": f"sha256:{base64.b32encode(sha256.digest()).decode().rstrip('=')}",
+               "blake9:whatever": "blake9:whatever"}
+    (tmp_path / "a.warc").write_bytes(b"".join(foreign(data, d, "X-Long: one\r\n two") for d in digests))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(foreign(data, d, length=i % 2 == 0)) for i, d in enumerate(digests)))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.payload_digest for r in got) == sorted([*digests.values()] * 2) and {bytes(r.payload) for r in got} == {data}
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "c.warc").write_bytes(foreign(data, f"sha256:{'0' * 64}"))
+    with pytest.raises(Exception, match="differs"):
+        warc.read_warc(spark, str(bad)).collect()
+    (bad / "c.warc").write_bytes(foreign(data, "", length=False))
+    with pytest.raises(Exception, match="Content-Length"):
+        warc.read_warc(spark, str(bad)).collect()

@@ -41,7 +41,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 LONG_WAY = re.compile(r"[^\x21-\x7e\u00a1-\u012f\u0131-\u017f]|<\|").search
 #: Bytes, about, that a worker remembers chunks with, and units with; a memory is emptied when full.
 #: Chunks of more than LONGEST characters aren't remembered.
-CHUNK_BYTES, UNIT_BYTES, LONGEST = 80 << 20, 40 << 20, 64
+CHUNK_BYTES, UNIT_BYTES, LONGEST = 160 << 20, 64 << 20, 64
 #: Bytes of an entry besides its text and ids: two objects and its place in the table.
 ENTRY = 180
 # Fixed value: the units that the vocabulary's tokenizer cuts a lower-cased chunk into.
@@ -126,8 +126,12 @@ class ChunkEncoder(Memory):
                 out += units[low[n:]]
         else:
             out = b"".join(map(units.__getitem__, self.cut(low)))
-        if len(chunk) <= LONGEST:
-            self.keep(chunk, out)
+        if len(chunk) <= LONGEST:   # as ``keep`` does
+            self.held += ENTRY + len(chunk) + len(out)
+            if self.held > self.limit:
+                self.clear()
+                self.held = ENTRY + len(chunk) + len(out)
+            self[chunk] = out
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:

@@ -166,6 +166,20 @@ def test_report_by_force(scored_table):
     assert {n: s[0] for n, s in short.items()} == best and set(best) == {"", "0", "1"}
 
 
+def test_report_of_very_many_rules(scored_table, monkeypatch):
+    df, rows, rules = scored_table
+    monkeypatch.setattr("sylva.operators.score.SUMMED", 0)
+    check_report(df, rows, rules, {"y": lambda own: entropy(Counter(r[3] for r in own))}, ["y"])
+
+
+def test_scoring_counts_a_row_once(scored_table):
+    """With one class column a row isn't exploded by rule column before it is counted."""
+    df, rows, rules = scored_table
+    report = check_report(df, rows, rules, {"y": lambda own: entropy(Counter(r[3] for r in own))}, ["y"])
+    below = planned(report).split("partial_count(1)")[-1]
+    assert "partial_sum" in below and "Generate" not in below
+
+
 def text_entropy(own):
     texts = [t for _, _, t, _ in own if t is not None]
     grams = Counter(t[i:i + 6] for t in texts for i in range(len(t)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sylva.functions.hashing import row_hash
 from sylva.operators import predict as pred
 from sylva.operators import profile, validate
-from sylva.operators.cells import VALUE, cells
+from sylva.operators.cells import TEXT, VALUE, WORD, cell_counts, cells
 from sylva.operators.frequent import frequent
 from sylva.operators.rules import candidates, collect_candidates
 from sylva.operators.sampling import came_short, lowest_per_group, sample_known_sizes, sample_per_group
@@ -218,6 +218,19 @@ def test_unsupervised_root_and_children_agree(spark):
         assert sum(r["entropy"] for r in own if r["node_id"] == leaf) == pytest.approx(winner[side], rel=1e-9)
 
 
+def test_cells_are_counted_by_short_keys(spark):
+    """Names of columns and kinds aren't part of the key that each gram is counted by."""
+    docs = spark.createDataFrame([("two words", "x"), (None, "y")], "t string, u string")
+    one = planned(profile.ngram_entropy(docs, ["t"]))
+    assert one.count("Generate explode") == 1 and re.findall(r"keys=\[([^]]*)\], functions=\[partial_count\(1\)", one)[-1].startswith("value#")
+    several = re.findall(r"keys=\[([^]]*)\], functions=\[partial_count\(1\)", planned(profile.string_entropy(docs, ["t", "u"])))[-1]
+    assert "col_name" not in several and "kind" not in several
+    got = {(r.col_name, r.kind, r.value): r.n for r in cell_counts(docs, [], [("t", WORD), ("u", VALUE), ("t", TEXT)]).collect()}
+    assert got == {("t", "word", "two"): 1, ("t", "word", "words"): 1, ("u", "value", "x"): 1, ("u", "value", "y"): 1,
+                   ("t", "text", ""): 1, ("t", "text", None): 1}
+    assert [tuple(r) for r in cell_counts(docs, ["u"], [("t", TEXT)]).orderBy("u").collect()] == [("x", "t", "text", "", 1), ("y", "t", "text", None, 1)]
+
+
 # ---------------------------------------------------------------- T1
 def test_profile_reads_a_table_once(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("n_chars", "text", "lang")
